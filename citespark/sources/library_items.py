@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citespark.functions.identifiers import item_year
 from citespark.functions.text import empty_to_null
 
-ITEM_SCHEMA = T._parse_datatype_string(
+ITEM_SCHEMA = (
     "key string, version int, library_id string, data struct<itemType:string, title:string, "
     "creators:array<struct<creatorType:string,firstName:string,lastName:string>>, abstractNote:string, "
     "date:string, dateAdded:string, publicationTitle:string, bookTitle:string, DOI:string, url:string, "

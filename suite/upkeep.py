@@ -449,12 +449,11 @@ def parse_bibtex(t):
     """Entries written by the exporter are read back."""
     from citespark.functions.citations import bibtex_of
 
-    journal = F.when(F.col("arxiv_id").isNull() & (F.coalesce(F.lower("journal"), F.lit("")) != "medrxiv"), F.col("journal"))
     made = t.bib_papers.select(
-        "paper_id", F.replace(bibtex_of(), F.lit("howpublished ="), F.lit("journal =")).alias("entry"), journal.alias("j")
+        "paper_id", F.replace(bibtex_of(), F.lit("howpublished ="), F.lit("journal =")).alias("entry")
     )
     dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
-    return feeds.parse_bibtex(made.select("paper_id", "entry"), "entry").select(
+    return feeds.parse_bibtex(made, "entry").select(
         "paper_id", "title", F.coalesce(F.array_join("authors", "|"), F.lit("-")).alias("authors"),
         F.coalesce("year", F.lit(0)).alias("year"), dash("journal"), dash("doi"), dash("arxiv_id"),
     )
