@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citespark.functions.text import words
+from citespark.functions.text import bind, words
 
 CHUNK_WORDS = 250
 OVERLAP_WORDS = 50
@@ -19,7 +19,10 @@ SECTION_MAX_CHARS = 100
 
 def word_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
     """Array of word arrays; every ``size - overlap`` words a chunk starts."""
-    tokens = words(text)
+    return bind(words(text), lambda tokens: chunks_of(tokens, size, overlap))
+
+
+def chunks_of(tokens: Column, size: int, overlap: int) -> Column:
     starts = F.when(
         F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size - overlap))
     ).otherwise(F.array().cast("array<int>"))
@@ -31,6 +34,63 @@ def is_section_heading(content: Column) -> Column:
     return (F.length(content) < SECTION_MAX_CHARS) & F.lower(content).rlike("|".join(SECTION_WORDS))
 
 
-def chunk_start(text: Column, chunk: Column, index: Column) -> Column:
-    """Offset of the first occurrence of the chunk's first word anywhere in the text."""
-    return F.when(index == 0, 0).otherwise(F.call_function("instr", text, F.get(chunk, 0)) - 1)
+def chunk_records(
+    text: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, exact_offsets: bool = False
+) -> Column:
+    """Chunks of a text as an array of records.
+
+    Offsets follow the first occurrence of a chunk's first word anywhere in the
+    text; with ``exact_offsets`` they are positions in the single-spaced text.
+    A heading seen in a short chunk is carried to the chunks after it.
+    """
+
+    def start_of(tokens: Column, chunk: Column, i: Column) -> Column:
+        if exact_offsets:
+            before = F.array_join(F.slice(tokens, 1, i * (size - overlap)), " ")
+            return F.when(i == 0, 0).otherwise(F.length(before) + 1)
+        return F.when(i == 0, 0).otherwise(F.call_function("instr", text, F.get(chunk, 0)) - 1)
+
+    def record(tokens: Column, chunk: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("chunk_index"),
+            F.array_join(chunk, " ").alias("content"),
+            F.size(chunk).alias("word_count"),
+            start_of(tokens, chunk, i).cast("int").alias("start_char"),
+        )
+
+    def finish(records: Column, headings: Column) -> Column:
+        def last_heading(i: Column) -> Column:
+            seen = F.filter(F.slice(headings, 1, i + 1), lambda h: h.isNotNull())
+            return F.try_element_at(seen, F.lit(-1))
+
+        return F.transform(
+            records,
+            lambda r: F.struct(
+                r["chunk_index"].alias("chunk_index"),
+                r["content"].alias("content"),
+                r["word_count"].alias("word_count"),
+                r["start_char"].alias("start_char"),
+                (r["start_char"] + F.length(r["content"])).cast("int").alias("end_char"),
+                # without any heading, the usual case, nothing is searched
+                F.when(F.size(headings) > 0, last_heading(r["chunk_index"])).alias("section_title"),
+            ),
+        )
+
+    def headings_of(records: Column) -> Column:
+        found = F.transform(
+            records, lambda r: F.when(is_section_heading(r["content"]), r["content"])
+        )
+        return bind(
+            found,
+            lambda h: F.when(F.exists(h, lambda x: x.isNotNull()), h).otherwise(
+                F.array().cast("array<string>")
+            ),
+        )
+
+    def with_records(tokens: Column) -> Column:
+        records = F.transform(
+            chunks_of(tokens, size, overlap), lambda c, i: record(tokens, c, i)
+        )
+        return bind(records, lambda r: bind(headings_of(r), lambda h: finish(r, h)))
+
+    return bind(words(text), with_records)

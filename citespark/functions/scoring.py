@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citespark.functions.text import words
+from citespark.functions.text import first_words, words
 
 # Weights, thresholds and steps that decide the results.
 WEIGHT_SIMILARITY = 0.40
@@ -24,17 +24,30 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def lower_words(text: Column) -> Column:
+    return words(F.lower(text))
+
+
+def abstract_words(abstract: Column) -> Column:
+    """Lower-cased first words of an abstract; only these are compared."""
+    return F.transform(first_words(abstract, ABSTRACT_TOKENS), F.lower)
+
+
+def context_score_of_words(
+    previous_words: Column, paragraph_words: Column, title_words: Column, abstract_start: Column
+) -> Column:
+    """0.5, plus shared words of previous sentence/title and paragraph/abstract start.
+
+    No words on the request's side add nothing, as no text does.
+    """
+    from_title = F.least(overlap(previous_words, title_words) * F.lit(0.1), F.lit(0.3))
+    from_abstract = F.least(overlap(paragraph_words, abstract_start) * F.lit(0.02), F.lit(0.2))
+    return F.lit(0.5) + from_title + from_abstract
+
+
 def context_score(previous: Column, paragraph: Column, title: Column, abstract: Column) -> Column:
-    """0.5, plus shared words of previous sentence/title and paragraph/abstract start."""
-    lower = lambda c: words(F.lower(c))
-    from_title = F.least(overlap(lower(previous), lower(title)) * F.lit(0.1), F.lit(0.3))
-    start = F.slice(lower(abstract), 1, ABSTRACT_TOKENS)
-    from_abstract = F.least(overlap(lower(paragraph), start) * F.lit(0.02), F.lit(0.2))
-    has = lambda c: F.coalesce(c, F.lit("")) != ""
-    return (
-        F.lit(0.5)
-        + F.when(has(previous), from_title).otherwise(F.lit(0.0))
-        + F.when(has(paragraph), from_abstract).otherwise(F.lit(0.0))
+    return context_score_of_words(
+        lower_words(previous), lower_words(paragraph), lower_words(title), abstract_words(abstract)
     )
 
 

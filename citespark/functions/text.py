@@ -7,6 +7,8 @@ Unicode-aware through ``\\p{L}`` / ``\\p{N}``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ MIN_REQUEST_CHARS = 10
 MIN_CHANGE_RATIO = 0.2
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column used several times, or inside a lambda over an array, is otherwise
+    evaluated at every use; as a lambda variable it is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
@@ -31,6 +42,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{WS}+"), lambda w: w != "")
 
 
+def first_words(text: Column, n: int) -> Column:
+    """The first ``n`` tokens; the rest of the text is not split."""
+    parts = F.split(F.coalesce(text, F.lit("")), rf"{WS}+", n + 2)
+    return F.slice(F.filter(F.slice(parts, 1, n + 1), lambda w: w != ""), 1, n)
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
@@ -50,9 +67,11 @@ def preprocess_text(text: Column) -> Column:
 
 def raw_sentences(text: Column) -> Column:
     """Sentences with their trailing space, or non-blank lines when none match."""
-    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
-    return F.when(F.size(found) > 0, found).otherwise(lines)
+    return bind(
+        F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(lines),
+    )
 
 
 def sentences(text: Column, min_chars: int = 0) -> Column:
@@ -64,7 +83,7 @@ def sentences(text: Column, min_chars: int = 0) -> Column:
 def strip_final_punct(sentence: Column) -> Column:
     """The sentence without end marks; unchanged when nothing else is left."""
     cleaned = strip(F.regexp_replace(sentence, rf"[.!?]+{WS}*$", ""))
-    return F.when(cleaned == "", sentence).otherwise(cleaned)
+    return F.coalesce(F.nullif(cleaned, F.lit("")), sentence)
 
 
 def _neighbour(array: Column, index: Column) -> Column:
@@ -155,39 +174,59 @@ def paragraph_at_cursor(text: Column, cursor: Column) -> Column:
 def extract_context(text: Column, cursor: Column | None = None, section: Column | None = None) -> Column:
     """Context record of one request: sentence, neighbours, paragraph, section, position."""
     position = F.length(text) if cursor is None else F.coalesce(cursor, F.length(text))
-    sents = sentences(preprocess_text(text), MIN_SENTENCE_CHARS)
-    index = sentence_index_by_search(sents, text, position)
-    return F.struct(
-        F.coalesce(F.get(sents, index), F.lit("")).alias("current_sentence"),
-        _neighbour(sents, index - 1).alias("previous_sentence"),
-        F.get(sents, index + 1).alias("next_sentence"),
-        paragraph_at_cursor(text, position).alias("paragraph"),
-        (F.lit(None) if section is None else section).cast("string").alias("section"),
-        position.cast("int").alias("position"),
-    )
+
+    def record(found: Column) -> Column:
+        sents, index = found["sents"], found["index"]
+        return F.struct(
+            F.coalesce(F.get(sents, index), F.lit("")).alias("current_sentence"),
+            _neighbour(sents, index - 1).alias("previous_sentence"),
+            F.get(sents, index + 1).alias("next_sentence"),
+            paragraph_at_cursor(text, position).alias("paragraph"),
+            (F.lit(None) if section is None else section).cast("string").alias("section"),
+            position.cast("int").alias("position"),
+        )
+
+    def located(sents: Column) -> Column:
+        index = sentence_index_by_search(sents, text, position)
+        return bind(F.struct(sents.alias("sents"), index.alias("index")), record)
+
+    return bind(sentences(preprocess_text(text), MIN_SENTENCE_CHARS), located)
 
 
 def editor_context(text: Column, cursor: Column | None = None) -> Column:
-    """Context as an editor sends it: running lengths, matching text without end marks."""
-    raw = raw_sentences(text)
-    last = F.size(raw) - 1
-    index = last if cursor is None else F.coalesce(sentence_index_by_length(raw, cursor), last)
-    current = strip(F.get(raw, index))
-    # without a hit the last sentence is used, and then there is no next one
-    return F.struct(
-        strip_final_punct(F.coalesce(current, F.lit(""))).alias("current_sentence"),
-        strip(_neighbour(raw, index - 1)).alias("previous_sentence"),
-        strip(F.get(raw, index + 1)).alias("next_sentence"),
-        F.coalesce(current, F.lit("")).alias("paragraph"),
-        F.coalesce(F.lit(None) if cursor is None else cursor, F.length(text))
-        .cast("int")
-        .alias("position"),
-    )
+    """Context as an editor sends it: running lengths, matching text without end marks.
 
+    Without a hit the last sentence is used, and then there is no next one.
+    """
 
-def change_ratio(old: Column, new: Column) -> Column:
-    """1 - share of equal characters at equal positions, over the longer text."""
-    old, new = (collapse_spaces(strip(F.coalesce(x, F.lit("")))) for x in (old, new))
+    def record(found: Column) -> Column:
+        raw, index = found["raw"], found["index"]
+        current = strip(F.get(raw, index))
+        return F.struct(
+            strip_final_punct(F.coalesce(current, F.lit(""))).alias("current_sentence"),
+            strip(_neighbour(raw, index - 1)).alias("previous_sentence"),
+            strip(F.get(raw, index + 1)).alias("next_sentence"),
+            F.coalesce(current, F.lit("")).alias("paragraph"),
+            F.coalesce(F.lit(None) if cursor is None else cursor, F.length(text))
+            .cast("int")
+            .alias("position"),
+        )
+
+    def located(raw: Column) -> Column:
+        last = F.size(raw) - 1
+        index = last if cursor is None else F.coalesce(sentence_index_by_length(raw, cursor), last)
+        return bind(F.struct(raw.alias("raw"), index.alias("index")), record)
+
+    return bind(raw_sentences(text), located)
+
+
+def _both_clean(old: Column, new: Column) -> Column:
+    clean = lambda x: collapse_spaces(strip(F.coalesce(x, F.lit(""))))
+    return F.struct(clean(old).alias("o"), clean(new).alias("n"))
+
+
+def _clean_ratio(pair: Column) -> Column:
+    old, new = pair["o"], pair["n"]
     longest = F.greatest(F.length(old), F.length(new))
     same = F.size(
         F.filter(F.zip_with(F.split(old, ""), F.split(new, ""), lambda a, b: a == b), lambda x: x)
@@ -199,13 +238,20 @@ def change_ratio(old: Column, new: Column) -> Column:
     )
 
 
+def change_ratio(old: Column, new: Column) -> Column:
+    """1 - share of equal characters at equal positions, over the longer text."""
+    return bind(_both_clean(old, new), _clean_ratio)
+
+
 def should_update(old: Column, new: Column) -> Column:
     """True when a text change is large enough to ask for new suggestions."""
-    old_clean, new_clean = (collapse_spaces(strip(F.coalesce(x, F.lit("")))) for x in (old, new))
-    return (
-        F.when(old == new, F.lit(False))
-        .when(old_clean == "", F.length(new_clean) > MIN_SENTENCE_CHARS)
-        .otherwise(change_ratio(old, new) > MIN_CHANGE_RATIO)
+    return F.when(old == new, F.lit(False)).otherwise(
+        bind(
+            _both_clean(old, new),
+            lambda p: F.when(p["o"] == "", F.length(p["n"]) > MIN_SENTENCE_CHARS).otherwise(
+                _clean_ratio(p) > MIN_CHANGE_RATIO
+            ),
+        )
     )
 
 

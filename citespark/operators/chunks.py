@@ -21,57 +21,10 @@ def chunk_papers(
 ) -> DataFrame:
     """One row per chunk of every paper; a narrow job, no shuffle.
 
-    Offsets follow the first occurrence of a chunk's first word; with
-    ``exact_offsets`` they are true positions in the single-spaced text.
-    A heading seen in a short chunk is carried to the chunks after it.
+    See :func:`citespark.functions.chunking.chunk_records` for the fields.
     """
-    chunks = ck.word_chunks(F.col("_text"), size, overlap)
-    base = papers.select(F.col(paper_id).alias("paper_id"), F.col(text).alias("_text"))
-    contents = F.transform("_chunks", lambda c: F.array_join(c, " "))
-    headings = F.transform("_contents", lambda c: F.when(ck.is_section_heading(c), c))
-    rows = (
-        base.withColumn("_chunks", chunks)
-        .withColumn("_contents", contents)
-        .withColumn("_headings", headings)
-        .withColumn("_has_heading", F.exists("_headings", lambda h: h.isNotNull()))
-    )
-    if exact_offsets:
-        tokens = tx.words(F.col("_text"))
-        rows = rows.withColumn(
-            "_starts",
-            F.transform(
-                "_chunks",
-                lambda c, i: F.when(i == 0, 0).otherwise(
-                    F.length(F.array_join(F.slice(tokens, 1, i * (size - overlap)), " ")) + 1
-                ),
-            ),
-        )
-    else:
-        rows = rows.withColumn(
-            "_starts", F.transform("_chunks", lambda c, i: ck.chunk_start(F.col("_text"), c, i))
-        )
-    found = rows.select(
-        "paper_id",
-        "_starts",
-        "_chunks",
-        "_has_heading",
-        "_headings",
-        F.posexplode("_contents").alias("chunk_index", "content"),
-    )
-    upto = F.filter(
-        F.slice("_headings", 1, F.col("chunk_index") + 1), lambda h: h.isNotNull()
-    )
-    section = F.when(F.col("_has_heading"), F.try_element_at(upto, F.lit(-1)))
-    start = F.get("_starts", F.col("chunk_index"))
-    return found.select(
-        "paper_id",
-        "chunk_index",
-        "content",
-        F.size(F.get("_chunks", F.col("chunk_index"))).alias("word_count"),
-        start.cast("int").alias("start_char"),
-        (start + F.length("content")).cast("int").alias("end_char"),
-        section.alias("section_title"),
-    )
+    records = ck.chunk_records(F.col(text), size, overlap, exact_offsets)
+    return papers.select(F.col(paper_id).alias("paper_id"), F.inline(records))
 
 
 def carry_section(chunks: DataFrame) -> DataFrame:

@@ -7,28 +7,39 @@ from pyspark.sql import functions as F
 
 from citespark.functions import scoring
 from citespark.functions.citations import display_text
+from citespark.functions.text import bind
 
 SNIPPET_CHARS = 200
+WORD_COLUMNS = ["previous_words", "paragraph_words", "title_words", "abstract_words"]
 
 
 def score_candidates(candidates: DataFrame, as_of_year: int) -> DataFrame:
-    """Adds the four partial scores, relevance and band.
+    """Adds the partial scores, relevance and band.
 
-    Needs similarity, title, abstract, year, citation_count and the request's
-    previous_sentence and paragraph; venue_rank is used when present.
+    Needs similarity, year, citation_count and either the word columns
+    (previous_words, paragraph_words, title_words, abstract_words) or the texts
+    they come from (previous_sentence, paragraph, title, abstract). venue_rank is
+    used when present.
     """
+    if set(WORD_COLUMNS) <= set(candidates.columns):
+        context = scoring.context_score_of_words(*[F.col(c) for c in WORD_COLUMNS])
+    else:
+        texts = ("previous_sentence", "paragraph", "title", "abstract")
+        context = scoring.context_score(*[F.col(c) for c in texts])
     rank = F.col("venue_rank") if "venue_rank" in candidates.columns else None
-    scored = candidates.withColumns(
-        {
-            "context_score": scoring.context_score(
-                F.col("previous_sentence"), F.col("paragraph"), F.col("title"), F.col("abstract")
-            ),
-            "quality_score": scoring.quality_score(F.col("citation_count"), rank),
-            "recency_score": scoring.recency_score(F.col("year"), as_of_year),
-        }
-    )
-    parts = [F.col(c) for c in ("similarity", "context_score", "quality_score", "recency_score")]
-    scored = scored.withColumn("relevance", scoring.relevance(*parts))
+
+    def scores(context):
+        quality = scoring.quality_score(F.col("citation_count"), rank)
+        recency = scoring.recency_score(F.col("year"), as_of_year)
+        return F.struct(
+            context.alias("context_score"),
+            quality.alias("quality_score"),
+            recency.alias("recency_score"),
+            scoring.relevance(F.col("similarity"), context, quality, recency).alias("relevance"),
+        )
+
+    kept = [c for c in candidates.columns if c not in WORD_COLUMNS]
+    scored = candidates.withColumn("_s", bind(context, scores)).select(*kept, "_s.*")
     return scored.withColumn("band", scoring.confidence_band(F.col("relevance")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citespark.functions import text as tx
+from citespark.functions.scoring import abstract_words, lower_words
 from citespark.operators import ranking
 from citespark.operators.similarity import similarity_join
 
@@ -41,10 +42,11 @@ def candidate_chunks(
     min_similarity: float = MIN_SIMILARITY,
     **physical: int,
 ) -> DataFrame:
-    """Most similar chunks of allowed papers, joined with their papers.
+    """Most similar chunks of allowed papers with what their scores need.
 
-    Only paper ids meet the whole chunk table; the wide paper rows are joined
-    to the few surviving candidates.
+    Only paper ids meet the whole chunk table. Candidates stay narrow: words
+    instead of texts, split once per paper and once per request; the wide
+    columns are fetched for the final rows alone.
     """
     vectors = chunks.select("chunk_id", "paper_id", "embedding").join(
         papers.select("paper_id"), "paper_id", "left_semi"
@@ -52,11 +54,29 @@ def candidate_chunks(
     best = similarity_join(
         requests, vectors, k=limit, min_similarity=min_similarity, **physical
     )
-    wanted = ["paper_id", "title", "authors", "year", "abstract", "journal", "doi", "citation_count"]
-    rows = chunks.select("chunk_id", "paper_id", "content", "chunk_index", "section_title")
-    found = rows.join(best, "chunk_id").join(papers.select(*wanted), "paper_id")
-    context = requests.select("query_id", "previous_sentence", "paragraph")
-    return found.join(context, "query_id")
+    facts = papers.select(
+        "paper_id",
+        "year",
+        "citation_count",
+        lower_words(F.col("title")).alias("title_words"),
+        abstract_words(F.col("abstract")).alias("abstract_words"),
+    )
+    context = requests.select(
+        "query_id",
+        lower_words(F.col("previous_sentence")).alias("previous_words"),
+        lower_words(F.col("paragraph")).alias("paragraph_words"),
+    )
+    found = best.join(chunks.select("chunk_id", "paper_id"), "chunk_id").join(facts, "paper_id")
+    # the exchange by request that the rank windows need anyway, placed before the
+    # scoring: candidates of a hot paper or chunk file are scored by many tasks
+    return found.join(context, "query_id").repartition("query_id")
+
+
+def with_details(ranked: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """Final rows with chunk texts and paper fields."""
+    texts = chunks.select("chunk_id", "content", "chunk_index", "section_title")
+    wide = papers.select("paper_id", "title", "authors", "year", "abstract", "journal", "doi")
+    return ranked.drop("year").join(texts, "chunk_id").join(wide, "paper_id")
 
 
 def suggest(
@@ -87,7 +107,7 @@ def suggest(
     ranked = ranking.rank_candidates(
         found, as_of_year=as_of_year, min_relevance=min_relevance, max_chunks=max_chunks, top=top
     )
-    return ranking.suggestion_rows(ranked)
+    return ranking.suggestion_rows(with_details(ranked, chunks, allowed))
 
 
 def suggest_batch(requests: DataFrame, chunks: DataFrame, papers: DataFrame, *, as_of_year: int,

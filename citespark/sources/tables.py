@@ -12,6 +12,30 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+SPLIT_BYTES = 4 * 1024 * 1024
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a table's files, from the file system's own summary."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(root).getLength()
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A table for CPU-heavy work on its rows.
+
+    A table too small to give every core a split (one row group is one task) is
+    spread once over the cores. Larger tables are read as they lie, without a
+    shuffle.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    table = spark.read.parquet(path)
+    if stored_bytes(spark, path) < cores * SPLIT_BYTES:
+        return table.repartition(cores)
+    return table
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int, **options: str
 ) -> DataFrame:

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citespark.sources.tables import read_spread, read_table
+
+# work on these is per-row text processing
+TEXT_TABLES = {"documents"}
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -150,10 +154,11 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view as a DataFrame."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    base, columns = VIEWS[name]
-    table = spark.read.parquet(f"{sf_dir}/{base}.parquet")
+    base, columns = VIEWS.get(name, (name, {}))
+    read = read_spread if base in TEXT_TABLES else read_table
+    table = read(spark, f"{sf_dir}/{base}.parquet")
+    if not columns:
+        return table
     return table.selectExpr(*[f"{_spark_text(e)} AS {c}" for c, e in columns.items()])
 
 
