@@ -61,18 +61,20 @@ def assign_positions(
 ) -> DataFrame:
     """Positions of new rows: highest position of the document + 1, 2, ... in request order.
 
+    A ``position`` column of the requests wins where it is not NULL.
     ``legacy_positions`` treats a highest position of 0 as none at all, which
     gives the second paper of a document position 0 again.
     """
     highest = F.coalesce("max_position", F.lit(-1))
     if legacy_positions:
         highest = F.when(highest == 0, -1).otherwise(highest)
+    wanted = F.col("position") if "position" in requests.columns else F.lit(None).cast("int")
     numbered = timeline.running_number(
         requests, ["document_id"], [order], timeline.number_bucket(order), "_nth"
     )
     return (
         numbered.join(max_positions(assignments), "document_id", "left")
-        .withColumn("position", (highest + F.col("_nth")).cast("int"))
+        .withColumn("position", F.coalesce(wanted, (highest + F.col("_nth")).cast("int")))
         .drop("_nth", "max_position")
     )
 

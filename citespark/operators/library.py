@@ -89,14 +89,8 @@ def pending_papers(papers: DataFrame, as_of: str, retry_minutes: int = RETRY_MIN
 def next_batch(papers: DataFrame, size: int = 5) -> DataFrame:
     """Error-free papers first; failed ones only when no error-free paper is left."""
     open_papers = papers.filter(F.col("file_path").isNotNull() & ~F.col("is_processed"))
-    best = open_papers.agg(F.min(has_error().cast("int")).alias("_best"))
-    return (
-        open_papers.withColumn("_class", has_error().cast("int"))
-        .join(F.broadcast(best), F.col("_class") == F.col("_best"))  # one row by construction
-        .drop("_class", "_best")
-        .orderBy("paper_id")
-        .limit(size)
-    )
+    best = open_papers.agg(F.min(has_error().cast("int"))).scalar()
+    return open_papers.filter(has_error().cast("int") == best).orderBy("paper_id").limit(size)
 
 
 def _matches_words(needle: str, columns: list[Column], authors: Column) -> Column:
@@ -220,9 +214,9 @@ def processing_statistics(papers: DataFrame, chunks: DataFrame) -> DataFrame:
         F.sum(F.when(has_error(), 1).otherwise(0)).alias("errors"),
         F.sum(F.when(~F.col("is_processed") & ~has_error(), 1).otherwise(0)).alias("pending"),
     )
-    n = chunks.agg(F.count("*").alias("chunks"))
+    n = chunks.agg(F.count("*")).scalar()
     share = F.when(F.col("total") > 0, F.col("processed") * 100.0 / F.col("total")).otherwise(0.0)
-    return one.join(F.broadcast(n)).withColumn("progress", share)  # one row each
+    return one.withColumn("chunks", n).withColumn("progress", share)
 
 
 def counts_by_processed(papers: DataFrame) -> DataFrame:

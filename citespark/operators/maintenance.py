@@ -23,9 +23,8 @@ def bulk_delete(documents: DataFrame, requested: DataFrame, user_id) -> tuple[Da
     wanted = requested.select("document_id").distinct()
     doomed = documents.filter(F.col("owner_id") == user_id).join(wanted, "document_id", "left_semi")
     rest = documents.join(doomed.select("document_id"), "document_id", "left_anti")
-    counts = (
-        doomed.agg(F.count("*").alias("deleted_count"))
-        .join(F.broadcast(requested.agg(F.count("*").alias("requested_count"))))  # one row each
+    counts = doomed.agg(F.count("*").alias("deleted_count")).withColumn(
+        "requested_count", requested.agg(F.count("*")).scalar()
     )
     return rest, counts
 

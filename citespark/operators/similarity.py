@@ -32,6 +32,7 @@ BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 65536
 QUERY_BLOCK_ROWS = 16384
 MATRIX_ROWS = 512
+SCAN_WAVES = 8
 # Equal vectors must tie whatever block they sit in; sums differ in the last bits.
 SIMILARITY_DIGITS = 12
 ANGLE_SLACK = 1e-6
@@ -95,7 +96,7 @@ def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int |
     size_ok = F.size(vector) > 0 if dim is None else F.size(vector) == dim
     return df.filter(F.col(vector).isNotNull() & size_ok).select(
         F.col(key).alias("key"),
-        F.col(vector).cast("array<double>").alias("vec"),
+        F.col(vector).alias("vec"),
         (F.lit(None).cast("string") if group is None else F.col(group)).alias("grp"),
     )
 
@@ -117,12 +118,11 @@ def _result_schema(q: DataFrame, c: DataFrame) -> T.StructType:
 
 
 def _scan_chunks(
-    chunks: DataFrame, schema: T.StructType, head: list, k: int, threshold: float, has_group: bool
+    chunks: DataFrame, schema: T.StructType, head: pa.Table, k: int, threshold: float, has_group: bool
 ) -> DataFrame:
     """Every task scores its own chunk partition against all (few) queries."""
-    keys = np.array([r["key"] for r in head], dtype=object)
-    unit = _matrix(pa.array([list(r["vec"]) for r in head], pa.list_(pa.float64())))
-    groups = np.array([r["grp"] for r in head], dtype=object) if has_group else None
+    keys, unit = _ids(head["key"]), _matrix(head["vec"])
+    groups = _ids(head["grp"]) if has_group else None
     shared = chunks.sparkSession.sparkContext.broadcast((keys, unit, groups))
     arrow = pa.schema(
         [
@@ -162,7 +162,9 @@ def _scan_chunks(
             }
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return chunks.mapInArrow(scan, schema)
+    # a task hands on up to k rows per query: few long tasks hand on less than many short ones
+    tasks = chunks.sparkSession.sparkContext.defaultParallelism * SCAN_WAVES
+    return chunks.coalesce(tasks).mapInArrow(scan, schema)
 
 
 @dataclass(frozen=True)
@@ -337,19 +339,17 @@ def similarity_join(
     out before the top-k (a paper is no neighbour of itself).
     """
     q = _vectors(queries, query_id, vector, exclude, None)
-    head = q.limit(broadcast_queries + 1).collect()
-    if not head:
-        empty = q.join(chunks.select(F.col(chunk_id).alias("chunk_key")).limit(0), F.lit(False))
-        found = empty.select(
-            F.col("key").alias("query_key"), "chunk_key", F.lit(0.0).alias("similarity")
-        )
-    elif len(head) <= broadcast_queries:
-        c = _vectors(chunks, chunk_id, vector, exclude, len(head[0]["vec"]))
+    head = q.limit(broadcast_queries + 1).toArrow()
+    if not head.num_rows:
+        c = _vectors(chunks, chunk_id, vector, exclude, None)
+        found = q.sparkSession.createDataFrame([], _result_schema(q, c))
+    elif head.num_rows <= broadcast_queries:
+        c = _vectors(chunks, chunk_id, vector, exclude, len(head["vec"][0]))
         found = _scan_chunks(
             c, _result_schema(q, c), head, k, min_similarity, exclude is not None
         )
     else:
-        c = _vectors(chunks, chunk_id, vector, exclude, len(head[0]["vec"]))
+        c = _vectors(chunks, chunk_id, vector, exclude, len(head["vec"][0]))
         centres = train_centres(c, "vec", n_cells)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
@@ -384,7 +384,7 @@ def similarity_join_ivf(
     q = _vectors(queries, query_id, vector, None, dim)
     c = indexed.filter(F.size(vector) == dim).select(
         F.col(chunk_id).alias("key"),
-        F.col(vector).cast("array<double>").alias("vec"),
+        F.col(vector).alias("vec"),
         F.lit(None).cast("string").alias("grp"),
         "cell",
     )

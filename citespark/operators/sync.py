@@ -229,8 +229,6 @@ def split_failures(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def high_water(plan: DataFrame, rejects: DataFrame, previous: int | None) -> DataFrame:
     """New mark: the highest version below every failed item, never below the old mark."""
     low = F.lit(previous).cast("long")
-    failed = rejects.agg(F.min("version").alias("_failed"))
-    done = plan.join(F.broadcast(failed)).filter(  # one row
-        F.col("_failed").isNull() | (F.col("version") < F.col("_failed"))
-    )
+    failed = rejects.agg(F.min("version")).scalar()
+    done = plan.filter(F.col("version") < F.coalesce(failed, F.col("version") + 1))
     return done.agg(F.greatest(F.max("version").cast("long"), low).alias("mark"))

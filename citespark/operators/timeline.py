@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 DAY_MICROS = 86_400 * MICROS
 ORDER_BUCKET = 4096
+HALO_SPANS = 32
 
 
 def micros(ts: str) -> Column:
@@ -120,12 +121,17 @@ def running_number(
 
 
 def _with_halo(df: DataFrame, ts: str, width: int, side: int) -> DataFrame:
-    """Every row in its own bucket, and as context in the bucket ``side`` away."""
-    own = F.floor(F.col("_t") / width)
+    """Rows in their own bucket; those within ``width`` of the border to the bucket
+    ``side`` away are repeated there as context. Buckets are many widths long, so
+    few rows are repeated."""
+    span = width * HALO_SPANS
+    within = F.pmod(F.col("_t"), F.lit(span))
+    near = within >= span - width if side > 0 else within < width
+    places = F.when(near, F.array(F.lit(0), F.lit(side))).otherwise(F.array(F.lit(0)))
     return (
         df.withColumn("_t", micros(ts))
-        .withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(side))))
-        .withColumn("_bucket", own + F.col("_shift"))
+        .withColumn("_shift", F.explode(places))
+        .withColumn("_bucket", F.floor(F.col("_t") / span) + F.col("_shift"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citespark.operators import bibliography as bb
-from citespark.operators import tree
+from citespark.operators import timeline, tree
 from suite.registry import query
 from suite.texts import ENTRY_SQL, latex_sql
 
@@ -128,11 +128,12 @@ LEFT JOIN wanted w ON w.document_id = a.document_id AND w.paper_id = a.paper_id"
     "assignments",
 )
 def reorder(t):
-    orders = (
-        assigned(t).filter("notes IS NOT NULL").groupBy("document_id")
-        .agg(F.array_sort(F.collect_list("paper_id")).alias("paper_ids"))
+    listed = timeline.running_number(
+        assigned(t).filter("notes IS NOT NULL").select("document_id", "paper_id"), ["document_id"], ["paper_id"],
+        timeline.number_bucket("paper_id"), "nth",
     )
-    snapshot, _ = bb.reorder(assigned(t), bb.order_rows(orders))
+    wanted = listed.select("document_id", "paper_id", (F.col("nth") - 1).alias("new_position"))
+    snapshot, _ = bb.reorder(assigned(t), wanted)
     return snapshot.select("document_id", "paper_id", "position")
 
 

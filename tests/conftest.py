@@ -12,7 +12,7 @@ from citespark.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **{"spark.sql.shuffle.partitions": "3", "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
            "spark.sql.streaming.stateStore.providerClass":
            "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"},
     )
