@@ -181,21 +181,31 @@ class CellIndex:
 
 
 def train_centres(
-    vectors: DataFrame, vector: str, n_cells: int, seed: int = 7, fraction: float = 1.0
+    vectors: DataFrame,
+    vector: str,
+    n_cells: int,
+    seed: int = 7,
+    max_iter: int = 10,
+    rows_per_cell: int = 1000,
 ) -> np.ndarray:
-    """Unit cell centres from k-means on unit vectors (at most ``n_cells`` rows)."""
+    """Unit cell centres from k-means on unit vectors (at most ``n_cells`` rows).
+
+    Centres only steer which rows meet: they are trained on a sample of about
+    ``rows_per_cell`` rows per cell, while every row is assigned and compared.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from citespark.functions.vectors import norm
 
     raw = vectors.filter(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v"))
+    fraction = rows_per_cell * n_cells / max(1, vectors.count())
     if fraction < 1.0:
         raw = raw.sample(fraction=fraction, seed=seed)
     unit = raw.withColumn("n", norm(F.col("v"))).filter("n > 0").select(
         array_to_vector(F.transform("v", lambda x: x / F.col("n"))).alias("features")
     )
-    model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(unit)
+    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(unit)
     centres = np.array(model.clusterCenters(), dtype=np.float64)
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
@@ -350,7 +360,7 @@ def similarity_join(
         )
     else:
         c = _vectors(chunks, chunk_id, vector, exclude, len(head["vec"][0]))
-        centres = train_centres(c, "vec", n_cells)
+        centres = train_centres(c, "vec", n_cells, max_iter=3)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
         parts = math.ceil(q.count() / query_block_rows)

@@ -101,6 +101,15 @@ def modified_since(items: DataFrame, mark, column: str = "version", force_full:
     return items if force_full or mark is None else items.filter(F.col(column) > F.lit(mark))
 
 
+def merge_libraries(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several libraries as one table with their ``library_id``; nothing is dropped."""
+    named = [df.withColumn("library_id", F.lit(name)) for name, df in parts.items()]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def item_histogram(items: DataFrame) -> DataFrame:
     return items.groupBy("item_type").agg(F.count("*").alias("items"))
 

@@ -143,7 +143,7 @@ def similarity_join(t):
 def similarity_join_blocks(t):
     """The form for query tables beyond the broadcast bound."""
     return _join(
-        t, k=30, min_similarity=MIN_SIM, broadcast_queries=0, n_cells=8, block_rows=64, query_block_rows=128
+        t, k=30, min_similarity=MIN_SIM, broadcast_queries=0, n_cells=8, block_rows=500, query_block_rows=700
     )
 
 

@@ -132,6 +132,23 @@ def extract_context(t):
     )
 
 
+_RAW = f"""WITH raw AS (SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, {_SENTENCE})) > 0
+  THEN regexp_extract_all(text, {_SENTENCE}) ELSE list_filter(string_split(text, chr(10)), lambda x: {q.strip('x')} <> '') END AS r FROM conversations),
+cur AS (SELECT *, {q.strip('coalesce(r[-1], CHR(0))')} AS c FROM raw)"""
+
+
+@query(
+    "editor_context",
+    _RAW + f""" SELECT conv_id, turn, CASE WHEN {_NO_MARKS.replace('(s,', '(c,')} = '' THEN c ELSE {_NO_MARKS.replace('(s,', '(c,')} END AS current_sentence,
+  CASE WHEN len(r) > 1 THEN {q.strip('r[-2]')} END AS previous_sentence, c AS paragraph FROM cur""",
+)
+def editor_context(t):
+    """Context at the end of every turn, as the editor sends it."""
+    return t.conversations.select("conv_id", "turn", tx.editor_context(F.col("text")).alias("c")).select(
+        "conv_id", "turn", "c.current_sentence", "c.previous_sentence", "c.paragraph"
+    )
+
+
 @query(
     "paragraph_at_cursor",
     f"""WITH parts AS (SELECT doc_id, CAST(n_chars / 2 AS INT) AS cursor,

@@ -171,6 +171,20 @@ def modified_since(t):
     return a.unionByName(sy.modified_since(items, 30, force_full=True).select("item_key", F.lit("full").alias("run")))
 
 
+@query(
+    "merge_libraries",
+    """SELECT concat('K', p_partkey) AS key, 'users/1' AS library_id FROM part
+UNION ALL SELECT concat('K', s_suppkey), 'groups/2' FROM supplier""",
+)
+def merge_libraries(t):
+    """The same key may occur in several libraries."""
+    parts = {
+        "users/1": t.part.selectExpr("concat('K', CAST(p_partkey AS STRING)) AS key"),
+        "groups/2": t.supplier.selectExpr("concat('K', CAST(s_suppkey AS STRING)) AS key"),
+    }
+    return sy.merge_libraries(parts)
+
+
 @query(
     "first_attachment",
     f"""WITH atts AS (SELECT concat('K', p_partkey) AS a_key, p_partkey AS seq, concat('K', p_partkey % 400) AS parent_key FROM part
