@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citespark.functions.text import empty_to_null
@@ -70,10 +70,6 @@ def _rule(name: str, violations: DataFrame) -> DataFrame:
     return violations.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
 
 
-def not_empty(table: DataFrame, column: str) -> DataFrame:
-    return _rule(f"{column} not empty", table.filter(F.col(column) == ""))
-
-
 def unique(table: DataFrame, columns: list[str]) -> DataFrame:
     """Number of key values that occur more than once; NULL keys never clash."""
     filled = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
@@ -85,31 +81,56 @@ def no_orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> Data
     return _rule(f"{name} without parent", child.join(parent.select(key), key, "left_anti"))
 
 
-def year_range(papers: DataFrame, low: int = 1900, high: int = 2100) -> DataFrame:
-    return _rule(f"year {low} to {high}", papers.filter(~F.col("year").between(low, high)))
-
-
 def vector_length(table: DataFrame, dim: int) -> DataFrame:
     wrong = F.col("embedding").isNotNull() & (F.size("embedding") != dim)
     return _rule(f"vector length {dim}", table.filter(wrong))
 
 
+def _counted(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break each rule, all counted in one pass over the table."""
+    counts = table.agg(*[F.count_if(c).alias(f"_{i}") for i, c in enumerate(rules.values())])
+    rows = [
+        F.struct(F.lit(name).alias("rule"), F.col(f"_{i}").alias("violations"))
+        for i, name in enumerate(rules)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def unique_columns(table: DataFrame, columns: list[str]) -> DataFrame:
+    """``unique`` for several single columns in one pass; NULL and '' never clash."""
+    names = {c: f"unique ({c})" for c in columns}
+    pairs = F.array(
+        *[F.struct(F.lit(r).alias("rule"), F.col(c).cast("string").alias("value")) for c, r in names.items()]
+    )
+    copies = (
+        table.select(F.inline(pairs))
+        .filter("value <> ''")
+        .groupBy("rule", "value")
+        .agg(F.count("*").alias("n"))
+        .select("rule", (F.col("n") > 1).cast("long").alias("twice"))
+    )
+    # every rule has a row, also when its column is empty
+    listed = table.sparkSession.createDataFrame([(r, 0) for r in names.values()], "rule string, twice long")
+    return copies.unionByName(listed).groupBy("rule").agg(F.sum("twice").alias("violations"))
+
+
 def check_constraints(
     papers: DataFrame, assignments: DataFrame, sync_state: DataFrame, chunks: DataFrame, dim: int
 ) -> DataFrame:
     """Violation counts of all rules in one table."""
     names = [c for c in IDENTIFIERS if c in papers.columns]
-    rules = [not_empty(papers, c) for c in names]
-    rules += [unique(papers.filter(F.col(c) != ""), [c]) for c in names]
-    rules += [
+    paper_rules = {f"{c} not empty": F.col(c) == "" for c in names}
+    paper_rules["year 1900 to 2100"] = ~F.col("year").between(1900, 2100)
+    parts = [
+        _counted(papers, paper_rules),
+        unique_columns(papers, names),
         unique(assignments, ["document_id", "paper_id"]),
         unique(sync_state, ["user_id", "item_key"]),
         no_orphans(assignments, papers, "paper_id", "assignment"),
         no_orphans(chunks, papers, "paper_id", "chunk"),
-        year_range(papers),
         vector_length(chunks, dim),
     ]
-    return reduce(DataFrame.unionByName, rules)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def apply_outcomes(papers: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
-DAY_MICROS = 86_400 * MICROS
+# short enough that a bucket of a hot key stays small, however long its history is
+BUCKET_MICROS = 60 * MICROS
 ORDER_BUCKET = 4096
 HALO_SPANS = 32
 
@@ -27,7 +28,7 @@ def number_bucket(order: str, size: int = ORDER_BUCKET) -> Column:
     return F.floor(F.col(order) / size)
 
 
-def time_bucket(ts: str, width_micros: int = DAY_MICROS) -> Column:
+def time_bucket(ts: str, width_micros: int = BUCKET_MICROS) -> Column:
     return F.floor(micros(ts) / width_micros)
 
 
@@ -181,11 +182,11 @@ def rate_limit(
     """
     width = int(window_seconds * MICROS)
     counted = sliding_count(df, key, ts, window_seconds, "_recent").withColumn("_t", micros(ts))
-    seen = previous_row(counted, [key], ["_t", tie], ["_t"], time_bucket(ts, max(width, DAY_MICROS)))
+    seen = previous_row(counted, [key], ["_t", tie], ["_t"], time_bucket(ts))
     first = F.col("prev__t").isNull() | (F.col("_t") - F.col("prev__t") >= width)
     seen = seen.withColumn("_start", F.when(first, F.col("_t"))).drop("prev__t")
     pieces = carry_forward(
-        seen, [key], ["_t", tie], "_start", time_bucket(ts, max(width, DAY_MICROS)), "_piece"
+        seen, [key], ["_t", tie], "_start", time_bucket(ts), "_piece"
     ).drop("_start")
     worst = pieces.groupBy(key, "_piece").agg(F.max("_recent").alias("_worst"))
     pieces = pieces.join(worst, [key, "_piece"])

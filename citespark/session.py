@@ -1,10 +1,8 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "citespark", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,27 +18,3 @@ def build_session(app: str = "citespark", master: str | None = None, **conf: str
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none and no
-    cluster is involved (tests, local runs); a cluster without the setting is
-    an error, because executors could not read a machine-local folder.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        current = tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
