@@ -61,7 +61,7 @@ def embed_with_cache(
 
     Each distinct text is embedded once, however often it occurs.
     """
-    keyed = df.withColumn("text_key", text_key(F.col(text)))
+    keyed = df.drop("embedding").withColumn("text_key", text_key(F.col(text)))
     distinct = keyed.filter(F.col(text).isNotNull()).groupBy("text_key").agg(F.first(text).alias("_text"))
     if cache is not None:
         distinct = distinct.join(cache.select("text_key"), "text_key", "left_anti")
