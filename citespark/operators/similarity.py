@@ -279,14 +279,15 @@ def _block_join(
     has_group: bool,
 ) -> DataFrame:
     """Equi-join of query blocks and chunk blocks; each pair is one bounded task group."""
-    shared = q.sparkSession.sparkContext.broadcast(index)
+    # plain arrays: a broadcast value of our own class would need this package on the workers
+    shared = q.sparkSession.sparkContext.broadcast((index.centres, index.radius, index.blocks))
 
     @F.pandas_udf("array<int>")
     def targets(vec: pd.Series) -> pd.Series:
         rows = np.stack(vec.to_list()).astype(np.float64)
         with np.errstate(invalid="ignore", divide="ignore"):
             rows = np.nan_to_num(rows / np.linalg.norm(rows, axis=1, keepdims=True))
-        return pd.Series(_reachable(shared.value, threshold, n_probe)(rows))
+        return pd.Series(_reachable(CellIndex(*shared.value), threshold, n_probe)(rows))
 
     # a lookup of at most n_cells entries: cell -> number of blocks
     n_blocks = F.array(*[F.lit(int(b)) for b in index.blocks])
