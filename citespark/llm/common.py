@@ -96,14 +96,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def finite_vectors(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector is neither null nor zero and has finite components only."""
-    v = F.col(vector)
-    usable = F.coalesce(
-        F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0),
-        F.lit(False),
-    )
-    return df.filter(usable)
+def usable_vector(v: Column) -> Column:
+    """True for vectors that are neither null nor zero and have finite components only, else False."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def mixed(values: np.ndarray, seed: int) -> np.ndarray:
@@ -178,7 +174,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for earlier in reversed(maps[:-1]):
         later = found.select(F.col("node").alias("to"), F.col("to").alias("_last"))
         found = checkpoint(earlier.join(later, "to", "left").select("node", F.coalesce("_last", "to").alias("to")))
-    smallest = found.groupBy("to").agg(F.min("node").alias("component"))
+    smallest = checkpoint(found.groupBy("to").agg(F.min("node").alias("component")))
     return found.join(smallest, "to").select("node", "component")
 
 
