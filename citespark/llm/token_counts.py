@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str, text: str =
     fresh = count_contents(missing_contents(docs, stored, text), tokenizer)
     fresh.write.mode("append").parquet(f"{cache}/version={tokenizer.version}")
     known = checkpoint(stored_counts(spark, cache, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
-    measured = docs.withColumns({
+    measured = docs.drop(*({"digest", "n_bytes", "n_tokens"} - {text})).withColumns({
         "digest": content_digest(F.col(text)), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
     })
     # both sides are plain exchanges here, so Spark can split a digest that many rows share

@@ -1,0 +1,176 @@
+"""Licence expressions, main text of pages, and the two classifiers on held-out documents."""
+
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from citespark.llm import html_text, licenses, quality, toxicity
+from citespark.llm.common import id_crc
+
+
+def brute_scan(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    places, labels = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split()
+        for i in range(len(words) - len(parts) + 1):
+            if words[i : i + len(parts)] == parts:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+TEXTS = [
+    "", "Apache License, Version 2.0", "MIT-License mit license MIT LICENSE", "cc by cc by", "GNU General\nPublic   License v3 and cc-by 4.0",
+    "gnu general public", "permit license", "mit licenses", "café mit license", "mit\x85license", "a\tmit\x00license!",
+]
+
+
+def test_base_places_by_definition():
+    scan = licenses.scanner()
+    for text in TEXTS:
+        assert scan(text)[:5] == brute_scan(text), text
+
+
+def test_base_places_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = licenses.scan_licenses(docs).select("text", "scan.*").collect()
+    assert any(r["n_base"] for r in rows)
+    for r in rows:
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_scan(r["text"])
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+@pytest.mark.parametrize(
+    "expression, postfix, labels, freedom",
+    [
+        ("mit", "mit", {"mit"}, 0.9),
+        ("mit or gpl-2.0-only", "mit gpl-2.0-only or", {"mit", "gpl"}, 0.9),
+        ("mit or gpl-2.0 and apache-2.0", "mit gpl-2.0 apache-2.0 and or", {"mit", "gpl", "apache"}, 0.9),
+        ("(mit or gpl-2.0) and apache-2.0", "mit gpl-2.0 or apache-2.0 and", {"mit", "gpl", "apache"}, 0.9),
+        ("gpl-2.0-or-later with classpath-exception-2.0", "gpl-2.0-or-later classpath-exception-2.0 with", {"gpl"}, 0.5),
+        ("gpl-2.0 with x and mit", "gpl-2.0 x with mit and", {"gpl", "mit"}, 0.5),
+        ("somethingelse", "somethingelse", set(), 0.1),
+        ("((mit", "mit", {"mit"}, 0.9),
+        ("mit and", "mit", {"mit"}, 0.9),
+    ],
+)
+def test_expressions(expression, postfix, labels, freedom):
+    tokens = licenses.tokens_after(expression, 0)
+    assert licenses.to_postfix(tokens) == postfix.split()
+    assert licenses.evaluate(licenses.to_postfix(tokens)) == (labels, pytest.approx(freedom))
+
+
+def test_tags_add_labels():
+    scan = licenses.scanner()
+    row = scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND LGPL-2.1+ */\nnext line GPL-3.0")
+    assert row[5] == "apache,lgpl,mit" and row[4] == "" and row[6] == pytest.approx(0.4)
+    assert scan("SPDX-License-Identifier:")[5] == ""
+    assert scan("no license here")[6] == licenses.NO_NOTICE
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header>Site name</header>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>%s
+<aside>Side</aside><div id="comments"><p>Nice post!</p></div><form><label>Mail</label><input></form><script>var x="</p>";</script>
+<footer>&copy; Me</footer></body></html>"""
+BODY = "<h1>Big &amp; <b>bold</b>\n title</h1><p>First   paragraph of the text,<br>with words.</p><ul><li>One item of a list</li></ul><p>Er.</p>"
+LINES = "Big & bold title\nFirst paragraph of the text,\nwith words.\nOne item of a list\nEr."
+
+
+def test_pages_with_and_without_article(spark):
+    costs = {"li": 12.0, "a": 12.0, "p": 0.02, "h1": 0.02, "ul": 12.0}
+    assert html_text.Page(PAGE % f"<article>{BODY}</article>").text(costs) == LINES
+    assert html_text.Page(PAGE % f'<div class="post">{BODY}</div>').text({"p": 0.02}) == LINES
+    for broken in ("", "<p", "<!-- open", "<div class='a\"b'>", "<script>never closed", "</p></div>", "<nav><nav>"):
+        assert html_text.Page(broken).text({}) == ""
+    assert html_text.Page('<div class="ad"><p>text after an open advert').text({}) == "text after an open advert"
+    assert html_text.Page("a &lt;b&gt; c&nbsp;&#100;").text({}) == "a <b> c d"
+
+
+def test_run_leaves_out_links_at_the_edges():
+    menu = "".join(f"<div><a href=x>Link{i}</a></div>" for i in range(5))
+    text = "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(3))
+    page = html_text.Page(f"<body>{menu}{text}{menu}</body>")
+    assert page.text({"a": 12.0, "div": 3.0, "p": 0.02}).count("\n") == 2
+    assert "Link" not in page.text({"a": 12.0, "div": 3.0, "p": 0.02})
+
+
+def test_pages_of_the_table(spark, sf_dir):
+    from html import unescape
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = html_text.extract_main_text(pages).collect()
+    for r in rows:
+        article = r["html"].split("<article>")[1].split("</article>")[0]
+        blocks = re.split(r"</?(?:p|h1|br)>", article.replace("<b>", "").replace("</b>", ""))
+        lines = [" ".join(unescape(b).split()) for b in blocks]
+        assert r["text"] == "\n".join(x for x in lines if x)
+
+
+def held_out(spark, module, fit, score, label, folds, fold, limit):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    out = id_crc(F.col("doc_id")) % folds == fold
+    model = fit(docs, labels, ~out)
+    column = score(model)(F.col("text"))
+    rows = docs.filter(out).join(labels, "doc_id").filter(F.col(label).isNotNull()).select(label, column.alias("s")).toPandas()
+    y, p = rows[label].to_numpy() == 1, rows["s"].to_numpy() >= limit
+    assert ((rows["s"] >= 0) & (rows["s"] <= 1)).all()
+    return (p & y).sum() / max(1, y.sum()), (~p & ~y).sum() / max(1, (~y).sum())
+
+
+def test_toxicity_held_out(spark):
+    found, clean = held_out(spark, toxicity, toxicity.fit_toxicity, toxicity.toxicity_score, "toxic", 3, 1, 0.7)
+    assert found > 0.95 and clean > 0.99
+
+
+def test_quality_held_out(spark):
+    good, bad = held_out(spark, quality, quality.fit_quality, quality.quality_score, "quality", 5, 0, 0.3)
+    assert good > 0.98 and bad > 0.95
+
+
+def test_forward_backward_by_enumeration():
+    rng = np.random.default_rng(3)
+    counts = np.array([3, 1, 4])
+    emit, move = rng.standard_normal(8), rng.standard_normal((2, 2))
+    marginal, pairs, logz = quality.forward_backward(emit, counts, move)
+    at, expected_pairs = 0, np.zeros((2, 2))
+    for d, n in enumerate(counts):
+        weights = {}
+        for code in range(2**n):
+            y = [code >> k & 1 for k in range(n)]
+            weights[tuple(y)] = np.exp(sum(emit[at + k] * y[k] for k in range(n)) + sum(move[a, b] for a, b in zip(y, y[1:])))
+        z = sum(weights.values())
+        assert np.isclose(np.log(z), logz[d])
+        for k in range(n):
+            assert np.isclose(sum(w for y, w in weights.items() if y[k]) / z, marginal[at + k])
+        for y, w in weights.items():
+            for a, b in zip(y, y[1:]):
+                expected_pairs[a, b] += w / z
+        at += n
+    assert np.allclose(pairs, expected_pairs)
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(2)
+    raw = rng.standard_normal(300)
+    xs, ys = toxicity.isotonic(raw, (rng.random(300) < 1 / (1 + np.exp(-3 * raw))).astype(float))
+    assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= -1e-12).all()
+
+
+def test_disguised_words():
+    assert toxicity.disguised_words(b"an id10t and a m.o.r.o.n e-mail 100 ok.") == ["idiot", "moron", "email"]
+
+
+def test_vector_sql_agrees(spark, sf_dir):
+    from citespark.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    expected = con.sql(ORACLE["op5_vector_dups"]).fetchall()
+    got = [tuple(r) for r in QUERIES["op5_vector_dups"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(expected)
