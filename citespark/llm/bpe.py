@@ -15,10 +15,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,7 +233,7 @@ def decode_ids(table: DataFrame, path: str, ids: str = "ids", out: str = "decode
     content = read_file(path)
 
     @F.pandas_udf("string")
-    def decode(parts):
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         _, work = coder(content)
         for series in parts:
             yield series.map(lambda x: None if x is None else work(bytes(x)))

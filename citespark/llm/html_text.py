@@ -84,6 +84,7 @@ class Page:
         self.blocks: list[str] = []
         self.tags: list[list[str]] = []  # tags since the block before
         self.inside: list[bool] = []
+        self.links: list[int] = []  # words in links
         self.outside_tags: Counter = Counter()  # of left-out elements and of what stands outside an article
         self.inside_tags: Counter = Counter()
         self.has_article = False
@@ -92,24 +93,27 @@ class Page:
     def _read(self, html: str) -> None:
         parts: list[str] = []
         passed: list[str] = []
-        open_articles, at, skip_to = 0, 0, 0
+        open_articles, at = 0, 0
+        in_link, link_words = False, 0
 
         def flush() -> None:
+            nonlocal link_words
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 self.blocks.append(text)
                 self.tags.append(passed.copy())
                 self.inside.append(open_articles > 0)
+                self.links.append(link_words)
                 passed.clear()
+            link_words = 0
 
-        for match in _PART.finditer(html):
-            start = match.start()
-            if start < skip_to:
-                continue
-            if start > at:
-                text = html[at:start]
+        while match := _PART.search(html, at):
+            if match.start() > at:
+                text = html[at : match.start()]
                 parts.append(unescape(text) if "&" in text else text)
+                if in_link:
+                    link_words += len(parts[-1].split())
             at = match.end()
             tag = match[2] or match[5]
             if tag is None:
@@ -119,6 +123,8 @@ class Page:
             tag = tag.lower()
             closing = bool(match[1] or match[4])
             attributes = match[3] or match[6] or ""
+            if tag == "a":
+                in_link = not closing
             if closing:
                 if tag in BLOCK_TAGS:
                     flush()
@@ -126,8 +132,7 @@ class Page:
                     open_articles -= 1
                 continue
             if tag in RAW_TAGS:
-                at = skip_to = 0 if attributes.endswith("/") else raw_end(html, tag, at)
-                at = skip_to = max(at, match.end())
+                at = raw_end(html, tag, at)
                 continue
             (self.inside_tags if open_articles else self.outside_tags)[tag] += 1
             if tag not in VOID_TAGS and not attributes.endswith("/") and left_out(tag, attributes, open_articles > 0):
@@ -138,7 +143,7 @@ class Page:
                         name = inner[2] or inner[5]
                         if name and not (inner[1] or inner[4]):
                             self.outside_tags[name.lower()] += 1
-                    at = skip_to = end
+                    at = end
                     passed.append(tag)
                 continue
             if tag in BLOCK_TAGS:
@@ -157,13 +162,14 @@ class Page:
     def text(self, costs: dict[str, float]) -> str:
         """The blocks of the best run, one per line."""
         best, best_run, run, first = 0.0, (0, 0), 0.0, 0
-        for i, (block, tags, inside) in enumerate(zip(self.blocks, self.tags, self.inside)):
+        for i, (block, tags, inside, links) in enumerate(zip(self.blocks, self.tags, self.inside, self.links)):
             words = block.count(" ") + 1
             if self.has_article:
                 # a marked article is a label: its tags cost nothing inside it, words outside of it count as tags do
                 gain, cost = (WORD_SCORE * words, 0.0) if inside else (-COST_OUTSIDE * words, COST_OUTSIDE)
             else:
-                gain, cost = WORD_SCORE * words, sum(costs.get(t, COST_UNKNOWN) for t in tags)
+                # words of links lead away from the content
+                gain, cost = WORD_SCORE * (words - 2 * min(words, links)), sum(costs.get(t, COST_UNKNOWN) for t in tags)
             if run - cost > 0:
                 run -= cost
             else:
