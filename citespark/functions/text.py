@@ -270,8 +270,9 @@ def empty_to_null(value: Column) -> Column:
 
 
 def contains_pattern(value: Column, needle: str) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` of the needle act as wildcards."""
-    return F.ilike(value, F.lit(f"%{needle}%"))
+    """Case-insensitive substring test; ``%`` and ``_`` of the needle act as wildcards, a backslash is itself."""
+    plain = needle.replace("\\", "\\\\")
+    return F.ilike(value, F.lit(f"%{plain}%"))
 
 
 def split_names(value: Column) -> Column:

@@ -83,9 +83,10 @@ def reorder(assignments: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataF
     """New positions for listed papers (document_id, paper_id, new_position from 0).
 
     Returns the snapshot, in which other papers keep theirs, and the listed
-    pairs that do not exist.
+    pairs that do not exist. Of several positions for one paper the largest counts.
     """
     keys = ["document_id", "paper_id"]
+    wanted = wanted.groupBy(*keys).agg(F.max("new_position").alias("new_position"))
     snapshot = (
         assignments.join(wanted.select(*keys, "new_position"), keys, "left")
         .withColumn("position", F.coalesce("new_position", "position").cast("int"))
@@ -100,9 +101,9 @@ def order_rows(orders: DataFrame) -> DataFrame:
 
 
 def update_assignments(assignments: DataFrame, patches: DataFrame) -> DataFrame:
-    """Notes and positions from patches where those are not NULL."""
+    """Notes and positions from patches where those are not NULL; of several for one paper the largest of each."""
     keys = ["document_id", "paper_id"]
-    p = patches.select(*keys, F.col("notes").alias("_notes"), F.col("position").alias("_position"))
+    p = patches.groupBy(*keys).agg(F.max("notes").alias("_notes"), F.max("position").alias("_position"))
     return assignments.join(p, keys, "left").withColumns(
         {"notes": F.coalesce("_notes", "notes"), "position": F.coalesce("_position", "position")}
     ).drop("_notes", "_position")
@@ -228,12 +229,13 @@ def latex_document(
 def bundle(latex: DataFrame, bibtex: DataFrame) -> DataFrame:
     """Files of a project (document_id, filename, part_no, content).
 
-    The bibliography file is left out for documents without papers.
+    The bibliography file is left out for documents without papers, which only
+    their header part tells.
     """
     main = latex.select(
         "document_id", F.lit("main.tex").alias("filename"), F.lit(0).alias("part_no"), "content"
     )
-    bib = bibtex.filter(~F.col("content").contains("No papers assigned")).select(
+    bib = bibtex.filter((F.col("part_no") >= 0) | (F.col("content") != NO_PAPERS)).select(
         "document_id", F.lit("references.bib").alias("filename"), "part_no", "content"
     )
     return main.unionByName(bib)

@@ -142,10 +142,13 @@ def patch_rows(table: DataFrame, patches: DataFrame, key: str, fields: list[str]
     """New snapshot with the set fields of a patch table.
 
     ``patches`` holds the key, new values and a boolean ``set_<field>`` for each
-    field, so that NULL can be a new value.
+    field, so that NULL can be a new value. Of several patches that set a field of
+    one row the largest value counts.
     """
-    p = patches.select(
-        key, *[F.col(f).alias(f"_new_{f}") for f in fields], *[f"set_{f}" for f in fields]
+    chosen = [F.max(F.struct(F.when(F.col(f"set_{f}"), F.struct(f)).alias("v")))["v"].alias(f"_set_{f}") for f in fields]
+    p = patches.groupBy(key).agg(*chosen).select(
+        key, *[F.col(f"_set_{f}")[f].alias(f"_new_{f}") for f in fields],
+        *[F.col(f"_set_{f}").isNotNull().alias(f"set_{f}") for f in fields],
     )
     out = table.join(p, key, "left")
     for f in fields:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citespark.operators.keyed import one_per_key
+
 from citespark.functions.text import empty_to_null
 
 IDENTIFIERS = ["doi", "arxiv_id", "pubmed_id", "semantic_scholar_id"]
@@ -134,8 +136,8 @@ def check_constraints(
 
 
 def apply_outcomes(papers: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
-    """Processed or failed per paper (``error`` NULL means success)."""
-    done = outcomes.select("paper_id", F.col("error").alias("_error"), F.lit(True).alias("_done"))
+    """Processed or failed per paper (``error`` NULL means success); of several outcomes one error makes a failure."""
+    done = outcomes.groupBy("paper_id").agg(F.max("error").alias("_error")).withColumn("_done", F.lit(True))
     hit = F.col("_done").isNotNull()
     return papers.join(done, "paper_id", "left").withColumns(
         {
@@ -159,8 +161,8 @@ def reset_for_processing(papers: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def merge_metadata(papers: DataFrame, resolved: DataFrame, fields: list[str]) -> DataFrame:
-    """Resolved values where present, the paper's own values elsewhere."""
-    new = resolved.select("paper_id", *[F.col(f).alias(f"_new_{f}") for f in fields])
+    """Resolved values where present, the paper's own values elsewhere; one record per paper counts (``one_per_key``)."""
+    new = one_per_key(resolved.select("paper_id", *fields), ["paper_id"]).select("paper_id", *[F.col(f).alias(f"_new_{f}") for f in fields])
     out = papers.join(new, "paper_id", "left")
     return out.withColumns({f: F.coalesce(f"_new_{f}", f) for f in fields}).drop(
         *[f"_new_{f}" for f in fields]

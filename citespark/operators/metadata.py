@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citespark.operators.keyed import one_per_key
+
 FIELDS = ["title", "authors", "abstract", "year", "journal", "doi", "citation_count", "source_url"]
 
 
@@ -15,7 +17,8 @@ def _record(df: DataFrame, key: str, name: str) -> DataFrame:
         (F.col(f) if f in df.columns else F.lit(None)).cast(types.get(f, "string")).alias(f)
         for f in FIELDS
     ]
-    return df.filter(F.col(key).isNotNull()).select(F.col(key).alias(f"_{name}_key"), F.struct(*columns).alias(name))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias(f"_{name}_key"), F.struct(*columns).alias(name))
+    return one_per_key(rows, [f"_{name}_key"])
 
 
 def _left_lookup(rows: DataFrame, column: str, table: DataFrame, name: str) -> DataFrame:
@@ -40,12 +43,13 @@ def resolve_metadata(
     value. Identifiers found in the text are always kept.
 
     ``papers``: paper_id plus fields; ``identifiers``: paper_id, arxiv_id, doi;
+    Of several rows with one key in a lookup table one counts (``one_per_key``).
     ``arxiv``: arxiv_id plus fields; ``works``: doi plus fields (``doi`` is the
     key); ``guessed``: paper_id plus fields.
     """
-    found = identifiers.select(
+    found = one_per_key(identifiers.select(
         "paper_id", F.col("arxiv_id").alias("_found_arxiv"), F.col("doi").alias("_found_doi")
-    )
+    ), ["paper_id"])
     rows = papers.join(found, "paper_id", "left")
     rows = _left_lookup(rows, "_found_arxiv", _record(arxiv, "arxiv_id", "_arxiv"), "_arxiv")
     rows = _left_lookup(rows, "_found_doi", _record(works, "doi", "_works"), "_works")

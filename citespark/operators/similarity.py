@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citespark.functions.vectors import require_dimension
+
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 65536
 QUERY_BLOCK_ROWS = 16384
 MATRIX_ROWS = 512
-SCAN_WAVES = 8
 # Equal vectors must tie whatever block they sit in; sums differ in the last bits.
 SIMILARITY_DIGITS = 12
 ANGLE_SLACK = 1e-6
@@ -92,15 +93,27 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int | None) -> DataFrame:
-    """Key, vector and exclusion group of the rows that can take part."""
-    size_ok = F.size(vector) > 0 if dim is None else F.size(vector) == dim
-    return df.filter(F.col(vector).isNotNull() & size_ok).select(
+    """Key, vector and exclusion group of the rows that can take part.
+
+    Rows without a vector (NULL or empty) are not embedded yet. A vector of
+    another length than ``dim`` is an error of the job in every physical form.
+    """
+    vec = F.col(vector) if dim is None else require_dimension(F.col(vector), dim)
+    return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(
         F.col(key).alias("key"),
-        F.col(vector).alias("vec"),
+        vec.alias("vec"),
         (F.lit(None).cast("string") if group is None else F.col(group)).alias("grp"),
     )
 
 
+def _common_dimension(sizes: list[int], dim: int | None) -> int:
+    """The one length of the query vectors, which must be ``dim`` where that is given."""
+    wrong = sorted({n for n in sizes if n != (sizes[0] if dim is None else dim)})
+    if wrong:
+        raise ValueError(f"expected query vectors of {sizes[0] if dim is None else dim} dimensions, got {wrong}")
+    return sizes[0]
+
+
 def top_k(candidates: DataFrame, query_id: str, chunk_id: str, k: int) -> DataFrame:
     """Best k rows per query by similarity, ties by chunk id, with their rank."""
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.col(chunk_id))
@@ -162,9 +175,7 @@ def _scan_chunks(
             }
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    # a task hands on up to k rows per query: few long tasks hand on less than many short ones
-    tasks = chunks.sparkSession.sparkContext.defaultParallelism * SCAN_WAVES
-    return chunks.coalesce(tasks).mapInArrow(scan, schema)
+    return chunks.mapInArrow(scan, schema)
 
 
 @dataclass(frozen=True)
@@ -186,12 +197,11 @@ def train_centres(
     n_cells: int,
     seed: int = 7,
     max_iter: int = 10,
-    rows_per_cell: int = 1000,
 ) -> np.ndarray:
-    """Unit cell centres from k-means on unit vectors (at most ``n_cells`` rows).
+    """Unit cell centres from k-means on all unit vectors (at most ``n_cells`` rows).
 
-    Centres only steer which rows meet: they are trained on a sample of about
-    ``rows_per_cell`` rows per cell, while every row is assigned and compared.
+    Pass a sample of the table to train on less; every row is assigned and
+    compared in any case.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -199,9 +209,6 @@ def train_centres(
     from citespark.functions.vectors import norm
 
     raw = vectors.filter(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v"))
-    fraction = rows_per_cell * n_cells / max(1, vectors.count())
-    if fraction < 1.0:
-        raw = raw.sample(fraction=fraction, seed=seed)
     unit = raw.withColumn("n", norm(F.col("v"))).filter("n > 0").select(
         array_to_vector(F.transform("v", lambda x: x / F.col("n"))).alias("features")
     )
@@ -343,10 +350,14 @@ def similarity_join(
     n_cells: int = 64,
     block_rows: int = BLOCK_ROWS,
     query_block_rows: int = QUERY_BLOCK_ROWS,
+    centres: np.ndarray | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """Exact top-k chunks per query with cosine similarity strictly above the threshold.
 
-    ``exclude`` names a column of both tables; pairs with equal values are left
+    All vectors have ``dim`` elements (default: as many as the queries have);
+    others are an error. Beyond ``broadcast_queries`` queries ``centres`` of a
+    stored index spare the training. ``exclude`` names a column of both tables; pairs with equal values are left
     out before the top-k (a paper is no neighbour of itself).
     """
     q = _vectors(queries, query_id, vector, exclude, None)
@@ -355,13 +366,16 @@ def similarity_join(
         c = _vectors(chunks, chunk_id, vector, exclude, None)
         found = q.sparkSession.createDataFrame([], _result_schema(q, c))
     elif head.num_rows <= broadcast_queries:
-        c = _vectors(chunks, chunk_id, vector, exclude, len(head["vec"][0]))
+        size = _common_dimension([len(v) for v in head["vec"]], dim)
+        c = _vectors(chunks, chunk_id, vector, exclude, size)
         found = _scan_chunks(
             c, _result_schema(q, c), head, k, min_similarity, exclude is not None
         )
     else:
-        c = _vectors(chunks, chunk_id, vector, exclude, len(head["vec"][0]))
-        centres = train_centres(c, "vec", n_cells, max_iter=3)
+        span = q.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension(list(span), dim))
+        if centres is None:
+            centres = train_centres(c, "vec", n_cells)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
         parts = math.ceil(q.count() / query_block_rows)
@@ -393,9 +407,9 @@ def similarity_join_ivf(
     """
     dim = index.centres.shape[1]
     q = _vectors(queries, query_id, vector, None, dim)
-    c = indexed.filter(F.size(vector) == dim).select(
+    c = indexed.filter(F.size(vector) > 0).select(
         F.col(chunk_id).alias("key"),
-        F.col(vector).alias("vec"),
+        require_dimension(F.col(vector), dim).alias("vec"),
         F.lit(None).cast("string").alias("grp"),
         "cell",
     )

@@ -54,24 +54,24 @@ def libraries_to_fetch(
 
 
 def locate_collections(selected: DataFrame, collections: DataFrame, key: str = "user_id") -> DataFrame:
-    """Library of every selected collection: the named one, else the last library (in
-    ``library_order``) that holds the key; keys found nowhere stay without a library."""
-    last = collections.groupBy(F.col("collection_key")).agg(
+    """Library of every selected collection: the named one, else the last of the user's own
+    libraries (in ``library_order``) that holds the key; keys found nowhere stay without a library."""
+    last = collections.groupBy(key, "collection_key").agg(
         F.max_by("library_id", "library_order").alias("_found")
     )
-    return selected.join(last, "collection_key", "left").select(
+    return selected.join(last, [key, "collection_key"], "left").select(
         key, "position", "collection_key", F.coalesce("library_id", "_found").alias("library_id")
     )
 
 
 def migrate_collections(selected: DataFrame, collections: DataFrame, key: str = "user_id") -> DataFrame:
-    """All selected collections in the new format; for bare keys the first library
-    holding them counts, unknown bare keys are dropped."""
-    first = collections.groupBy("collection_key").agg(
+    """All selected collections in the new format; for bare keys the first of the user's own
+    libraries holding them counts, unknown bare keys are dropped."""
+    first = collections.groupBy(key, "collection_key").agg(
         F.min_by("library_id", "library_order").alias("_found")
     )
     return (
-        selected.join(first, "collection_key", "left")
+        selected.join(first, [key, "collection_key"], "left")
         .withColumn("library_id", F.coalesce("library_id", "_found"))
         .filter("library_id IS NOT NULL")
         .select(key, "position", "collection_key", "library_id")
@@ -97,8 +97,10 @@ def in_collections(items: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def modified_since(items: DataFrame, mark, column: str = "version", force_full: bool = False) -> DataFrame:
-    """Items past the stored mark; all of them without a mark or when forced."""
-    return items if force_full or mark is None else items.filter(F.col(column) > F.lit(mark))
+    """Items past the stored mark and items without a version; all of them without a mark or when forced."""
+    if force_full or mark is None:
+        return items
+    return items.filter(F.col(column).isNull() | (F.col(column) > F.lit(mark)))
 
 
 def merge_libraries(parts: dict[str, DataFrame]) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from citespark.functions.citations import escape_latex
 
-MAX_DEPTH = 64
 BOLD, ITALIC, STRIKE, CODE = 1, 2, 8, 16
 # LaTeX commands of heading levels.
 HEADINGS = {"h1": "\\section", "h2": "\\subsection", "h3": "\\subsubsection",
@@ -25,10 +24,28 @@ HEADINGS = {"h1": "\\section", "h2": "\\subsection", "h3": "\\subsubsection",
 
 # marks; see render_latex for their meaning
 _S, _E, _U, _V, _W, _X, _Y, _R = (chr(0xE000 + i) for i in range(8))
-_MARKS = f"[{_S}-{_R}]"
+# The same characters in a text are data: while marks are at work they stand as _HIDE and a character of the next block.
+_HIDE = chr(0xE008)
+_OWN = [chr(0xE000 + i) for i in range(9)]
+_AWAY = [chr(0xE010 + i) for i in range(9)]
 _LAST = 2**31 - 1
 
 
+def _hide(text: Column) -> Column:
+    """A text without mark characters, to be turned back by ``_show``."""
+    moved = F.translate(F.regexp_replace(text, f"([{_OWN[0]}-{_OWN[-1]}])", f"{_HIDE}$1"), "".join(_OWN[:8]), "".join(_AWAY[:8]))
+    # the escape character itself: every one that a text holds has just been doubled
+    moved = F.replace(moved, F.lit(_HIDE + _HIDE), F.lit(_HIDE + _AWAY[8]))
+    return F.when(F.regexp_like(text, F.lit(f"[{_OWN[0]}-{_OWN[-1]}]")), moved).otherwise(text)
+
+
+def _show(text: Column) -> Column:
+    out = text
+    for own, away in zip(_OWN, _AWAY):
+        out = F.replace(out, F.lit(_HIDE + away), F.lit(own))
+    return F.when(text.contains(_HIDE), out).otherwise(text)
+
+
 def _children(node: Column) -> Column:
     return F.coalesce(
         F.try_variant_get(node, "$.children", "array<variant>"), F.array().cast("array<variant>")
@@ -39,11 +56,12 @@ def _get(node: Column, name: str, kind: str = "string") -> Column:
     return F.try_variant_get(node, f"$.{name}", kind)
 
 
-def unfold(content: Column, root_mode: str, child_mode: Callable, max_depth: int = MAX_DEPTH) -> Column:
+def unfold(content: Column, root_mode: str, child_mode: Callable) -> Column:
     """All nodes below the root as an array of typed records, level by level.
 
     Every node carries a mode its parent chose: ``child_mode(mode, type, has_text, node)``.
-    A tree deeper than ``max_depth`` is an error, never cut.
+    A node needs an opening brace, so their number bounds the levels of a document,
+    however deep it is.
     """
     top = F.coalesce(
         F.try_variant_get(F.try_parse_json(content), "$.root.children", "array<variant>"),
@@ -76,14 +94,8 @@ def unfold(content: Column, root_mode: str, child_mode: Callable, max_depth: int
         )
         return F.when(F.size(s["front"]) == 0, s).otherwise(grown)
 
-    nodes = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
-        state,
-        step,
-        lambda s: F.when(F.size(s["front"]) == 0, s["done"]).otherwise(
-            F.raise_error(F.lit(f"tree deeper than {max_depth} levels"))
-        ),
-    )
+    levels = F.greatest(F.lit(1), F.length(content) - F.length(F.replace(content, F.lit("{"), F.lit(""))))
+    nodes = F.aggregate(F.sequence(F.lit(1), F.coalesce(levels, F.lit(1))), state, step, lambda s: s["done"])
 
     def typed(n: Column) -> Column:
         v = n["node"]
@@ -93,7 +105,7 @@ def unfold(content: Column, root_mode: str, child_mode: Callable, max_depth: int
             n["path"].alias("path"),
             n["mode"].alias("mode"),
             F.coalesce(_get(v, "type"), F.lit("")).alias("type"),
-            F.regexp_replace(_get(v, "text"), _MARKS, "").alias("text"),
+            _get(v, "text").alias("text"),
             F.coalesce(_get(v, "format", "int"), F.lit(0)).alias("format"),
             F.coalesce(_get(v, "tag"), F.lit("h1")).alias("tag"),
             F.coalesce(_get(v, "listType"), F.lit("bullet")).alias("list_type"),
@@ -112,9 +124,9 @@ def _keep_mode(mode: Column, kind: Column, has_text: Column, node: Column) -> Co
     return mode
 
 
-def node_table(documents: DataFrame, key: str, content: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def node_table(documents: DataFrame, key: str, content: str) -> DataFrame:
     """One row per node with its path, type and attributes."""
-    nodes = unfold(F.col(content), "", _keep_mode, max_depth)
+    nodes = unfold(F.col(content), "", _keep_mode)
     return documents.select(key, F.inline(nodes)).drop("mode")
 
 
@@ -152,7 +164,7 @@ def tree_plain_text(content: Column) -> Column:
 
 def _cite(n: Column) -> Column:
     return F.concat(
-        F.lit("\\cite{"), F.coalesce(n["citation_key"], n["paper_id"], F.lit("unknown")), F.lit("}")
+        F.lit("\\cite{"), _hide(F.coalesce(n["citation_key"], n["paper_id"], F.lit("unknown"))), F.lit("}")
     )
 
 
@@ -193,7 +205,7 @@ def render_latex(content: Column) -> Column:
 
     def piece(n: Column) -> tuple[Column, Column]:
         kind, mode = n["type"], n["mode"]
-        text = F.coalesce(n["text"], lit(""))
+        text = _hide(F.coalesce(n["text"], lit("")))
         escaped = escape_latex(text)
         styled = (
             F.when(_has(n, BOLD), F.concat(lit("\\textbf{"), escaped, lit("}")))
@@ -239,7 +251,7 @@ def render_latex(content: Column) -> Column:
         )
         return before, F.concat(after, F.when(F.size(n["path"]) == 1, _W).otherwise(""))
 
-    return _fix(
+    body = _fix(
         _joined(nodes, piece),
         [
             (_R + _X, _X), (_R, " "), (_Y + _X, ""), (_Y, ""), (_X, _U),
@@ -247,6 +259,7 @@ def render_latex(content: Column) -> Column:
             (_V + _W, _W), (_V, " "), (f"^{_W}+|{_W}+$", ""), (f"{_W}+", "\n\n"),
         ],
     )
+    return _show(body)
 
 
 def _markdown_mode(mode: Column, kind: Column, has_text: Column, node: Column) -> Column:
@@ -265,7 +278,7 @@ def render_markdown(content: Column, title: Column) -> Column:
 
     def piece(n: Column) -> tuple[Column, Column]:
         kind, mode = n["type"], n["mode"]
-        text = F.coalesce(n["text"], lit(""))
+        text = _hide(F.coalesce(n["text"], lit("")))
         styled = text
         for bit, around in ((BOLD, "**"), (ITALIC, "*"), (STRIKE, "~~"), (CODE, "`")):
             styled = F.when(_has(n, bit), F.concat(lit(around), styled, lit(around))).otherwise(styled)
@@ -300,7 +313,7 @@ def render_markdown(content: Column, title: Column) -> Column:
         return before, after
 
     body = _fix(_joined(nodes, piece), [(_S + _E, ""), (_S, ""), (_E, "\n\n")])
-    return F.concat(lit("# "), title, lit("\n\n"), body)
+    return F.concat(lit("# "), title, lit("\n\n"), _show(body))
 
 
 def _text_mode(mode: Column, kind: Column, has_text: Column, node: Column) -> Column:
@@ -313,12 +326,12 @@ def render_text(content: Column, title: Column) -> Column:
 
     def piece(n: Column) -> tuple[Column, Column]:
         own = F.when(n["type"] == "citation", _cite(n)).when(n["type"] == "linebreak", "\n").otherwise(
-            F.when(n["n_children"] == 0, F.coalesce(n["text"], F.lit(""))).otherwise("")
+            F.when(n["n_children"] == 0, _hide(F.coalesce(n["text"], F.lit("")))).otherwise("")
         )
         return own, F.when(F.size(n["path"]) == 1, _W).otherwise("")
 
     body = _fix(_joined(nodes, piece), [(f"{_W}$", ""), (_W, "\n")])
-    return F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.length(title)), F.lit("\n\n"), body)
+    return F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.length(title)), F.lit("\n\n"), _show(body))
 
 
 def render_json(content: Column, title: Column, exported_at: str) -> Column:

@@ -38,7 +38,8 @@ def run_sync(
 
         keyed = items.withColumn("item_key", F.col("key")).withColumn("collections", F.col("data.collections"))
         items = sync.in_collections(keyed, selected).drop("item_key", "collections")
-    mapped = sync.modified_since(li.map_items(items), mark, "version", force_full)
+    # before the mapping: it counts an item without a version as version 0, which is behind every mark
+    mapped = li.map_items(sync.modified_since(items, mark, "version", force_full))
     good, rejects = sync.split_failures(mapped)
     good = good.drop("source", "citation_count")
     plan = sync.sync_plan(good, state, papers, user_id)

@@ -80,9 +80,37 @@ def map_works_record(works: DataFrame, json: str) -> DataFrame:
     )
 
 
-def _bib_field(text: Column, name: str, body: str = "[^}\"']+") -> Column:
-    found = F.regexp_extract(text, rf"(?i)\b{name}\s*=\s*[{{\"']+({body})[}}\"']", 1)
-    return F.nullif(strip(found), F.lit(""))
+def _bib_field(text: Column, name: str) -> Column:
+    """Value of a field, whole: to the brace that closes it, to the quote outside of braces, or to the next comma.
+
+    The end is found in one walk over the characters that counts open braces.
+    Braces inside a value only protect its spelling and are left out.
+    """
+    opening = rf"(?i)(?:^|[,{{\s]){name}\s*=\s*"
+    start = F.regexp_instr(text, F.lit(opening)) + F.length(F.regexp_extract(text, opening, 0))
+    rest = F.when(F.regexp_like(text, F.lit(opening)), F.substr(text, start))
+    quote = F.substring(rest, 1, 1)
+    quoted = quote.isin("{", '"', "'")
+
+    def walk(state: Column, c: Column) -> Column:
+        depth = state["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        first = state["at"] == 0
+        ended = F.when(quote == "{", depth == 0).when(quoted, ~first & (c == quote) & (depth == 0)).otherwise(
+            ((c == ",") & (depth == 0)) | (depth < 0) | (c == "\n")
+        )
+        at = state["at"] + 1
+        return F.struct(
+            depth.cast("int").alias("depth"), at.alias("at"),
+            F.when((state["end"] == 0) & ended, at).otherwise(state["end"]).alias("end"),
+        )
+
+    nothing = F.lit(0).cast("int")
+    state = F.struct(nothing.alias("depth"), nothing.alias("at"), nothing.alias("end"))
+    # without an end the value runs to the end of the entry
+    end = F.aggregate(F.split(rest, ""), state, walk, lambda s: F.when(s["end"] == 0, s["at"] + 1).otherwise(s["end"]))
+    skip = F.when(quoted, 1).otherwise(0)
+    value = F.substr(rest, F.lit(1) + skip, end - 1 - skip)
+    return F.nullif(strip(F.translate(value, "{}", "")), F.lit(""))
 
 
 def parse_bibtex(entries: DataFrame, text: str) -> DataFrame:

@@ -42,9 +42,11 @@ def ingest_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedupe_by_hash(
     files: DataFrame, papers: DataFrame, order: str = "path"
 ) -> tuple[DataFrame, DataFrame]:
-    """New paper rows (first file per hash) and duplicates with the paper that holds them.
+    """New paper rows (first file per hash) and an answer for every other file.
 
-    First means smallest ``order``; it is found by an aggregate that combines on
+    Duplicates are files whose hash a paper has (``paper_id``) and later files of
+    a hash that is new here: their ``paper_id`` is NULL, ``first_path`` names the
+    file whose row they share. First means smallest ``order``; it is found by an aggregate that combines on
     the map side, so a hash shared by very many files is no hot spot.
     """
     known = papers.filter("file_hash IS NOT NULL").groupBy("file_hash").agg(
@@ -58,12 +60,18 @@ def dedupe_by_hash(
         F.lit("upload").alias("source"),
         F.lit(False).alias("is_processed"),
     )
-    duplicates = files.select("file_hash", F.col(order).alias("file_path")).join(known, "file_hash")
-    return fresh, duplicates
+    marks = first.join(known, "file_hash", "left").select("file_hash", "paper_id", "_first")
+    later = files.select("file_hash", F.col(order).alias("file_path")).join(marks, "file_hash")
+    later = later.filter(F.col("paper_id").isNotNull() | (F.col("file_path") != F.col("_first")))
+    own = F.when(F.col("paper_id").isNull(), F.col("_first"))
+    return fresh, later.select("file_hash", "file_path", "paper_id", own.alias("first_path"))
 
 
 def decode_text(files: DataFrame) -> DataFrame:
-    """Text of plain-text files; other formats need a decoder given by the caller."""
-    text = F.when(F.col("extension") == ".txt", F.decode(F.col("content"), "UTF-8"))
+    """Text of plain-text files; other formats need a decoder given by the caller.
+
+    A file that is not valid UTF-8 has no text and gets the error, like an empty one.
+    """
+    text = F.when(F.col("extension") == ".txt", F.try_validate_utf8(F.col("content").cast("string")))
     error = F.when(F.coalesce(F.col("full_text"), F.lit("")) == "", "Failed to extract text from file")
     return files.withColumn("full_text", text).withColumn("processing_error", error)

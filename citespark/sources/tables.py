@@ -6,34 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A Parquet table; filters and column choices reach the scan."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
-
-
-SPLIT_BYTES = 4 * 1024 * 1024
-
-
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a table's files, from the file system's own summary."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(root).getLength()
-
-
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A table for CPU-heavy work on its rows.
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, partitions: int | None = None
+) -> DataFrame:
+    """A Parquet table; filters and column choices reach the scan.
 
-    A table too small to give every core a split (one row group is one task) is
-    spread once over the cores. Larger tables are read as they lie, without a
-    shuffle.
+    ``partitions`` deals the rows out anew, for CPU-heavy work on a table stored in
+    fewer row groups than there are cores; it costs a shuffle, so leave it out for large tables.
     """
-    cores = spark.sparkContext.defaultParallelism
-    table = spark.read.parquet(path)
-    if stored_bytes(spark, path) < cores * SPLIT_BYTES:
-        return table.repartition(cores)
-    return table
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    table = reader.parquet(path)
+    return table if partitions is None else table.repartition(partitions)
 
 
 def read_jdbc(

@@ -245,7 +245,7 @@ def export_latex(t):
     "bundle_export",
     "WITH " + _BIB + ", " + _LATEX.replace("BIBNAME", "'references'")
     + """ SELECT document_id, 'main.tex' AS filename, 0 AS part_no, content FROM latex
-UNION ALL SELECT document_id, 'references.bib', part_no, content FROM parts WHERE NOT contains(content, 'No papers assigned')""",
+UNION ALL SELECT document_id, 'references.bib', part_no, content FROM parts WHERE part_no >= 0 OR content NOT LIKE '%% No papers assigned%'""",
     "assignments bib_papers user_documents",
 )
 def bundle_export(t):

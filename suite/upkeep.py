@@ -16,14 +16,16 @@ from suite.registry import query
 
 # files ---------------------------------------------------------------------------
 
-_FILES = """files AS (SELECT doc_id, concat('/in/', lpad(CAST(doc_id AS VARCHAR), 9, '0'), '.', CASE doc_id % 6 WHEN 0 THEN 'PDF'
-    WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' WHEN 3 THEN 'docx' WHEN 4 THEN 'rtf' ELSE 'tar.gz' END) AS path, text FROM documents)"""
+# every seventh document is uploaded twice
+_FILES = """files AS (SELECT doc_id, concat('/in/', lpad(CAST(doc_id AS VARCHAR), 9, '0'), copy, '.', CASE doc_id % 6 WHEN 0 THEN 'PDF'
+    WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' WHEN 3 THEN 'docx' WHEN 4 THEN 'rtf' ELSE 'tar.gz' END) AS path, text
+  FROM (SELECT *, unnest(CASE WHEN doc_id % 7 = 0 THEN ['', '-b'] ELSE [''] END) AS copy FROM documents))"""
 
 
 def _files(t):
     ext = "CASE doc_id % 6 WHEN 0 THEN 'PDF' WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' WHEN 3 THEN 'docx' WHEN 4 THEN 'rtf' ELSE 'tar.gz' END"
-    return t.documents.selectExpr(
-        f"concat('/in/', lpad(CAST(doc_id AS STRING), 9, '0'), '.', {ext}) AS path",
+    return t.documents.selectExpr("*", "explode(IF(doc_id % 7 = 0, array('', '-b'), array(''))) AS copy").selectExpr(
+        f"concat('/in/', lpad(CAST(doc_id AS STRING), 9, '0'), copy, '.', {ext}) AS path",
         "octet_length(text) AS length",
         "CAST(text AS BINARY) AS content",
     )
@@ -59,13 +61,16 @@ _KNOWN_FILES = "known AS (SELECT sha256(text) AS file_hash, min(doc_id) AS paper
   WHERE lower(regexp_extract(path, '(\\.[^.]*)$', 1)) IN ('.pdf', '.docx', '.doc', '.txt', '.rtf'))
 SELECT min(path) AS file_path, file_hash, 'new' AS kind, NULL AS paper_id FROM hashed
   WHERE file_hash NOT IN (SELECT file_hash FROM known) GROUP BY file_hash
-UNION ALL SELECT path, h.file_hash, 'duplicate', k.paper_id FROM hashed h JOIN known k ON k.file_hash = h.file_hash""",
+UNION ALL SELECT path, h.file_hash, 'duplicate', k.paper_id FROM hashed h JOIN known k ON k.file_hash = h.file_hash
+UNION ALL SELECT path, file_hash, 'same batch', NULL FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY path) AS nth FROM hashed)
+  WHERE nth > 1 AND file_hash NOT IN (SELECT file_hash FROM known)""",
 )
 def dedupe_by_hash(t):
     papers = t.documents.filter("lang = 'de'").selectExpr("doc_id AS paper_id", "sha2(text, 256) AS file_hash")
     fresh, duplicates = fi.dedupe_by_hash(fi.ingest_files(_files(t))[0], papers)
     a = fresh.select("file_path", "file_hash", F.lit("new").alias("kind"), F.lit(None).cast("long").alias("paper_id"))
-    return a.unionByName(duplicates.select("file_path", "file_hash", F.lit("duplicate").alias("kind"), "paper_id"))
+    kind = F.when(F.col("paper_id").isNull(), "same batch").otherwise("duplicate")
+    return a.unionByName(duplicates.select("file_path", "file_hash", kind.alias("kind"), "paper_id"))
 
 
 # library items -------------------------------------------------------------------
@@ -163,10 +168,12 @@ def collection_filter(t):
 
 @query(
     "modified_since",
-    "SELECT concat('K', p_partkey) AS item_key, 'since' AS run FROM part WHERE p_size > 30 UNION ALL SELECT concat('K', p_partkey), 'full' FROM part",
+    """SELECT concat('K', p_partkey) AS item_key, 'since' AS run FROM part WHERE p_size > 30 OR p_partkey % 9 = 0
+UNION ALL SELECT concat('K', p_partkey), 'full' FROM part""",
 )
 def modified_since(t):
-    items = _items(t)
+    """Every ninth item has no version."""
+    items = _items(t).withColumn("version", F.expr("IF(substr(item_key, 2) % 9 = 0, NULL, version)"))
     a = sy.modified_since(items, 30).select("item_key", F.lit("since").alias("run"))
     return a.unionByName(sy.modified_since(items, 30, force_full=True).select("item_key", F.lit("full").alias("run")))
 
@@ -211,8 +218,9 @@ _SELECTIONS = """sel AS (
   UNION ALL SELECT c_custkey, 1, concat('C', c_custkey % 40), NULL FROM customer WHERE c_custkey % 5 = 2
   UNION ALL SELECT c_custkey, 1, 'C9', 'groups/2' FROM customer WHERE c_custkey % 5 = 4)"""
 # collections of all libraries: supplier rows; a key can occur in several libraries
-_COLLECTIONS = """colls AS (SELECT DISTINCT concat('C', s_suppkey % 30) AS collection_key, concat('groups/', s_nationkey % 6) AS library_id,
-  s_nationkey % 6 AS library_order FROM supplier)"""
+# of two kinds of users: keys of one kind of library are unknown to the other users
+_COLLECTIONS = """colls AS (SELECT DISTINCT c_custkey AS user_id, concat('C', s_suppkey % 30) AS collection_key, concat('groups/', s_nationkey % 6) AS library_id,
+  s_nationkey % 6 AS library_order FROM supplier JOIN customer ON c_custkey % 3 = s_nationkey % 3)"""
 
 
 def _configs(t):
@@ -223,10 +231,12 @@ def _configs(t):
 
 
 def _collections(t):
-    return t.supplier.selectExpr(
-        "concat('C', CAST(s_suppkey % 30 AS STRING)) AS collection_key",
+    kinds = t.supplier.selectExpr(
+        "concat('C', CAST(s_suppkey % 30 AS STRING)) AS collection_key", "s_nationkey % 3 AS kind",
         "concat('groups/', CAST(s_nationkey % 6 AS STRING)) AS library_id", "s_nationkey % 6 AS library_order",
     ).distinct()
+    users = t.customer.selectExpr("c_custkey AS user_id", "c_custkey % 3 AS kind")
+    return users.join(kinds, "kind").drop("kind")
 
 
 @query("parse_selection", f"WITH {_SELECTIONS} SELECT * FROM sel")
@@ -236,8 +246,9 @@ def parse_selection(t):
 
 @query(
     "locate_collections",
-    f"""WITH {_SELECTIONS}, {_COLLECTIONS}, lastlib AS (SELECT collection_key, arg_max(library_id, library_order) AS found FROM colls GROUP BY 1)
-SELECT user_id, position, s.collection_key, coalesce(library_id, found) AS library_id FROM sel s LEFT JOIN lastlib l ON l.collection_key = s.collection_key""",
+    f"""WITH {_SELECTIONS}, {_COLLECTIONS}, lastlib AS (SELECT user_id, collection_key, arg_max(library_id, library_order) AS found FROM colls GROUP BY 1, 2)
+SELECT s.user_id, position, s.collection_key, coalesce(library_id, found) AS library_id FROM sel s
+LEFT JOIN lastlib l ON l.collection_key = s.collection_key AND l.user_id = s.user_id""",
 )
 def locate_collections(t):
     return sy.locate_collections(sy.parse_selection(_configs(t), "selected_collections"), _collections(t))
@@ -245,8 +256,9 @@ def locate_collections(t):
 
 @query(
     "migrate_collections",
-    f"""WITH {_SELECTIONS}, {_COLLECTIONS}, firstlib AS (SELECT collection_key, arg_min(library_id, library_order) AS found FROM colls GROUP BY 1)
-SELECT user_id, position, s.collection_key, coalesce(library_id, found) AS library_id FROM sel s LEFT JOIN firstlib l ON l.collection_key = s.collection_key
+    f"""WITH {_SELECTIONS}, {_COLLECTIONS}, firstlib AS (SELECT user_id, collection_key, arg_min(library_id, library_order) AS found FROM colls GROUP BY 1, 2)
+SELECT s.user_id, position, s.collection_key, coalesce(library_id, found) AS library_id FROM sel s
+LEFT JOIN firstlib l ON l.collection_key = s.collection_key AND l.user_id = s.user_id
 WHERE coalesce(library_id, found) IS NOT NULL""",
 )
 def migrate_collections(t):
@@ -456,20 +468,22 @@ def resolve_metadata(t):
 @query(
     "parse_bibtex",
     """SELECT paper_id, title, coalesce(array_to_string(authors, '|'), '-') AS authors, coalesce(year, 0) AS year, coalesce(journal, '-') AS journal,
-  coalesce(doi, '-') AS doi, coalesce(arxiv_id, '-') AS arxiv_id FROM bib_papers""",
+  coalesce(doi, '-') AS doi, coalesce(arxiv_id, '-') AS arxiv_id,
+  concat('It''s about ', title, ', "so" to say') AS abstract FROM bib_papers""".replace('"so"', "''''so''''"),
     "bib_papers",
 )
 def parse_bibtex(t):
-    """Entries written by the exporter are read back."""
+    """Entries written by the exporter are read back, with apostrophes, commas and protected words."""
     from citespark.functions.citations import bibtex_of
 
-    made = t.bib_papers.select(
+    papers = t.bib_papers.withColumn("abstract", F.expr("concat('It\\'s about {', title, '}, \"so\" to say')"))
+    made = papers.select(
         "paper_id", F.replace(bibtex_of(), F.lit("howpublished ="), F.lit("journal =")).alias("entry")
     )
     dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
     return feeds.parse_bibtex(made, "entry").select(
         "paper_id", "title", F.coalesce(F.array_join("authors", "|"), F.lit("-")).alias("authors"),
-        F.coalesce("year", F.lit(0)).alias("year"), dash("journal"), dash("doi"), dash("arxiv_id"),
+        F.coalesce("year", F.lit(0)).alias("year"), dash("journal"), dash("doi"), dash("arxiv_id"), "abstract",
     )
 
 

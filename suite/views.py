@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citespark.sources.tables import read_spread, read_table
+from citespark.sources.tables import read_table
 
 # work on these is per-row text processing
 TEXT_TABLES = {"documents"}
@@ -155,8 +155,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view as a DataFrame."""
     base, columns = VIEWS.get(name, (name, {}))
-    read = read_spread if base in TEXT_TABLES else read_table
-    table = read(spark, f"{sf_dir}/{base}.parquet")
+    # the driver's text tables are one row group each: one task, unless they are dealt out
+    partitions = spark.sparkContext.defaultParallelism if base in TEXT_TABLES else None
+    table = read_table(spark, f"{sf_dir}/{base}.parquet", partitions=partitions)
     if not columns:
         return table
     return table.selectExpr(*[f"{_spark_text(e)} AS {c}" for c, e in columns.items()])

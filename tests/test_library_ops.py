@@ -88,10 +88,10 @@ def test_sync_hot_doi(spark):
 
 
 def test_selection_formats(spark):
-    texts = ['[{"key":"ABC123","libraryId":"groups/4965330"}]', '["ABC123","DEF456"]', "{bad", None, "[]"]
+    texts = ['[{"libraryId":"groups/17","key":"QX7"}]', '["QX7","RT2"]', "{bad", None, "[]"]
     df = spark.createDataFrame(list(enumerate(texts)), "user_id long, sel string")
     rows = sorted((r.user_id, r.collection_key, r.library_id) for r in sy.parse_selection(df, "sel").collect())
-    assert rows == [(0, "ABC123", "groups/4965330"), (1, "ABC123", None), (1, "DEF456", None)]
+    assert rows == [(0, "QX7", "groups/17"), (1, "QX7", None), (1, "RT2", None)]
 
 
 # bibliography -----------------------------------------------------------------------
