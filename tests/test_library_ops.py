@@ -38,6 +38,14 @@ def snapshot(spark, *rows):
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SNAPSHOT_SCHEMA)
 
 
+def test_items_without_a_version_are_synchronised(spark):
+    rows = [raw("A", None, 1), raw("B", 9, 2), raw("C", 3, 3), raw("D", None, 4)]
+    state = spark.createDataFrame([("u", "D", 0, "p1")], STATE_SCHEMA)
+    run = run_sync(items(spark, rows), snapshot(spark, dict(paper_id="p1", title="d", item_key="D")), state, "u", mark=5)
+    assert {r.item_key: r.action for r in run.plan.collect()} == {"A": "insert", "B": "insert", "D": "skip"}
+    assert run.rejects.count() == 0 and run.mark.first()["mark"] == 9
+
+
 def test_sync_actions_and_idempotence(spark):
     papers = snapshot(
         spark,

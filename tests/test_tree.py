@@ -81,16 +81,46 @@ def test_citations_and_nodes(docs):
     assert tree.node_table(docs, "document_id", "content").count() == 30
 
 
-def test_nested_deeply_and_limit(spark):
+def test_nested_deeply(spark):
     inner = text("deep")
     for _ in range(40):
         inner = node("box", inner)
     df = spark.createDataFrame([(json.dumps({"root": {"children": [inner]}}),)], "c string")
     assert df.select(tree.tree_plain_text(F.col("c"))).collect()[0][0] == "deep"
-    with pytest.raises(Exception, match="tree deeper than 8 levels"):
-        df.select(F.size(tree.unfold(F.col("c"), "", tree._keep_mode, 8))).collect()
 
 
 def test_exports(docs):
     assert tree.export_documents(docs, "txt").count() == 4
     assert tree.latex_bodies(docs).count() == 3
+
+
+MARKS = "a\ue000b\ue007\ue008c\ue010\ue008\ue008\ue018"
+
+
+def test_private_characters_are_text(spark):
+    content = json.dumps({"root": {"children": [
+        {"type": "paragraph", "children": [{"type": "text", "text": MARKS}, {"type": "citation", "citationKey": "k\ue003"}]},
+        {"type": "heading", "tag": "h2", "children": [{"type": "text", "text": "\ue003"}]},
+    ]}})
+    df = spark.createDataFrame([(1, content, "T")], "document_id int, content string, title string")
+    row = df.select(
+        tree.tree_plain_text(F.col("content")).alias("plain"), tree.node_text(F.col("content")).alias("raw"),
+        tree.render_latex(F.col("content")).alias("latex"), tree.render_markdown(F.col("content"), F.col("title")).alias("md"),
+        tree.render_text(F.col("content"), F.col("title")).alias("txt"),
+    ).first()
+    assert row["plain"] == f"{MARKS} \ue003"
+    assert row["raw"].startswith(MARKS)
+    assert row["latex"] == f"{MARKS} \\cite{{k\ue003}}\n\n\\subsection{{\ue003}}"
+    assert row["md"] == f"# T\n\n{MARKS}\\cite{{k\ue003}}\n\n## \ue003\n\n"
+    assert row["txt"] == f"T\n=\n\n{MARKS}\\cite{{k\ue003}}\n\ue003"
+    assert [r["text"] for r in tree.node_table(df, "document_id", "content").collect() if r["text"]] == [MARKS, "\ue003"]
+
+
+@pytest.mark.parametrize("levels", [1, 64, 70, 200])
+def test_depth_has_no_limit(spark, levels):
+    node = {"type": "text", "text": "deep"}
+    for _ in range(levels):
+        node = {"type": "quote", "children": [node]}
+    df = spark.createDataFrame([(1, json.dumps({"root": {"children": [node]}}))], "document_id int, content string")
+    assert df.select(tree.tree_plain_text(F.col("content"))).first()[0] == "deep"
+    assert tree.node_table(df, "document_id", "content").count() == levels + 1
