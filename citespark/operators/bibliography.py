@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citespark.functions.citations import bibtex_of, escape_latex
@@ -241,15 +241,34 @@ def bundle(latex: DataFrame, bibtex: DataFrame) -> DataFrame:
     return main.unionByName(bib)
 
 
-def write_parts(parts: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Text parts in order, one folder per document (and file name)."""
+def write_parts(parts: DataFrame, path: str, by: list[str] | None = None, buckets: int = 64) -> None:
+    """Parts as Parquet (keys, part_no, content) in ``buckets`` folders by a hash of the keys, in order within a file.
+
+    The number of folders does not grow with the documents; ``read_parts`` gives one document's text.
+    """
     keys = by or ["document_id"]
-    # a sampled range partitioning on (document, part) splits hot documents
+    # a sampled range partitioning on (bucket, document, part) splits hot documents
+    order = ["bucket", *keys, "part_no"]
     (
-        parts.repartitionByRange(*keys, "part_no")
-        .sortWithinPartitions(*keys, "part_no")
-        .select(*keys, "content")
+        parts.withColumn("bucket", _bucket(keys, buckets))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(*keys, "part_no", "content", "bucket")
         .write.mode("overwrite")
-        .partitionBy(*keys)
-        .text(path)
+        .partitionBy("bucket")
+        .parquet(path)
     )
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def read_parts(spark: SparkSession, path: str, buckets: int = 64, **key) -> DataFrame:
+    """Parts of one document in order; only its bucket's folder is read."""
+    values = spark.range(1).select(*[F.lit(str(v)).alias(k) for k, v in key.items()])
+    bucket = values.select(_bucket(list(key), buckets)).first()[0]
+    found = spark.read.parquet(path).filter(F.col("bucket") == bucket)
+    for name, value in key.items():
+        found = found.filter(F.col(name) == F.lit(value))
+    return found.drop("bucket").orderBy("part_no")

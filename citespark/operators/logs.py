@@ -11,6 +11,7 @@ from citespark.functions.text import contains_pattern
 
 # The closed sets of a log row.
 LEVELS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
+CATEGORIES = ["ZOTERO_SYNC", "PDF_PROCESSING", "SYSTEM", "AUTH", "API", "DATABASE", "SEARCH"]
 
 
 def cutoff(as_of: str, days: int) -> Column:

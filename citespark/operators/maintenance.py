@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citespark.operators.keyed import one_per_key
+from citespark.operators.logs import CATEGORIES, LEVELS
 
 from citespark.functions.text import empty_to_null
 
@@ -117,9 +118,10 @@ def unique_columns(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def check_constraints(
-    papers: DataFrame, assignments: DataFrame, sync_state: DataFrame, chunks: DataFrame, dim: int
+    papers: DataFrame, assignments: DataFrame, sync_state: DataFrame, chunks: DataFrame, dim: int,
+    logs: DataFrame | None = None,
 ) -> DataFrame:
-    """Violation counts of all rules in one table."""
+    """Violation counts of all rules in one table; with ``logs`` also of its closed value sets."""
     names = [c for c in IDENTIFIERS if c in papers.columns]
     paper_rules = {f"{c} not empty": F.col(c) == "" for c in names}
     paper_rules["year 1900 to 2100"] = ~F.col("year").between(1900, 2100)
@@ -132,6 +134,10 @@ def check_constraints(
         no_orphans(chunks, papers, "paper_id", "chunk"),
         vector_length(chunks, dim),
     ]
+    if logs is not None:
+        sets = {"level": LEVELS, "category": CATEGORIES}
+        # a missing value is outside of the set, too
+        parts.append(_counted(logs, {f"log {c}": ~F.coalesce(F.col(c).isin(v), F.lit(False)) for c, v in sets.items()}))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -121,3 +121,14 @@ def test_collections_belong_to_their_user(spark):
     assert got == [(1, "groups/5"), (2, "groups/2"), (3, "")]
     got = sorted((r["user_id"], r["library_id"]) for r in sy.migrate_collections(selected, collections).collect())
     assert got == [(1, "groups/1"), (2, "groups/2")]
+
+
+def test_closed_sets_of_log_rows(spark):
+    rows = [("INFO", "API"), ("info", "SEARCH"), (None, "SYSTEM"), ("ERROR", "OTHER")]
+    logs = spark.createDataFrame(rows, "level string, category string")
+    papers = spark.createDataFrame([], "paper_id long, doi string, year int")
+    pairs = spark.createDataFrame([], "document_id long, paper_id long")
+    state = spark.createDataFrame([], "user_id long, item_key string")
+    chunks = spark.createDataFrame([], "paper_id long, embedding array<float>")
+    got = {r["rule"]: r["violations"] for r in mt.check_constraints(papers, pairs, state, chunks, 3, logs).collect()}
+    assert got["log level"] == 2 and got["log category"] == 1
