@@ -21,14 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import checkpoint, map_rows, usable_vector
+from citespark.llm.common import checkpoint, compact, map_rows, usable_vector
 
 TABLES = 8
 #: Cells a query visits in each table and for each hash function.
-PROBES = 14
+PROBES = 18
 #: Rows a cell should hold on average; more rows get more hash functions for each table.
 CELL_ROWS = 4096
 BLOCK_ROWS = 2048
+#: Vectors hashed in one task.
+PART_ROWS = 4096
 SEED = 17
 
 
@@ -143,6 +145,7 @@ def nearest_neighbours(
     empty = "query_id long, rank int, vec_id long, score double"
     if not shape[0]:
         return table.sparkSession.createDataFrame([], empty)
+    points, _ = compact(points, PART_ROWS)
     count, dim, longest, shortest = int(shape[0]), int(shape[1]), float(shape[2]), float(shape[3])
     even = longest - shortest <= 1e-6 * longest
     width = 1 << max(0, math.ceil(math.log2(dim if even else dim + 1)))
@@ -154,7 +157,7 @@ def nearest_neighbours(
 
     asked = checkpoint(map_rows(usable(queries), "query_id long, v binary", pack_query, rows=4096))
     # one search for each different query vector
-    wanted = checkpoint(asked.groupBy("v").agg(F.min("query_id").alias("query")))
+    wanted, _ = compact(checkpoint(asked.groupBy("v").agg(F.min("query_id").alias("query"))), PART_ROWS)
 
     def store():
         def work(keys: list, data: list, ids: list) -> list:

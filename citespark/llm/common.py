@@ -23,6 +23,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, ARROW_TYPES[kind]) for name, kind in (part.split() for part in ddl.split(","))])
 
 
+#: Edges in one task of a round of connected components.
+EDGE_ROWS = 100_000
+#: Labelled documents in one task.
+SAMPLE_ROWS = 1_000
+
+
 def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:
     """Rows from rows inside the tasks, without a shuffle.
 
@@ -96,6 +102,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """A written table in as few partitions as hold about ``rows`` rows each, and its number of rows.
+
+    Python tasks cost a start each, so small tables should not run in as many as large ones.
+    """
+    n = df.count()
+    return df.coalesce(max(1, -(-n // rows))), n
+
+
 def usable_vector(v: Column) -> Column:
     """True for vectors that are neither null nor zero and have finite components only, else False."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -160,14 +175,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     maps = []
     left = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    left = left.filter("a IS NOT NULL AND b IS NOT NULL")
+    left = checkpoint(left.filter("a IS NOT NULL AND b IS NOT NULL"))
     while True:
-        stars = checkpoint(_stars(left, len(maps)))
-        if stars.isEmpty():
+        left, n = compact(left, EDGE_ROWS)
+        if not n:
             break
+        stars = checkpoint(_stars(left, len(maps)))
         first = checkpoint(stars.groupBy("node").agg(F.min_by("root", "turn").alias("to")))
         maps.append(first)
-        left = stars.join(first, "node").filter("root != to").select(F.col("root").alias("a"), F.col("to").alias("b")).distinct()
+        linked = stars.join(first, "node").filter("root != to")
+        left = checkpoint(linked.select(F.col("root").alias("a"), F.col("to").alias("b")))
     if not maps:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     found = maps[-1]
@@ -192,4 +209,4 @@ def labelled_sample(
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    return checkpoint(sample)
+    return compact(checkpoint(sample), SAMPLE_ROWS)[0]
