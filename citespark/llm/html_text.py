@@ -45,6 +45,10 @@ LEFT_OUT_NAMES = frozenset(
     "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login social share sharing related "
     "recommended pagination pager widget toolbar skip".split()
 )
+#: An article's own header holds its title; on an article itself only these names count.
+CONTENT_NAMES = frozenset("article post entry content story main".split())
+HEADER_NAMES = frozenset("header masthead".split())
+NO_ARTICLE_NAMES = frozenset("ad ads advert sponsored promo comment comments reply replies related recommended".split())
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -72,7 +76,10 @@ def left_out(tag: str, attributes: str, in_article: bool) -> bool:
             parts = [p for p in re.split(r"[-_:]+", name) if p]
             if not parts or not {"with", "has", "no", "without"}.isdisjoint(parts):
                 continue
-            if parts[0] in LEFT_OUT_NAMES or parts[-1] in LEFT_OUT_NAMES:
+            if parts[-1] in HEADER_NAMES and (in_article or parts[0] in CONTENT_NAMES):
+                continue
+            names = NO_ARTICLE_NAMES if tag in ARTICLE_TAGS else LEFT_OUT_NAMES
+            if parts[0] in names or parts[-1] in names:
                 return True
     return False
 

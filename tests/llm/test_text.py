@@ -91,6 +91,21 @@ def test_pages_with_and_without_article(spark):
     assert html_text.Page("a &lt;b&gt; c&nbsp;&#100;").text({}) == "a <b> c d"
 
 
+@pytest.mark.parametrize(
+    "html, kept",
+    [
+        ('<article><div class="article-header"><h1>Title</h1></div><p>Text</p></article>', "Title\nText"),
+        ('<main class="main-content sidebar-right"><p>Text</p><div class="left-sidebar">no</div></main>', "Text"),
+        ('<article class="comment"><p>no</p></article><article><p>Text</p></article>', "Text"),
+        ('<div class="page-with-sidebar"><p>Some text of it</p></div><div class="site-header">no</div>', "Some text of it"),
+        ('<article><p>A</p><p class="notice">no</p><div role="navigation">no</div><p>B</p></article>', "A\nB"),
+        ('<article><p>a<script>if (a<b && c=="x>) {</script>b</p></article>', "ab"),
+    ],
+)
+def test_names_of_elements(html, kept):
+    assert html_text.Page(html).text({"p": 0.02}) == kept
+
+
 def test_run_leaves_out_links_at_the_edges():
     menu = "".join(f"<div><a href=x>Link{i}</a></div>" for i in range(5))
     text = "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(3))
