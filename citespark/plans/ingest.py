@@ -33,6 +33,9 @@ def accept_files(files: DataFrame, papers: DataFrame, new_id=None):
     good, refused = fs.ingest_files(files)
     fresh, duplicates = fs.dedupe_by_hash(good, papers)
     key = F.concat(F.lit("f-"), "file_hash") if new_id is None else new_id
+    if new_id is None:
+        # a later copy in the batch is the paper of the first one
+        duplicates = duplicates.withColumn("paper_id", F.coalesce(F.col("paper_id").cast("string"), key))
     rows = fresh.withColumn("paper_id", key).join(
         good.select(F.col("path").alias("file_path"), "content", "extension"), "file_path"
     )
