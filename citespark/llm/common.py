@@ -29,6 +29,18 @@ EDGE_ROWS = 100_000
 SAMPLE_ROWS = 1_000
 
 
+#: Rows in an Arrow batch between Spark and Python; whole texts make batches of the default size too large.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS``, so that workers hold few whole texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:
     """Rows from rows inside the tasks, without a shuffle.
 
@@ -37,6 +49,8 @@ def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]], r
     Slices hold ``rows`` rows, so memory is bounded by the slice.
     """
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, schema = make(), arrow_schema(ddl)
         for batch in batches:
@@ -54,6 +68,7 @@ def text_udf(ddl: str, make: Callable[[], Callable[[list], list]], rows: int = 2
     The function takes a list of texts and returns a list of values, or a dict of
     lists if ``ddl`` is a struct of several fields.
     """
+    bound_batches(SparkSession.active())
     struct = ddl.startswith("struct<")
 
     def slices(series: pd.Series) -> Iterator[list]:

@@ -26,8 +26,8 @@ from citespark.llm.toxicity import isotonic
 SAMPLE_DOCS = 4_000
 OWN = 14
 WIDTH = 3 * OWN + 1
-#: Characters of lines held at once; longer documents are one part of their own.
-PART_CHARACTERS = 1 << 21
+#: Characters scored at once; longer documents are one part of their own.
+PART_CHARACTERS = 1 << 19
 
 # classes of code points: 0 other, 1 space, 2 lower, 3 upper, 4 digit, 5 sentence mark, 6 other mark, 7 column mark
 _CLASSES = np.zeros(0x250, np.uint8)
@@ -97,6 +97,17 @@ def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def line_scores(x: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``with_neighbours(x, counts) @ weights`` without the wide table: neighbours' shares are shifted instead."""
+    own, before, after = (x @ weights[k * OWN : (k + 1) * OWN] for k in range(3))
+    ends = np.cumsum(counts)
+    out = own + weights[-1]
+    before, after = np.roll(before, 1), np.roll(after, -1)
+    before[ends - counts] = 0
+    after[ends - 1] = 0
+    return out + before + after
+
+
 def forward_backward(emit: np.ndarray, counts: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of label 1 per line, summed pair marginals (2 x 2) and log-partition of each document.
 
@@ -154,7 +165,7 @@ class QualityModel:
 
     def means(self, features: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the good-line probabilities of each document."""
-        emit = with_neighbours(features, counts) @ self.weights
+        emit = line_scores(features, counts, self.weights)
         good, _, _ = forward_backward(emit, counts, self.move)
         return weighted(good, lengths, counts)
 
