@@ -114,21 +114,20 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     # at most 33 fingerprints share a ball
     balls = covered.groupBy("pair", "ball").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("members"))
     stars = balls.filter(F.size("members") > 1).select("a", F.explode("members").alias("b")).filter("a != b")
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars)
 
 
 def components(marked: DataFrame, least: Column) -> DataFrame:
-    """(simhash, least): for each fingerprint in ``marked`` the smallest value of ``least`` that its links reach.
+    """``marked`` (with simhash) and ``least``: the smallest value of that expression that links reach.
 
     Documents with one fingerprint are one class from the start, so copies meet
-    in an aggregate and never in a join.
+    in aggregates and never in a join with each other.
     """
-    classes = checkpoint(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min(least).alias("least")))
-    found = connected_components(links(classes.select("fp")))
-    joined = classes.join(found, classes["fp"] == found["node"], "left")
-    grouped = joined.select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    smallest = checkpoint(grouped.groupBy("class").agg(F.min("least").alias("least")))
-    return checkpoint(grouped.drop("least").join(smallest, "class").select(F.col("fp").alias("simhash"), "least"))
+    found = connected_components(links(marked.select(F.col("simhash").alias("fp")).distinct()))
+    tagged = marked.join(found, marked["simhash"] == found["node"], "left").drop("node")
+    tagged = checkpoint(tagged.withColumn("component", F.coalesce("component", "simhash")))
+    smallest = checkpoint(tagged.groupBy("component").agg(F.min(least).alias("least")))
+    return tagged.join(smallest, "component").drop("component")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,8 +138,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if it has none).
     """
     marked = checkpoint(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
-    ids = components(marked, F.col("doc_id")).withColumnRenamed("least", "component_id")
-    return marked.join(ids, "simhash")
+    return components(marked, F.col("doc_id")).withColumnRenamed("least", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,6 +151,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     marked = checkpoint(fingerprints(narrow).drop("text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
     key = next(f"row_digest_{n}" for n in range(len(docs.columns) + 1) if f"row_digest_{n}" not in docs.columns)
-    kept = components(marked, order).select(F.col("least.digest").alias(key)).distinct()
+    kept = components(marked, order).filter(F.col("digest") == F.col("least.digest")).select(F.col("digest").alias(key)).distinct()
     rows = docs.withColumn(key, digest).join(kept, key, "left_semi")
     return rows.dropDuplicates([key]).select(*docs.columns)
