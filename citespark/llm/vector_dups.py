@@ -20,23 +20,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citespark.llm.common import checkpoint, connected_components, forest, map_rows, usable_vector
 
 MIN_COSINE = 0.93
-TREES = 6
+TREES = 5
 LEAF_ROWS = 256
 #: Half the width of the overlap band, on unit vectors: pairs up to twice as far apart on an axis share a side.
-SPILL = 0.03
+SPILL = 0.02
 SPLITS_PER_ROUND = 8
 SAMPLE_ROWS = 4096
 BLOCK_ROWS = 1024
 MAX_DEPTH = 48
 
 
-def unit_rows(data: pd.Series) -> np.ndarray:
+def unit_rows(data: pd.Series | list, kind: str) -> np.ndarray:
     """Unit vectors in double precision from stored bytes; scaled first, so that no square overflows."""
-    v = np.stack([np.frombuffer(b, np.float64) for b in data])
+    v = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -83,7 +84,7 @@ def route(v: np.ndarray, tree: int, node: int, limits: dict[int, float], spill:
     return np.concatenate(rows_out), np.concatenate(nodes_out)
 
 
-def grow(vectors: DataFrame, trees: int, leaf_rows: int, spill: float) -> DataFrame:
+def grow(vectors: DataFrame, kind: str, trees: int, leaf_rows: int, spill: float) -> DataFrame:
     """(vec_key, label, tree, node): every vector with the leaves it reaches in each tree.
 
     One round splits each large node by up to ``SPLITS_PER_ROUND`` levels, fitted on at most
@@ -97,7 +98,7 @@ def grow(vectors: DataFrame, trees: int, leaf_rows: int, spill: float) -> DataFr
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, node, label = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0]), int(pdf["label"].iloc[0])
         splits = fit_node(
-            unit_rows(pdf["vec"]), tree, node, float(pdf["n"].iloc[0]), leaf_rows, spill, SPLITS_PER_ROUND
+            unit_rows(pdf["vec"], kind), tree, node, float(pdf["n"].iloc[0]), leaf_rows, spill, SPLITS_PER_ROUND
         )
         at, limits = [s[0] for s in splits], [s[1] for s in splits]
         return pd.DataFrame({"label": [label], "tree": [tree], "node": [node], "at": [at], "limits": [limits]})
@@ -108,7 +109,7 @@ def grow(vectors: DataFrame, trees: int, leaf_rows: int, spill: float) -> DataFr
             key_out, label_out, vec_out, tree_out, node_out = [], [], [], [], []
             for (label, tree, node), rows in pdf.groupby(["label", "tree", "node"], sort=False).indices.items():
                 first = rows[0]
-                v = unit_rows([vecs[i] for i in rows])
+                v = unit_rows([vecs[i] for i in rows], kind)
                 got, leaf = route(v, tree, node, dict(zip(ats[first] or [], limits[first] or [])), spill)
                 for i, n in zip(rows[got].tolist(), leaf.tolist()):
                     key_out.append(keys[i])
@@ -142,11 +143,11 @@ def grow(vectors: DataFrame, trees: int, leaf_rows: int, spill: float) -> DataFr
         placed = checkpoint(moved)
 
 
-def compare_block(pdf: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
+def compare_block(pdf: pd.DataFrame, kind: str, min_cosine: float) -> pd.DataFrame:
     """Links within a block, or between its two halves (``side``): link counts by vector and a spanning forest."""
     tree, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
     pdf = pdf.sort_values("vec_key", kind="stable", ignore_index=True)
-    v, keys, copies = unit_rows(pdf["vec"]), pdf["vec_key"].to_numpy(), pdf["copies"].to_numpy()
+    v, keys, copies = unit_rows(pdf["vec"], kind), pdf["vec_key"].to_numpy(), pdf["copies"].to_numpy()
     side = pdf["side"].to_numpy()
     both = pdf["i"].iloc[0] != pdf["j"].iloc[0]
     cosine = v @ v.T
@@ -159,12 +160,14 @@ def compare_block(pdf: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     a, b = a[keep], b[keep]
     # a pair counts in the first leaf that holds both: the smallest common one of the first such tree
     here = (tree << MAX_DEPTH + 2) + node
-    numbers: dict[tuple, int] = {}
-    kind = np.array([numbers.setdefault(tuple(sorted(x)), len(numbers)) for x in pdf["leaves"].tolist()], np.int64)
-    sets = [set(k) for k in numbers]
-    pairs, back = np.unique(kind[a] * len(sets) + kind[b], return_inverse=True)
-    mine = np.array([min(sets[p // len(sets)] & sets[p % len(sets)]) == here for p in pairs.tolist()], bool)
-    if len(pairs):
+    if len(a):
+        numbers: dict[tuple, int] = {}
+        number = np.zeros(len(v), np.int64)
+        for i in np.union1d(a, b).tolist():
+            number[i] = numbers.setdefault(tuple(sorted(pdf["leaves"].iat[i])), len(numbers))
+        sets = [set(n) for n in numbers]
+        pairs, back = np.unique(number[a] * len(sets) + number[b], return_inverse=True)
+        mine = np.array([min(sets[p // len(sets)] & sets[p % len(sets)]) == here for p in pairs.tolist()], bool)
         a, b = a[mine[back]], b[mine[back]]
     if not len(a):
         return pd.DataFrame({"vec_key": [], "n": [], "root": []}).astype("int64")
@@ -189,14 +192,17 @@ def near_duplicates(
     """
     rows = table.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"),
-        F.col(vector).cast("array<double>").alias("embedding"),
+        F.col(vector).alias("embedding"),
     )
     takes_part = F.col("label").isNotNull() & usable_vector(F.col("embedding"))
     usable = rows.filter(takes_part).withColumn("size", F.size("embedding"))
 
+    # floats stay floats in storage, which halves what is shuffled; every computation is in double precision
+    kind = "<f4" if table.select(vector).schema[0].dataType.elementType == T.FloatType() else "<f8"
+
     def pack():
         return lambda ids, labels, sizes, vectors: [
-            ids, labels, sizes, [np.asarray(x, np.float64).tobytes() for x in vectors],
+            ids, labels, sizes, [(np.asarray(x, kind) + np.zeros(1, kind)).tobytes() for x in vectors],
         ]
 
     # vectors of different length never meet: the length is part of the label
@@ -207,7 +213,7 @@ def near_duplicates(
     classes = classes.withColumn("group", F.xxhash64("label", "size")).withColumn("vec_key", F.monotonically_increasing_id())
     classes = checkpoint(classes)
     vectors = classes.select("vec_key", F.col("group").alias("label"), "vec")
-    leaves = checkpoint(grow(vectors, trees, leaf_rows, spill))
+    leaves = checkpoint(grow(vectors, kind, trees, leaf_rows, spill))
     coded = F.shiftleft(F.col("tree").cast("long"), MAX_DEPTH + 2) + F.col("node")
     own = leaves.groupBy("vec_key").agg(F.collect_set(coded).alias("leaves"))
     members = leaves.join(classes.select("vec_key", "vec", "copies").join(own, "vec_key"), "vec_key")
@@ -223,7 +229,7 @@ def near_duplicates(
     )
     found = checkpoint(
         dealt.groupBy("label", "tree", "node", "i", "j")
-        .applyInPandas(lambda pdf: compare_block(pdf, min_cosine), "vec_key long, n long, root long")
+        .applyInPandas(lambda pdf: compare_block(pdf, kind, min_cosine), "vec_key long, n long, root long")
     )
     counts = found.groupBy("vec_key").agg(F.sum("n").alias("n"))
     linked = connected_components(found.select(F.col("vec_key").alias("a"), F.col("root").alias("b")))
