@@ -11,6 +11,7 @@ documents, and packed once more. A round whose count does not fall is discarded.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.bpe import PATTERN, Vocabulary, read_file
+from citespark.llm.bpe import PATTERN, Vocabulary, coder, read_file
 from citespark.llm.common import checkpoint, map_rows
 from citespark.llm.tokens import once_per_worker, text_encoder
 
@@ -26,6 +27,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 2000
 ROUNDS = 6
+LONG_PIECE = 256
 #: Sequences with at least this share of room left are opened for the exchange.
 OPEN_SHARE = 0.005
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -47,7 +49,11 @@ def byte_tokenizer(path: str) -> Callable[[], Callable[[str], bytes]]:
         order = [whole for _, whole in sorted((when, whole) for whole, when in vocabulary.born.items())]
         if order == sorted(order):
             ranks = {b: i for i, b in vocabulary.bytes.items() if i not in vocabulary.special.values()}
-            merge = Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            short = Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+            def merge(piece: str) -> list[int]:
+                # its merging takes quadratic time in a piece; the backtracking encoder stays linear
+                return short(piece) if len(piece) <= LONG_PIECE else list(array("I", coder(content)[0](piece)))
         else:
             from tokenizers import Tokenizer
 
