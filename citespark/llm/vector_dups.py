@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 from citespark.llm.common import checkpoint, connected_components, forest, map_rows, usable_vector
 
 MIN_COSINE = 0.93
-TREES = 5
+TREES = 6
 LEAF_ROWS = 256
 #: Half the width of the overlap band, on unit vectors: pairs up to twice as far apart on an axis share a side.
-SPILL = 0.02
+SPILL = 0.03
+#: A split whose sides hold more than this many times the rows costs more comparisons than it saves (two sides of 1 / sqrt 2 cost as much).
+MAX_COPIES = 1.4
 SPLITS_PER_ROUND = 8
 SAMPLE_ROWS = 4096
 BLOCK_ROWS = 1024
@@ -60,8 +62,8 @@ def fit_node(v: np.ndarray, tree: int, node: int, total: float, leaf_rows: int,
         # a random quantile near the middle
         limit = float(np.quantile(x, 0.35 + 0.3 * np.random.default_rng([tree, at, 1]).random()))
         low, high = rows[x < limit + spill], rows[x >= limit - spill]
-        if len(low) + len(high) > 1.6 * len(rows):
-            continue  # the band holds most vectors: a split would only copy them
+        if len(low) + len(high) > MAX_COPIES * len(rows):
+            continue  # the band holds many vectors: the leaf stays whole and is compared in blocks
         out.append((at, limit))
         todo += [(2 * at, low, left - 1), (2 * at + 1, high, left - 1)]
     return out

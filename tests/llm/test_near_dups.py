@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -107,6 +109,22 @@ def test_vector_dups_find_every_link(spark):
         assert [r["kept"] for r in rows] == [i == c for i, c in enumerate(expected)]
 
 
+@pytest.mark.parametrize("mean_cosine", [0.93, 0.9])
+def test_vector_dups_of_a_dense_label(spark, mean_cosine):
+    """One label around the link distance: a split of it with a narrow band loses links."""
+    rng = np.random.default_rng(3)
+    n, dim = 4000, 64
+    centre = rng.standard_normal(dim)
+    noise = np.sqrt((1 / mean_cosine - 1) / dim) * np.linalg.norm(centre)
+    v = centre + noise * rng.standard_normal((n, dim))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "label": np.ones(n, int)}))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    rows = vector_dups.near_duplicates(table, leaf_rows=256).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in rows] == near.sum(1).tolist()
+
+
 def test_ids_are_hashed_alike_everywhere(spark):
     row = spark.sql("select 17L id").select(common.id_crc(F.col("id")).alias("c")).first()
     import zlib
