@@ -5,9 +5,11 @@ turns a unit vector; its cell is the signed axis nearest to it. Several
 independent tables are kept. A query visits, in each table, the cells whose axes
 are nearest to it (multiprobe); what it finds is ranked by exact inner products.
 
-The inner product is searched as an angle: stored vectors are scaled by the
-largest length and get one more component that fills them up to length 1, queries
-get 0 there. Cells hold blocks of bounded size; a task multiplies one block of
+The inner product is searched as an angle: stored vectors fall into bands of
+length (each at most twice as long as the shortest of its band), a band is hashed
+by direction and every query visits every band. Bands of few vectors are compared
+as a whole. Queries that found too few vectors search on in more cells, at last in
+all. Cells hold blocks of bounded size; a task multiplies one block of
 vectors with one block of queries and returns the best of each query, so hot
 cells are split over tasks and no pair is ever a row of its own.
 """
@@ -15,6 +17,7 @@ cells are split over tasks and no pair is ever a row of its own.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ BLOCK_ROWS = 2048
 #: Vectors hashed in one task.
 PART_ROWS = 4096
 SEED = 17
+#: The table of vectors that are compared as a whole.
+WHOLE = -1
 
 
 def rotations(dim: int, tables: int, hashes: int, seed: int = SEED) -> np.ndarray:
@@ -82,12 +87,12 @@ def probes_of(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     return np.stack(found, axis=1)
 
 
-def filled(v: np.ndarray, longest: float, width: int) -> np.ndarray:
-    """Vectors as points of the unit sphere: scaled, filled up to length 1 in the last component but padding."""
+def directions(v: np.ndarray, width: int) -> np.ndarray:
+    """Vectors as points of the unit sphere, padded with zeros; scaled first, so that no square overflows."""
     out = np.zeros((len(v), width))
-    out[:, : v.shape[1]] = v / longest
-    if width > v.shape[1]:
-        out[:, v.shape[1]] = np.sqrt(np.maximum(0.0, 1.0 - (out * out).sum(axis=1)))
+    if len(v):
+        out[:, : v.shape[1]] = v / np.abs(v).max(axis=1, keepdims=True)
+        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out
 
 
@@ -114,7 +119,7 @@ def nearest_neighbours(
     Score is the inner product of the original vectors in double precision. Equal
     vectors are one point of the index, which remembers its k + 1 smallest ids, so
     a vector that many rows share is searched and compared once, and results stay
-    exact. Vectors that are NULL, zero or hold NULL or non-finite components take
+    exact. Every query gets k rows where there are k. Vectors that are NULL, zero or hold NULL or non-finite components take
     no part, nor do rows with a NULL id. Repeated query rows get one result each.
     """
     keep = k + 1
@@ -130,7 +135,10 @@ def nearest_neighbours(
             for i, v in zip(ids, vectors):
                 groups.setdefault((np.asarray(v, np.float64) + 0.0).tobytes(), []).append(i)
             least = [sorted(g)[:keep] for g in groups.values()]
-            sizes = [math.sqrt(float((np.frombuffer(v) ** 2).sum())) for v in groups]
+            sizes = []
+            for v in groups:
+                top = np.abs(x := np.frombuffer(v)).max()
+                sizes.append(min(float(top) * math.sqrt(float(((x / top) ** 2).sum())), sys.float_info.max))
             return [list(groups), least, sizes, [len(v) // 8 for v in groups]]
 
         return work
@@ -141,16 +149,20 @@ def nearest_neighbours(
         F.max("size").alias("size"), F.max("dim").alias("dim"),
     )
     points = checkpoint(points.withColumn("point", F.monotonically_increasing_id()))
-    shape = points.agg(F.count("*"), F.max("dim"), F.max("size"), F.min("size")).first()
+    shape = points.agg(F.count("*"), F.max("dim"), F.max("size"), F.sum(F.size("ids"))).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not shape[0]:
         return table.sparkSession.createDataFrame([], empty)
-    points, _ = compact(points, PART_ROWS)
-    count, dim, longest, shortest = int(shape[0]), int(shape[1]), float(shape[2]), float(shape[3])
-    even = longest - shortest <= 1e-6 * longest
-    width = 1 << max(0, math.ceil(math.log2(dim if even else dim + 1)))
-    hashes = max(1, math.ceil(math.log(max(1.0, count / cell_rows)) / math.log(2 * width)))
-    signs = rotations(width, tables, hashes)
+    dim, longest = int(shape[1]), float(shape[2])
+    need = min(keep, int(shape[3]))
+    points, _ = compact(points.withColumn("band", F.floor(F.log2(F.lit(longest)) - F.log2("size") + 1e-6).cast("int")), PART_ROWS)
+    width = 1 << math.ceil(math.log2(dim))
+    # hash functions of the bands that are hashed; doubles have some 2,100 bands at most
+    counts = {row["band"]: row["n"] for row in points.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    hashes = {b: max(1, math.ceil(math.log(n / cell_rows) / math.log(2 * width))) for b, n in sorted(counts.items()) if n > cell_rows}
+    first_table = {b: at * tables for at, b in enumerate(hashes)}
+    signs = {h: rotations(width, tables, h) for h in set(hashes.values())}
+    whole = len(hashes) < len(counts)
 
     def pack_query():
         return lambda ids, vectors: [ids, [(np.asarray(v, np.float64) + 0.0).tobytes() for v in vectors]]
@@ -160,44 +172,52 @@ def nearest_neighbours(
     wanted, _ = compact(checkpoint(asked.groupBy("v").agg(F.min("query_id").alias("query"))), PART_ROWS)
 
     def store():
-        def work(keys: list, data: list, ids: list) -> list:
-            cells = cells_of(filled(vectors_of(data, dim), longest, width), signs)
-            rows = np.repeat(np.arange(len(keys)), tables).tolist()
-            return [
-                np.tile(np.arange(tables), len(keys)), cells.ravel(),
-                [keys[i] for i in rows], [data[i] for i in rows], [ids[i] for i in rows],
-            ]
+        def work(keys: list, data: list, ids: list, bands: list) -> list:
+            x, bands = directions(vectors_of(data, dim), width), np.array(bands, np.int64)
+            out = [[], [], []]
+            for b in np.unique(bands).tolist():
+                rows = np.flatnonzero(bands == b)
+                if b in hashes:
+                    out[0].append(np.tile(first_table[b] + np.arange(tables), len(rows)))
+                    out[1].append(cells_of(x[rows], signs[hashes[b]]).ravel())
+                    out[2].append(np.repeat(rows, tables))
+                else:
+                    out[0].append(np.full(len(rows), WHOLE))
+                    out[1].append(np.zeros(len(rows), np.int64))
+                    out[2].append(rows)
+            t, cells, rows = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+            rows = rows.tolist()
+            return [t, cells, [keys[i] for i in rows], [data[i] for i in rows], [ids[i] for i in rows]]
 
         return work
 
-    def visit():
-        def work(keys: list, data: list) -> list:
-            v = vectors_of(data, dim)
-            x = np.zeros((len(v), width))
-            x[:, :dim] = v / np.sqrt((v * v).sum(axis=1, keepdims=True)) if len(v) else v
-            cells = probes_of(x, signs, probes)
-            rows = np.repeat(np.arange(len(keys)), tables * cells.shape[2]).tolist()
-            tables_of = np.tile(np.repeat(np.arange(tables), cells.shape[2]), len(keys))
-            return [tables_of, cells.ravel(), [keys[i] for i in rows], [data[i] for i in rows]]
+    def visit(width_of_search: int):
+        def make():
+            def work(keys: list, data: list) -> list:
+                x = directions(vectors_of(data, dim), width)
+                found = {h: probes_of(x, s, width_of_search) for h, s in signs.items()}
+                out = [(np.full(len(keys), WHOLE), np.zeros(len(keys), np.int64), np.arange(len(keys)))] if whole else []
+                for b, h in hashes.items():
+                    cells = found[h]
+                    t = np.tile(np.repeat(first_table[b] + np.arange(tables), cells.shape[2]), len(keys))
+                    out.append((t, cells.ravel(), np.repeat(np.arange(len(keys)), tables * cells.shape[2])))
+                t, cells, rows = (np.concatenate(c) for c in zip(*out))
+                rows = rows.tolist()
+                return [t, cells, [keys[i] for i in rows], [data[i] for i in rows]]
 
-        return work
+            return work
 
-    stored = map_rows(points.select("point", "v", "ids"), "t int, cell long, point long, v binary, ids array<long>", store, rows=1024)
-    visits = map_rows(wanted.select("query", "v"), "t int, cell long, query long, v binary", visit, rows=256)
-    stored, visits = checkpoint(stored), checkpoint(visits)
-    sizes = stored.groupBy("t", "cell").agg(F.count("*").alias("n"))
-    loads = visits.groupBy("t", "cell").agg(F.count("*").alias("q"))
-    block = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
-    shares = checkpoint(sizes.join(loads, ["t", "cell"]).select("t", "cell", block("n").alias("bn"), block("q").alias("bq")))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = stored.join(shares, ["t", "cell"]).withColumn("i", F.pmod(F.xxhash64("point"), F.col("bn")).cast("int")).withColumn("j", every("bq"))
-    right = visits.join(shares, ["t", "cell"]).withColumn("j", F.pmod(F.xxhash64("query"), F.col("bq")).cast("int")).withColumn("i", every("bn"))
+        return make
+
+    stored = checkpoint(map_rows(
+        points.select("point", "v", "ids", "band"), "t int, cell long, point long, v binary, ids array<long>", store, rows=1024
+    ))
 
     def compare(points_pdf: pd.DataFrame, queries_pdf: pd.DataFrame) -> pd.DataFrame:
         if points_pdf.empty or queries_pdf.empty:
             return pd.DataFrame({"query": [], "points": [], "scores": [], "ids": [], "sizes": []})
         p, q = vectors_of(points_pdf["v"].tolist(), dim), vectors_of(queries_pdf["v"].tolist(), dim)
-        keys = points_pdf["point"].to_numpy()
+        keys, lengths = points_pdf["point"].to_numpy(), np.sqrt((p * p).sum(axis=1)).max() * np.sqrt((q * q).sum(axis=1))
         firsts = np.array([i[0] for i in points_pdf["ids"]], np.int64)
         members = points_pdf["ids"].tolist()
         rows = []
@@ -208,7 +228,7 @@ def nearest_neighbours(
             else:
                 limit = product.min(axis=1)
             # sums of a matrix product depend on its shape: near the limit all stay, then each is summed alike
-            slack = 1e-9 * (np.abs(limit) + longest * longest)
+            slack = 1e-9 * (np.abs(limit) + lengths[low : low + 256])
             for r in range(len(product)):
                 near = np.flatnonzero(product[r] >= limit[r] - slack[r])
                 exact = (p[near] * q[low + r]).sum(axis=1)
@@ -219,11 +239,6 @@ def nearest_neighbours(
             "ids": [np.concatenate(r[2]) for r in rows], "sizes": [[len(m) for m in r[2]] for r in rows],
         })
 
-    key = ["t", "cell", "i", "j"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        compare, "query long, points array<long>, scores array<double>, ids array<long>, sizes array<int>"
-    )
-
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, at = np.unique(np.concatenate(pdf["points"].tolist()), return_index=True)
         scores = np.concatenate(pdf["scores"].tolist())[at]
@@ -237,9 +252,46 @@ def nearest_neighbours(
             "query": [pdf["query"].iloc[0]], "ids": [[i for _, i in rows]], "scores": [[s for s, _ in rows]],
         })
 
-    # a query's blocks are as many as the cells it visits, times the blocks of hot ones
-    merged = found.groupBy("query").applyInPandas(merge, "query long, ids array<long>, scores array<double>")
-    answers = checkpoint(merged.join(wanted, "query").select("v", "ids", "scores"))
+    key = ["t", "cell", "i", "j"]
+    block = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+
+    def search(stored: DataFrame, visits: DataFrame) -> DataFrame:
+        """The best of each query among the vectors of the cells it visits."""
+        sizes = stored.groupBy("t", "cell").agg(F.count("*").alias("n"))
+        loads = visits.groupBy("t", "cell").agg(F.count("*").alias("q"))
+        shares = checkpoint(sizes.join(loads, ["t", "cell"]).select("t", "cell", block("n").alias("bn"), block("q").alias("bq")))
+        left = stored.join(shares, ["t", "cell"]).withColumn("i", F.pmod(F.xxhash64("point"), F.col("bn")).cast("int")).withColumn("j", every("bq"))
+        right = visits.join(shares, ["t", "cell"]).withColumn("j", F.pmod(F.xxhash64("query"), F.col("bq")).cast("int")).withColumn("i", every("bn"))
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+            compare, "query long, points array<long>, scores array<double>, ids array<long>, sizes array<int>"
+        )
+        # a query's blocks are as many as the cells it visits, times the blocks of hot ones
+        return found.groupBy("query").applyInPandas(merge, "query long, ids array<long>, scores array<double>")
+
+    answers, asking, cells = None, wanted, probes
+    while True:
+        if hashes and cells >= width and answers is not None:
+            # the last resort: all vectors are one cell, each once
+            once = stored.filter((F.col("t") == WHOLE) | (F.col("t") % tables == 0))
+            places = once.withColumns({"t": F.lit(WHOLE), "cell": F.lit(0).cast("long")})
+            visits = asking.select(F.lit(WHOLE).alias("t"), F.lit(0).cast("long").alias("cell"), "query", "v")
+            done = True
+        else:
+            places = stored
+            visits = map_rows(asking.select("query", "v"), "t int, cell long, query long, v binary", visit(cells), rows=256)
+            done = not hashes
+        got = checkpoint(asking.select("query", "v").join(search(places, checkpoint(visits)), "query", "left"))
+        enough = F.coalesce(F.size("ids"), F.lit(0)) >= need
+        full = got if done else got.filter(enough)
+        answers = full if answers is None else answers.unionByName(full)
+        if done:
+            break
+        asking = got.filter(~enough).select("query", "v")
+        if asking.isEmpty():
+            break
+        cells *= 2
+    answers = answers.filter("ids IS NOT NULL").select("v", "ids", "scores")
     pairs = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id"))
     hits = asked.join(answers, "v").select("query_id", F.posexplode(F.slice(pairs, 1, k)).alias("at", "hit"))
     return hits.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))

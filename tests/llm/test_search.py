@@ -1,6 +1,7 @@
 """Nearest neighbours: recall against brute force, exact scores, ties, copies and uneven lengths."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,30 @@ def test_recall(spark, kind):
         assert [i for i, _ in found[20]] == [i for i in range(21) if i != 20]
 
 
+@pytest.mark.parametrize("kind,n,options", [
+    ("outlier", 6000, {}), ("log-normal", 6000, {}), ("log-normal", 6000, {"cell_rows": 300}), ("far apart", 6000, {"probes": 1}),
+])
+def test_recall_with_uneven_lengths(spark, kind, n, options):
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if kind == "outlier":
+        v[7] *= 200
+    elif kind == "log-normal":
+        v *= np.exp(rng.standard_normal(n))[:, None]
+    else:  # all on one axis but a few, whose cells are nearly empty
+        v[200:] = np.eye(64)[0] + 1e-3 * v[200:]
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist()}))
+    asked = table.filter("vec_id < 200 AND vec_id % 2 = 0")
+    found = {}
+    for r in ann.nearest_neighbours(table, asked, k=20, **options).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(found) == 100 and {len(f) for f in found.values()} == {20}
+    if kind != "far apart":
+        expected = brute(v, list(range(n)), range(0, 200, 2), 20)
+        assert np.mean([len(found[q] & {i for i, _ in expected[q]}) for q in expected]) / 20 >= 0.95
+
+
 def test_fewer_candidates_than_asked_for(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((6, 8))
