@@ -4,7 +4,8 @@ A page becomes a sequence of blocks. Words score positive, the tags between two
 blocks negative; the contiguous run of blocks with the largest sum is the
 content, found in one linear scan. The costs of the tags come from labelled
 pages: pages that mark their article tell how often each tag stands outside of
-one. Elements that are never part of an article (menus, adverts, forms, scripts,
+one. In a scan the mark is a weight only: crossing its border costs what the tag
+costs, inside it other tags and words of links weigh a tenth. Elements that are never part of an article (menus, adverts, forms, scripts,
 reader comments and so on) are taken out before the scan.
 """
 
@@ -26,6 +27,8 @@ WORD_SCORE = 1.0
 COST_OUTSIDE = 12.0
 COST_INSIDE = 0.02
 COST_UNKNOWN = 0.5
+#: What tags and words of links inside a marked article weigh in a scan, against 1 outside.
+MARK_SHARE = 0.1
 
 #: Elements by their role in HTML.
 BLOCK_TAGS = frozenset(
@@ -89,7 +92,7 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[str] = []
-        self.tags: list[list[str]] = []  # tags since the block before
+        self.tags: list[list[tuple[str, float]]] = []  # tags since the block before, and what they weigh
         self.inside: list[bool] = []
         self.links: list[int] = []  # words in links
         self.outside_tags: Counter = Counter()  # of left-out elements and of what stands outside an article
@@ -99,7 +102,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         parts: list[str] = []
-        passed: list[str] = []
+        passed: list[tuple[str, float]] = []
         open_articles, at = 0, 0
         in_link, link_words = False, 0
 
@@ -137,6 +140,7 @@ class Page:
                     flush()
                 if tag in ARTICLE_TAGS and open_articles:
                     open_articles -= 1
+                    passed.append((tag, MARK_SHARE if open_articles else 1.0))
                 continue
             if tag in RAW_TAGS:
                 at = raw_end(html, tag, at)
@@ -151,11 +155,11 @@ class Page:
                         if name and not (inner[1] or inner[4]):
                             self.outside_tags[name.lower()] += 1
                     at = end
-                    passed.append(tag)
+                    passed.append((tag, MARK_SHARE if open_articles else 1.0))
                 continue
             if tag in BLOCK_TAGS:
                 flush()
-            passed.append(tag)
+            passed.append((tag, MARK_SHARE if open_articles else 1.0))
             if tag in ARTICLE_TAGS:
                 open_articles += 1
                 self.has_article = True
@@ -171,12 +175,9 @@ class Page:
         best, best_run, run, first = 0.0, (0, 0), 0.0, 0
         for i, (block, tags, inside, links) in enumerate(zip(self.blocks, self.tags, self.inside, self.links)):
             words = block.count(" ") + 1
-            if self.has_article:
-                # a marked article is a label: its tags cost nothing inside it, words outside of it count as tags do
-                gain, cost = (WORD_SCORE * words, 0.0) if inside else (-COST_OUTSIDE * words, COST_OUTSIDE)
-            else:
-                # words of links lead away from the content
-                gain, cost = WORD_SCORE * (words - 2 * min(words, links)), sum(costs.get(t, COST_UNKNOWN) for t in tags)
+            # words of links lead away from the content
+            gain = WORD_SCORE * (words - 2 * min(words, links) * (MARK_SHARE if inside else 1.0))
+            cost = sum(costs.get(t, COST_UNKNOWN) * weight for t, weight in tags)
             if run - cost > 0:
                 run -= cost
             else:
@@ -184,10 +185,7 @@ class Page:
             run += gain
             if run > best:
                 best, best_run = run, (first, i + 1)
-        kept = range(*best_run)
-        if self.has_article:
-            kept = [i for i in kept if self.inside[i]]
-        return "\n".join(self.blocks[i] for i in kept)
+        return "\n".join(self.blocks[slice(*best_run)])
 
 
 def raw_end(html: str, tag: str, at: int) -> int:

@@ -126,6 +126,33 @@ def test_pages_of_the_table(spark, sf_dir):
         assert r["text"] == "\n".join(x for x in lines if x)
 
 
+def test_the_mark_of_an_article_is_no_rule():
+    costs = {"div": 6.0, "p": 0.02, "h1": 0.02, "article": 12.0}
+    story = "".join(f"<p>{'word ' * 60}</p>" for _ in range(5))
+    for html in (
+        f"<body><div>{story}</div><article><p>{'teaser ' * 20}</p></article></body>",
+        f"<body><article><p>{'teaser ' * 20}</p></article><div>{story}</div></body>",
+    ):
+        assert html_text.Page(html).text(costs).count("word") == 300
+    two = f"<body><article>{story}</article><div>{'between ' * 30}</div><article>{story}</article></body>"
+    assert html_text.Page(two).text(costs).count("word") == 600
+    page = html_text.Page("<body><article><p>some words of text</p></article></body>")
+    assert page.text({"p": 5.0}) == "some words of text"
+
+
+def test_learned_costs_find_the_marked_articles(spark, sf_dir):
+    """The marks are taken away before the scan; what it finds is held against them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    costs = html_text.learn_costs(pages)
+    same = total = 0
+    for r in pages.collect():
+        marked = html_text.Page(r["html"])
+        expected = {b for b, inside in zip(marked.blocks, marked.inside) if inside}
+        found = set(html_text.Page(re.sub("</?article>", "", r["html"])).text(costs).split("\n"))
+        same, total = same + len(expected & found), total + len(expected | found)
+    assert same / total >= 0.95
+
+
 def held_out(spark, module, fit, score, label, folds, fold, limit):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
