@@ -58,6 +58,8 @@ _PART = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
 )
+#: A page that may mark its article, for Spark's readers of patterns.
+_MARK = r"(?i)<(?:article|main)[\s/>]"
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -212,9 +214,10 @@ def learn_costs(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     Labelled pages are those that mark their article; they are chosen by a hash of
     the id. Without any, every tag has the cost of an unknown one.
     """
-    chosen = pages.filter(F.col(page_id).isNotNull()).select(F.col(page_id).alias("_page")).distinct()
+    marked = F.col(html).rlike(_MARK)
+    chosen = pages.filter(F.col(page_id).isNotNull() & marked).select(F.col(page_id).alias("_page")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_page"), "_page").limit(sample_pages)
-    sample = pages.select(F.col(page_id).alias("_page"), F.col(html).alias("_html")).join(F.broadcast(chosen), "_page")
+    sample = pages.select(F.col(page_id).alias("_page"), F.col(html).alias("_html")).filter(F.col("_html").rlike(_MARK)).join(F.broadcast(chosen), "_page")
 
     def make():
         def work(texts: list) -> list:

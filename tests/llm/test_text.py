@@ -153,6 +153,12 @@ def test_learned_costs_find_the_marked_articles(spark, sf_dir):
     assert same / total >= 0.95
 
 
+def test_costs_come_from_marked_pages_among_many(spark):
+    rows = [(i, "<div><p>plain</p></div>") for i in range(300)] + [(300, "<div>x</div><ARTICLE><p>text</p></ARTICLE>")]
+    costs = html_text.learn_costs(spark.createDataFrame(rows, "page_id long, html string"), sample_pages=1)
+    assert costs["div"] == html_text.COST_OUTSIDE and costs["p"] == html_text.COST_INSIDE
+
+
 def held_out(spark, module, fit, score, label, folds, fold, limit):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
