@@ -124,6 +124,12 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
     return stack[-1] if stack else None
 
 
+def unknown_names(tokens: list[str]) -> set[str]:
+    """Identifiers outside the families, in lower case; what follows ``with`` is an exception, no licence."""
+    pairs = zip(["", *tokens], tokens)
+    return {t for before, t in pairs if t not in "()" and t not in _PRECEDENCE and before != "with" and family(t) is None}
+
+
 def scanner(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> Callable[[str], tuple]:
     """text -> n_words, n_base, first_word, last_word, base labels, labels, score."""
     words, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -157,9 +163,10 @@ def scanner(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES
         if b":" in data:
             lower = data.translate(_LOWER_ASCII).decode("latin-1")
             for end, _ in tags.iter(lower):
-                value = evaluate(to_postfix(tokens_after(lower, end + 1)))
+                tokens = tokens_after(lower, end + 1)
+                value = evaluate(to_postfix(tokens))
                 if value is not None:
-                    labels |= value[0]
+                    labels |= value[0] | unknown_names(tokens)
                     freedom.append(value[1])
         score = min(freedom) if freedom else NO_NOTICE
         return (

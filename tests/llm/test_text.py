@@ -73,6 +73,13 @@ def test_tags_add_labels():
     assert scan("no license here")[6] == licenses.NO_NOTICE
 
 
+def test_unknown_identifiers_are_labels():
+    scan = licenses.scanner()
+    for name in ("Zlib", "OFL-1.1", "Artistic-2.0", "CDDL-1.0", "0BSD"):
+        assert scan(f"SPDX-License-Identifier: {name}")[5:] == (name.lower(), licenses.UNKNOWN)
+    assert scan("SPDX-License-Identifier: (Zlib OR MIT) AND GPL-2.0 WITH Classpath-exception-2.0")[5] == "gpl,mit,zlib"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header>Site name</header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>%s
 <aside>Side</aside><div id="comments"><p>Nice post!</p></div><form><label>Mail</label><input></form><script>var x="</p>";</script>
