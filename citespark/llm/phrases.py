@@ -11,8 +11,11 @@ nothing twice, until a pass leaves no failure. Counts never depend on the sample
 
 Tasks hold a proposal as a Bloom filter of fixed size. A filter has no false
 negative, and a false positive only has one more phrase counted; the same filters
-say in later passes what was counted before. Tasks count whole texts in chunks
-with numpy, local numbers for words, and send one row per distinct phrase and chunk.
+say in later passes what was counted before. Tasks count whole texts in chunks,
+words as numbers, and send one row per distinct phrase and chunk. Rows carry
+64-bit hashes of (group, word). The first pass sees every word and proves that no
+two share a hash (else it starts again with another seed), so counts by hashes
+are exact; words come back at the end, for the frequent phrases only.
 
 Defined cases: a NULL text is empty; a NULL group is ``und``; rows are never
 joined by id, so repeated rows count as often as they occur. A text without words
@@ -32,12 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citespark.llm.common import checkpoint
+from citespark.llm.common import arrow_schema, checkpoint
 
 LEAST, MOST_WORDS, TOP = 10, 3, 2000
-SAMPLE, LOWERED = 0.25, 0.8
-#: Words that a task counts at once, and bytes of a text that it cuts into words at once.
-CHUNK, SLICE = 1 << 21, 1 << 20
+#: The share of rows in the sample, and the least count in it of what is proposed (more if the share asks for more).
+SAMPLE, PROPOSED = 0.1, 2
+#: Bytes of texts that a task counts at once; longer texts are cut between words.
+CHUNK = 8 << 20
 #: Bits of a filter, and bits that a phrase sets; it is sent to the tasks, 4 MB whatever the number of phrases.
 FILTER_BITS, FILTER_HASHES = 1 << 25, 4
 SEGMENT_BITS = 1 << 16
@@ -47,8 +51,10 @@ SALTS = 64
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + STOPS + BLANKS, bytes(range(97, 123)) + b"\n" * len(STOPS) + b" ")
 _CUT = re.compile(rb"[ \n]")
-COUNTS = "grp string, phrase string, n long"
-_ARROW = pa.schema([("grp", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+#: Hashes of the words, 0 after the last. Rows of one word name it; the row without a hash counts all words of its group.
+COUNTS = "h1 long, h2 long, h3 long, grp string, word binary, n long"
+KEYS = ["h1", "h2", "h3", "grp", "word"]
+_ARROW = arrow_schema(COUNTS)
 
 
 # ---- words and filters inside a task
@@ -79,101 +85,91 @@ def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-class Words(dict):
-    """Local numbers of the words of one chunk, from 1; the words of each group have numbers of their own."""
-
-    def __init__(self, chunk: "Chunk", group: str):
-        self.chunk, self.group = chunk, group
-
-    def __missing__(self, word: bytes) -> int:
-        self.chunk.words.append(word)
-        self.chunk.groups.append(self.group)
-        self[word] = made = len(self.chunk.words) - 1
-        return made
-
-
 class Chunk:
-    """Up to ``CHUNK`` words as numbers, 0 between pieces, and their counts."""
+    """Texts of up to ``CHUNK`` bytes by group, and the counts of their phrases.
+
+    ``passes`` are the filters (words, pairs) of all passes so far; None counts words and all pairs.
+    """
 
-    def __init__(self, passes: list[tuple[np.ndarray, np.ndarray]] | None):
-        self.passes = passes
+    def __init__(self, passes: list[tuple[np.ndarray, np.ndarray]] | None, seed: int):
+        self.passes, self.seed = passes, seed
         self.clear()
 
     def clear(self) -> None:
-        self.words: list[bytes] = [b""]
-        self.groups: list[str] = [""]
-        self.numbers: dict[str, Words] = {}
-        self.parts: list[np.ndarray] = []
+        #: by group: texts with blanks around words and line ends, and how many of their first words were counted before
+        self.texts: dict[str, list[bytes]] = {}
+        self.seen: dict[str, list[int]] = {}
         self.size = 0
 
     def add(self, group: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        """The words of a text; counts are given whenever the chunk is full."""
-        low = 0
-        tail: list[bytes] = []
+        """Takes a text; counts are given whenever the chunk is full."""
+        low, tail = 0, []
         while low < len(text):
-            high = low + SLICE
-            if high < len(text):
-                cut = _CUT.search(text, high)  # between words
-                high = cut.end() if cut else len(text)
-            found = text[low:high].replace(b"\n", b" \n ").split(b" ")
+            high = low + CHUNK
+            cut = _CUT.search(text, high) if high < len(text) else None  # between words
+            high = cut.end() if cut else len(text)
+            part = text[low:high].replace(b"\n", b" \n ")
             low = high
+            self.texts.setdefault(group, []).append(b" ".join([*tail, part, b"\n"]))
+            self.seen.setdefault(group, []).append(len(tail))
+            self.size += len(part)
+            if low < len(text):  # the last words again, as the start of what goes on; their own counts are done
+                tail = [*tail, *filter(None, part.split(b" "))][1 - MOST_WORDS :]
             if self.size >= CHUNK:
                 yield from self.counts()
-                if tail:  # the last words again, as the start of what goes on; their own counts are done
-                    self.put(group, tail, seen=True)
-            self.put(group, found)
-            tail = [*tail, *filter(None, found)][1 - MOST_WORDS :]
-        self.parts.append(np.zeros(1, np.int64))
-        if self.size >= CHUNK:
-            yield from self.counts()
-
-    def put(self, group: str, words: list[bytes], seen: bool = False) -> None:
-        number = self.numbers.get(group)
-        if number is None:
-            number = self.numbers[group] = Words(self, group)
-            number[b"\n"] = 0
-        ids = np.array([number[w] for w in words if w], np.int64)
-        self.parts.append(-ids if seen else ids)
-        self.size += len(ids)
 
     def counts(self) -> Iterator[pa.RecordBatch]:
-        """One row for each phrase that this pass counts, and the number of words of each group under the empty phrase."""
-        signed = np.concatenate([np.zeros(1, np.int64), *self.parts])
-        ids, fresh = np.abs(signed), signed >= 0
-        n = len(self.words)
-        words = pa.array(self.words, pa.binary())
-        groups = pa.array(self.groups, pa.string())
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed=xxhash.xxh64_intdigest(g)) for w, g in zip(self.words, self.groups)], np.uint64)
-        pairs, wide = self.ending(ids, fresh, 2)
-        first = len(self.passes or ()) < 2
-        if first:
-            once = np.bincount(ids[(ids > 0) & fresh], minlength=n)
-            found = np.flatnonzero(once)
-            yield from self.rows(words, groups, [found], once[found])
-            total = {g: 0 for g in self.numbers}
-            for g, k in zip(self.groups, once.tolist()):
-                if k:
-                    total[g] += k
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([""] * len(total)), pa.array(list(total.values()), pa.int64())], schema=_ARROW)
-        if self.passes is None:  # the sample counts all pairs
-            yield from self.rows(words, groups, *self.distinct([ids[pairs - 1], ids[pairs]], n))
-        else:
-            known = [holds(singles, hashes) for singles, _ in self.passes]
-            left, right = ids[pairs - 1], ids[pairs]
-            may = [k[left] & k[right] for k in known]
-            yield from self.rows(words, groups, *self.distinct([x[self.new(may)] for x in (left, right)], n))
-            # whether a pair is held is looked up once for each distinct pair
-            codes, back = np.unique(ids[wide - 1] * n + ids[wide], return_inverse=True)
-            pair_hash = chained(hashes[codes // n], hashes[codes % n])
-            held = [holds(doubles, pair_hash)[back] for _, doubles in self.passes]
-            at, _ = self.ending(ids, fresh, 3)
-            place = np.zeros(len(ids), np.int64)
-            place[wide] = np.arange(len(wide))
-            may = [h[place[at - 1]] & h[place[at]] for h in held]
-            at = at[self.new(may)]
-            yield from self.rows(words, groups, *self.distinct([ids[at - 2], ids[at - 1], ids[at]], n))
+        for group in self.texts:
+            yield from self.of_group(group)
         self.clear()
 
+    def numbered(self, group: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The words of a group as numbers from 1, 0 between pieces; which were not counted before; the words, by number."""
+        lists = pc.split_pattern(pa.array(self.texts[group], pa.large_binary()), b" ")
+        starts, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = np.arange(1, len(words) + 1)
+        for word, value in ((b"", -1), (b"\n", 0)):
+            if word in words:
+                number[words.index(word)] = value
+        ids = number[coded.indices.to_numpy()]
+        fresh = np.ones(len(ids), bool)
+        for at, k in zip(starts.tolist(), self.seen[group]):
+            fresh[at : at + k] = False
+        real = ids >= 0
+        return np.concatenate([[0], ids[real]]), np.concatenate([[False], fresh[real]]), [b"", *words]
+
+    def of_group(self, group: str) -> Iterator[pa.RecordBatch]:
+        """One row for each phrase that this pass counts."""
+        ids, fresh, words = self.numbered(group)
+        n = len(words)
+        seed = xxhash.xxh64_intdigest(group, seed=self.seed)
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(w, seed=seed) or 1 for w in words], np.uint64)
+        pairs, ends = self.ending(ids, fresh, 2)
+        left, right = ids[pairs - 1], ids[pairs]
+        if self.passes is None or len(self.passes) == 1:
+            once = np.bincount(ids[fresh], minlength=n)
+            once[0] = 0
+            found = np.flatnonzero(once)
+            yield from self.rows(hashes, [found], once[found], group, pa.array(words, pa.binary()).take(pa.array(found)))
+            yield pa.RecordBatch.from_pylist([{"h1": 0, "h2": 0, "h3": 0, "grp": group, "word": b"", "n": int(once.sum())}], schema=_ARROW)
+        if self.passes is None:
+            yield from self.rows(hashes, *self.distinct([left, right], n))
+            return
+        known = [holds(singles, hashes) for singles, _ in self.passes]
+        new = self.new([k[left] & k[right] for k in known])
+        yield from self.rows(hashes, *self.distinct([left[new], right[new]], n))
+        # whether a pair is held is looked up once for each distinct pair
+        codes, back = np.unique(ids[ends - 1] * n + ids[ends], return_inverse=True)
+        pair_hash = chained(hashes[codes // n], hashes[codes % n])
+        held = np.zeros((len(self.passes), len(ids)), bool)
+        for k, (_, doubles) in enumerate(self.passes):
+            held[k, ends] = holds(doubles, pair_hash)[back]
+        at, _ = self.ending(ids, fresh, 3)
+        at = at[self.new([h[at - 1] & h[at] for h in held])]
+        yield from self.rows(hashes, *self.distinct([ids[at - 2], ids[at - 1], ids[at]], n))
+
     @staticmethod
     def new(may: list[np.ndarray]) -> np.ndarray:
         """Eligible now and in no earlier pass."""
@@ -205,52 +201,49 @@ class Chunk:
         return [codes, *reversed(out)], counts
 
     @staticmethod
-    def rows(words: pa.Array, groups: pa.Array, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for low in range(0, len(counts), 1 << 16):
-            part = [words.take(pa.array(c[low : low + (1 << 16)])) for c in columns]
-            phrase = part[0] if len(part) == 1 else pc.binary_join_element_wise(*part, b" ")
-            arrays = [groups.take(pa.array(columns[0][low : low + (1 << 16)])), phrase.cast(pa.string()), pa.array(counts[low : low + (1 << 16)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+    def rows(
+        hashes: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, group: str | None = None, names: pa.Array | None = None,
+    ) -> Iterator[pa.RecordBatch]:
+        step = 1 << 16
+        for low in range(0, len(counts), step):
+            k = len(counts[low : low + step])
+            arrays = [pa.array(hashes[c[low : low + step]].view(np.int64)) for c in columns]
+            arrays += [pa.array(np.zeros(k, np.int64))] * (MOST_WORDS - len(columns))
+            arrays += [pa.nulls(k, pa.string()) if group is None else pa.repeat(pa.scalar(group, pa.string()), k)]
+            arrays += [pa.nulls(k, pa.binary()) if names is None else names[low : low + step]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts[low : low + step], pa.int64())], schema=_ARROW)
 
 
 # ---- passes
 
 
-def partial_counts(texts: DataFrame, passes: list[tuple[np.ndarray, np.ndarray]] | None) -> DataFrame:
-    """(grp, phrase, n) of the chunks of (grp, text as binary); ``passes`` are the filters (words, pairs) of all passes so far."""
+def counted(texts: DataFrame, passes: list[tuple[np.ndarray, np.ndarray]] | None, seed: int) -> DataFrame:
+    """Counts of the phrases of (grp, text as binary) that a pass counts, as ``COUNTS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(passes)
+        chunk = Chunk(passes, seed)
         for batch in batches:
             for group, text in zip(batch.column(0), batch.column(1)):
                 yield from chunk.add(group.as_py(), text.as_py().translate(_TABLE))
-        if chunk.size:
-            yield from chunk.counts()
-
-    return texts.select("grp", "text").mapInArrow(run, COUNTS)
+        yield from chunk.counts()
 
+    return texts.select("grp", "text").mapInArrow(run, COUNTS).groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
-def size_of(phrase: Column) -> Column:
-    """The number of words of a phrase; 0 for the empty one."""
-    return F.when(phrase == "", 0).otherwise(F.char_length(phrase) - F.char_length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
 
-
-def phrase_hashes(groups: list[str], phrases: list[str]) -> np.ndarray:
-    """The hashes of phrases of one size; seeds are those of ``Chunk.counts``."""
-    seeds = {g: xxhash.xxh64_intdigest(g) for g in set(groups)}
-    rows = [[xxhash.xxh64_intdigest(w.encode(), seed=seeds[g]) for w in p.split(" ")] for g, p in zip(groups, phrases)]
-    return chained(*np.array(rows, np.uint64).T) if rows else np.zeros(0, np.uint64)
+def row_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """The hashes of phrases of one size, from the hashes of their words."""
+    return chained(*(c.to_numpy().view(np.uint64) for c in batch.columns))
 
 
 def bloom(phrases: DataFrame) -> np.ndarray:
-    """The filter of (grp, phrase), all of one size; only its bits, a fixed number, come to the driver."""
+    """The filter of phrases of one size (hashes of their words); only its bits, a fixed number, come to the driver."""
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(bits_of(phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())).astype(np.int64))
+            at = np.unique(bits_of(row_hashes(batch)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT_BITS), pa.array(at)], names=["segment", "at"])
 
-    set_bits = phrases.select("grp", "phrase").mapInArrow(positions, "segment long, at long").distinct()
+    set_bits = phrases.mapInArrow(positions, "segment long, at long").distinct()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
@@ -265,14 +258,36 @@ def bloom(phrases: DataFrame) -> np.ndarray:
 
 
 def outside(phrases: DataFrame, bits: np.ndarray) -> int:
-    """How many of (grp, phrase) a filter does not hold."""
+    """How many phrases a filter does not hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            missing = ~holds(bits, phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([int(missing.sum())], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int((~holds(bits, row_hashes(batch))).sum())], pa.int64())], names=["n"])
+
+    return phrases.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def singles(counts: DataFrame) -> DataFrame:
+    return counts.filter("h1 != 0 AND h2 = 0").select("h1")
+
 
-    return phrases.select("grp", "phrase").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+def doubles(counts: DataFrame) -> DataFrame:
+    return counts.filter("h2 != 0 AND h3 = 0").select("h1", "h2")
+
+
+def named(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(grp, phrase, size, n) from counts by hashes; all words of a frequent phrase are frequent."""
+    words = checkpoint(counts.filter("h1 != 0 AND h2 = 0").select("h1", "grp", F.col("word").cast("string").alias("word"), "n"))
+    word = lambda k: words.select(F.col("h1").alias(f"h{k}"), F.col("word").alias(f"w{k}"))
+    longer = checkpoint(counts.filter("h2 != 0").select("h1", "h2", "h3", "n"))
+    longer = longer.join(words.select("h1", "grp", F.col("word").alias("w1")), "h1").join(word(2), "h2").join(word(3), "h3", "left")
+    size = F.when(F.col("h3") == 0, 2).otherwise(3)
+    parts = [
+        totals.select("grp", F.lit("").alias("phrase"), F.lit(0).alias("size"), "n"),
+        words.select("grp", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n"),
+        longer.select("grp", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), size.alias("size"), "n"),
+    ]
+    return checkpoint(reduce(DataFrame.unionByName, parts))
 
 
 def frequent_phrases(
@@ -285,24 +300,22 @@ def frequent_phrases(
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("grp"), body.alias("text"))
-    lowered = max(1, int(least * sample * LOWERED))
-    total = F.sum("n").alias("n")
-    proposed = partial_counts(texts.sample(False, sample, seed), None).groupBy("grp", "phrase").agg(total)
-    proposed = proposed.withColumn("size", size_of(F.col("phrase"))).filter(F.col("n") >= lowered)
-    proposed = checkpoint(proposed.filter("size > 0").select("grp", "phrase", "size"))
-    passes = [tuple(bloom(proposed.filter(F.col("size") == k)) for k in (1, 2))]
-    parts: list[DataFrame] = []
+    lowered = max(PROPOSED, int(least * sample))
+    proposed = checkpoint(counted(texts.sample(False, sample, seed), None, seed).filter((F.col("n") >= lowered) & (F.col("h1") != 0)))
+    passes = [(bloom(singles(proposed)), bloom(doubles(proposed)))]
+    frequent = F.col("n") >= least
+    first = checkpoint(counted(texts, passes, seed).filter(frequent | (F.col("h2") == 0)))
+    if not first.filter("h1 != 0 AND h2 = 0").groupBy("h1").count().filter("count > 1").isEmpty():
+        return frequent_phrases(docs, text, group, least, sample, seed + 1)
+    found = first.filter(frequent & (F.col("h1") != 0))
     log: list[dict] = []
     while True:
-        counted = partial_counts(texts, passes).groupBy("grp", "phrase").agg(total).filter((F.col("n") >= least) | (F.col("phrase") == ""))
-        parts.append(checkpoint(counted.withColumn("size", size_of(F.col("phrase"))).select("grp", "phrase", "size", "n")))
-        found = reduce(DataFrame.unionByName, parts)
-        words, pairs = found.filter("size = 1"), found.filter("size = 2")
-        log.append({"words": outside(words, passes[-1][0]), "pairs": outside(pairs, passes[-1][1])})
+        log.append({"words": outside(singles(found), passes[-1][0]), "pairs": outside(doubles(found), passes[-1][1])})
         if not any(log[-1].values()):
-            return found, log
+            return named(found, first.filter("h1 = 0")), log
         # all that is frequent so far joins what was proposed
-        passes.append((passes[-1][0] | bloom(words), passes[-1][1] | bloom(pairs)))
+        passes.append((passes[-1][0] | bloom(singles(found)), passes[-1][1] | bloom(doubles(found))))
+        found = found.unionByName(checkpoint(counted(texts, passes, seed).filter(frequent)))
 
 
 # ---- scores
