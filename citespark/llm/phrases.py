@@ -239,19 +239,23 @@ def bloom(phrases: DataFrame) -> np.ndarray:
     """The filter of phrases of one size (hashes of their words); only its bits, a fixed number, come to the driver."""
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            at = np.unique(bits_of(row_hashes(batch)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT_BITS), pa.array(at)], names=["segment", "at"])
-
-    set_bits = phrases.mapInArrow(positions, "segment long, at long").distinct()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+            marked[bits_of(row_hashes(batch)).ravel()] = True
+        at = np.flatnonzero(marked)
+        segments, starts = np.unique(at // SEGMENT_BITS, return_index=True)
+        places = [part.astype("<u2").tobytes() for part in np.split(at % SEGMENT_BITS, starts[1:])] if len(at) else []
+        yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(places, pa.binary())], names=["segment", "places"])
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         part = np.zeros(SEGMENT_BITS, np.uint8)
-        part[table.column("at").to_numpy() % SEGMENT_BITS] = 1
+        for places in table.column("places"):
+            part[np.frombuffer(places.as_py(), "<u2")] = 1
         return pa.table({"segment": [key[0].as_py()], "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
 
-    for row in set_bits.groupBy("segment").applyInArrow(packed, "segment long, bits binary").collect():
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    marks = phrases.mapInArrow(positions, "segment long, places binary")
+    for row in marks.groupBy("segment").applyInArrow(packed, "segment long, bits binary").collect():
         low = row["segment"] * SEGMENT_BITS // 8
         bits[low : low + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
     return bits
