@@ -366,3 +366,70 @@ def export_json(t):
         "doc_id", F.try_variant_get(v, "$.title", "string").alias("title"),
         F.try_variant_get(v, "$.exportDate", "string").alias("exported"), blocks.cast("long").alias("blocks"),
     )
+
+
+# the same lines as blocks of five kinds: paragraph, heading, quote, list of one item, code
+_KINDS = ("paragraph", "heading", "quote", "list", "code")
+
+
+def _blocks(t):
+    """Tree JSON of each document with nested blocks, built by Spark from its lines."""
+    text = lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"))
+    inner = lambda kind, x, children: F.struct(F.lit(kind).alias("type"), x.alias("text"), children.alias("children"))
+    none = F.lit(None).cast("string")
+
+    def block(x, i):
+        is_kind = lambda kind: i % 5 == _KINDS.index(kind)
+        children = F.when(is_kind("list"), F.array(inner("listitem", none, F.array(text(x))))).when(
+            ~is_kind("code"), F.array(inner("text", x, F.array().cast("array<struct<type:string,text:string>>")))
+        )
+        return F.struct(
+            F.element_at(F.array(*map(F.lit, _KINDS)), i % 5 + 1).alias("type"), F.when(is_kind("heading"), "h2").alias("tag"),
+            F.when(is_kind("list"), "number").alias("listType"), F.when(is_kind("code"), x).alias("text"), children.alias("children"),
+        )
+
+    content = F.to_json(F.struct(F.struct(F.transform(F.split("text", "\n"), block).alias("children")).alias("root")))
+    return t.documents.select("doc_id", F.col("lang").alias("title"), content.alias("content"))
+
+
+@query(
+    "blocks_to_latex",
+    f"""WITH {_LINES}, rendered AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN {_TEX} WHEN 1 THEN concat('\\subsection{{', {_TEX}, '}}')
+    WHEN 2 THEN concat('\\begin{{quote}}', chr(10), {_TEX}, chr(10), '\\end{{quote}}')
+    WHEN 3 THEN concat('\\begin{{enumerate}}', chr(10), '  \\item ', {_TEX}, chr(10), '\\end{{enumerate}}')
+    ELSE concat('\\begin{{verbatim}}', chr(10), line, chr(10), '\\end{{verbatim}}') END AS p FROM lines)
+SELECT doc_id, md5(coalesce(string_agg(p, {_NL2} ORDER BY i) FILTER (WHERE p <> ''), '')) AS latex FROM rendered GROUP BY doc_id""",
+)
+def blocks_to_latex(t):
+    return _blocks(t).select("doc_id", F.md5(tree.render_latex(F.col("content"))).alias("latex"))
+
+
+@query(
+    "blocks_to_markdown",
+    f"""WITH {_LINES}, rendered AS (SELECT doc_id, lang, i, CASE i % 5 WHEN 0 THEN CASE WHEN line = '' THEN '' ELSE line || {_NL2} END
+    WHEN 1 THEN concat('## ', line, {_NL2}) WHEN 2 THEN concat('> ', line, {_NL2}) WHEN 3 THEN concat('1. ', line, {_NL2})
+    ELSE concat('```', chr(10), line, chr(10), '```', {_NL2}) END AS p FROM lines)
+SELECT doc_id, md5(concat('# ', lang, {_NL2}, string_agg(p, '' ORDER BY i))) AS content FROM rendered GROUP BY doc_id, lang""",
+)
+def blocks_to_markdown(t):
+    return tree.export_documents(_blocks(t), "markdown", key="doc_id").withColumn("content", F.md5("content"))
+
+
+@query(
+    "blocks_to_text",
+    f"""WITH {_LINES} SELECT doc_id, md5(concat(lang, chr(10), repeat('=', length(lang)), {_NL2}, string_agg(line, chr(10) ORDER BY i))) AS content
+FROM lines GROUP BY doc_id, lang""",
+)
+def blocks_to_text(t):
+    return tree.export_documents(_blocks(t), "txt", key="doc_id").withColumn("content", F.md5("content"))
+
+
+@query(
+    "blocks_nodes",
+    f"""WITH {_LINES} SELECT doc_id, CASE i % 5 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading' WHEN 2 THEN 'quote' WHEN 3 THEN 'list' ELSE 'code' END AS kind,
+  count(*) AS n, CAST(sum(CASE i % 5 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 2 END) AS BIGINT) AS nodes FROM lines GROUP BY ALL""",
+)
+def blocks_nodes(t):
+    nodes = tree.node_table(_blocks(t), "doc_id", "content")
+    top = F.element_at(F.array(*map(F.lit, _KINDS)), F.get("path", 0) % 5 + 1)
+    return nodes.groupBy("doc_id", top.alias("kind")).agg(F.count_if(F.size("path") == 1).alias("n"), F.count("*").alias("nodes"))

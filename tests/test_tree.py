@@ -1,6 +1,7 @@
 """Editor trees: rendering of literal documents."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,7 +117,38 @@ def test_private_characters_are_text(spark):
     assert [r["text"] for r in tree.node_table(df, "document_id", "content").collect() if r["text"]] == [MARKS, "\ue003"]
 
 
-@pytest.mark.parametrize("levels", [1, 64, 70, 200])
+def long_document(paragraphs, levels):
+    inner = text("deep")
+    for _ in range(levels):
+        inner = node("quote", inner)
+    kids = [node("paragraph", text(f'{{a}} "b{i}" \\ {{'), {"type": "citation", "citationKey": f"k{i}"}) for i in range(paragraphs)]
+    return json.dumps({"root": {"children": [*kids, inner]}})
+
+
+def test_depth_of_braces(spark):
+    rows = [("", 0), ("{}", 1), ('{"a":{"b":{}},"c":{}}', 3), ('{"a{{":"}{{{\\"{{"}', 1), (r'{"a":"\\","b":{"c":"\""}}', 2), ("}}{", 0)]
+    df = spark.createDataFrame(rows, "c string, n int")
+    assert [r.d for r in df.select(tree.depth(F.col("c")).alias("d")).collect()] == [n for _, n in rows]
+
+
+def test_long_and_deep_documents(spark):
+    """Work grows with the nodes: each length takes well under three times that of half of it."""
+    seconds = []
+    for paragraphs in (4_000, 8_000, 16_000):
+        df = spark.createDataFrame([(long_document(paragraphs, 480),)], "c string").cache()
+        assert df.count() == 1
+        took = []
+        for _ in range(2):
+            start = time.time()
+            row = df.select(F.size(tree.unfold(F.col("c"), "", tree._keep_mode)).alias("n"), tree.render_latex(F.col("c")).alias("latex")).first()
+            took.append(time.time() - start)
+        seconds.append(min(took))
+        assert row["n"] == 3 * paragraphs + 481
+        assert row["latex"].count("\\cite{") == paragraphs and row["latex"].startswith('\\{a\\} "b0"')
+    assert seconds[2] < 3 * seconds[1] + 1 and seconds[1] < 3 * seconds[0] + 1
+
+
+@pytest.mark.parametrize("levels", [1, 64, 70, 200, 480])
 def test_depth_has_no_limit(spark, levels):
     node = {"type": "text", "text": "deep"}
     for _ in range(levels):
