@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions import scoring, vectors
 from citespark.functions.citations import display_text
-from citespark.operators import ranking, similarity
+from citespark.operators import pq_index, ranking, similarity
 from citespark.plans import suggest as sg
 from suite import sqltext as q
 from suite.registry import query
@@ -191,6 +191,64 @@ def similarity_join_ivf(t):
     return similarity.recall(exact, near, ["query_id", "chunk_id"])
 
 
+_RECALL = """SELECT count(*) AS expected, true AS recall_reached FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM pairs
+  WHERE similarity > {least}) WHERE rank <= 10"""
+
+
+def _index_recall(t, entries, vectors, model, n_probe):
+    """How many rows the exact join has, and whether the index finds nine tenths of them.
+
+    The table's vectors have no clusters, so most cells have to be met; what is
+    saved there is that 16 bytes are read of each and vectors of ``rerank`` rows only.
+    """
+    queries = t.embeddings.selectExpr("vec_id AS query_id", "embedding")
+    near = pq_index.search(queries, entries, vectors, model, k=10, min_similarity=MIN_SIM, n_probe=n_probe, rerank=200)
+    exact = similarity.similarity_join(queries, vectors, k=10, min_similarity=MIN_SIM)
+    found = similarity.recall(exact, near, ["query_id", "chunk_id"])
+    return found.select("expected", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query("pq_index_search", f"{_ALL_PAIRS} {_RECALL.format(least=MIN_SIM)}")
+def pq_index_search(t):
+    vectors = t.embeddings.selectExpr("vec_id AS chunk_id", "embedding")
+    model = pq_index.train(vectors, n_cells=16)
+    return _index_recall(t, pq_index.encode(vectors, model), vectors, model, 13)
+
+
+_CHANGED = f"""WITH pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {q.cosine('a.embedding', 'b.embedding')} AS similarity
+  FROM embeddings a, embeddings b WHERE b.vec_id % 7 <> 3)"""
+
+
+@query("pq_index_updates", f"{_CHANGED} {_RECALL.format(least=MIN_SIM)}")
+def pq_index_updates(t):
+    """Fitted on two thirds of the rows; the others are inserted, every seventh is deleted, large cells are split."""
+    vectors = t.embeddings.selectExpr("vec_id AS chunk_id", "embedding")
+    early, late = vectors.filter("chunk_id % 3 != 0"), vectors.filter("chunk_id % 3 = 0")
+    model = pq_index.train(early, n_cells=12)
+    entries = pq_index.encode(early, model).unionByName(pq_index.encode(late, model, 1))
+    entries = entries.unionByName(pq_index.deletions(vectors.filter("chunk_id % 7 = 3"), 2))
+    kept = vectors.filter("chunk_id % 7 != 3")
+    bound = pq_index.live(entries).groupBy("cell").count().agg(F.max("count")).first()[0] - 1
+    added, model = pq_index.split_cells(entries, kept, model, bound, 3)
+    return _index_recall(t, entries.unionByName(added), kept, model, 11)
+
+
+@query(
+    "pq_index_entries",
+    "SELECT vec_id AS key, vec_id % 3 = 0 AS inserted, 16 AS bytes FROM embeddings WHERE vec_id % 7 <> 3",
+)
+def pq_index_entries(t):
+    """The live entries after inserts and deletions, and what each keeps of its vector."""
+    vectors = t.embeddings.selectExpr("vec_id AS chunk_id", "embedding")
+    early, late = vectors.filter("chunk_id % 3 != 0"), vectors.filter("chunk_id % 3 = 0")
+    model = pq_index.train(early, n_cells=12)
+    entries = pq_index.encode(early, model).unionByName(pq_index.encode(late, model, 1))
+    now = pq_index.live(entries.unionByName(pq_index.deletions(vectors.filter("chunk_id % 7 = 3"), 2)))
+    return now.select("key", (F.col("version") == 1).alias("inserted"), F.octet_length("codes").alias("bytes"))
+
+
 @query("similarity_join_lsh")
 def similarity_join_lsh(t):
     chunks = t.embeddings.selectExpr("vec_id AS chunk_id", "embedding")
