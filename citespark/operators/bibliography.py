@@ -69,9 +69,7 @@ def assign_positions(
     if legacy_positions:
         highest = F.when(highest == 0, -1).otherwise(highest)
     wanted = F.col("position") if "position" in requests.columns else F.lit(None).cast("int")
-    numbered = timeline.running_number(
-        requests, ["document_id"], [order], timeline.number_bucket(order), "_nth"
-    )
+    numbered = timeline.running_number(requests, ["document_id"], [order], None, "_nth")
     return (
         numbered.join(max_positions(assignments), "document_id", "left")
         .withColumn("position", F.coalesce(wanted, (highest + F.col("_nth")).cast("int")))

@@ -274,18 +274,13 @@ def _reachable(index: CellIndex, threshold: float, n_probe: int | None) -> Calla
     return cells
 
 
-def _block_join(
-    q: DataFrame,
-    indexed: DataFrame,
-    schema: T.StructType,
-    index: CellIndex,
-    k: int,
-    threshold: float,
-    n_probe: int | None,
-    query_blocks: int,
-    has_group: bool,
-) -> DataFrame:
-    """Equi-join of query blocks and chunk blocks; each pair is one bounded task group."""
+_BLOCK = ["cell", "part", "qpart"]
+
+
+def _dealt(
+    q: DataFrame, indexed: DataFrame, index: CellIndex, threshold: float, n_probe: int | None, query_blocks: int
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and chunks with the blocks (``_BLOCK``) in which they meet."""
     # plain arrays: a broadcast value of our own class would need this package on the workers
     shared = q.sparkSession.sparkContext.broadcast((index.centres, index.radius, index.blocks))
 
@@ -307,6 +302,22 @@ def _block_join(
     right = indexed.withColumn(
         "part", F.pmod(salt, F.get(n_blocks, F.col("cell"))).cast("int")
     ).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    return left, right
+
+
+def _block_join(
+    q: DataFrame,
+    indexed: DataFrame,
+    schema: T.StructType,
+    index: CellIndex,
+    k: int,
+    threshold: float,
+    n_probe: int | None,
+    query_blocks: int,
+    has_group: bool,
+) -> DataFrame:
+    """Equi-join of query blocks and chunk blocks; each pair is one bounded task group."""
+    left, right = _dealt(q, indexed, index, threshold, n_probe, query_blocks)
     names = [f.name for f in schema]
 
     def score(lq: pa.Table, rc: pa.Table) -> pa.Table:
@@ -332,8 +343,7 @@ def _block_join(
         ]
         + [("similarity", pa.float64())]
     )
-    by = ["cell", "part", "qpart"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, schema)
+    return left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(score, schema)
 
 
 def similarity_join(
@@ -388,6 +398,81 @@ def similarity_join(
     )
 
 
+def count_above(
+    queries: DataFrame,
+    chunks: DataFrame,
+    *,
+    min_similarity: float,
+    query_id: str = "query_id",
+    chunk_id: str = "chunk_id",
+    vector: str = "embedding",
+    exclude: str | None = None,
+    broadcast_queries: int = BROADCAST_QUERIES,
+    n_cells: int = 64,
+    block_rows: int = BLOCK_ROWS,
+    query_block_rows: int = QUERY_BLOCK_ROWS,
+    centres: np.ndarray | None = None,
+    dim: int | None = None,
+) -> DataFrame:
+    """(query_id, above): how many chunks lie strictly above the threshold, for queries that have any.
+
+    Pairs are counted where their products are formed; a task hands on one number
+    per query that it met. The physical forms are those of :func:`similarity_join`.
+    """
+    q = _vectors(queries, query_id, vector, exclude, None)
+    head = q.limit(broadcast_queries + 1).toArrow()
+    has_group = exclude is not None
+    floor = _strictly_above(min_similarity)
+
+    def counts(asked: np.ndarray, own: np.ndarray | None, held: np.ndarray, other: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(len(asked), np.int64)
+        for lo in range(0, len(asked), MATRIX_ROWS):
+            keep = np.round(asked[lo : lo + MATRIX_ROWS] @ held.T, SIMILARITY_DIGITS) >= floor
+            if own is not None:
+                keep &= own[lo : lo + MATRIX_ROWS, None] != other[None, :]
+            out[lo : lo + MATRIX_ROWS] = keep.sum(axis=1)
+        return out
+
+    key_type = q.schema["key"].dataType
+    schema = T.StructType([T.StructField("query_key", key_type), T.StructField("n", T.LongType())])
+    arrow = pa.schema([("query_key", pa.string() if isinstance(key_type, T.StringType) else pa.int64()), ("n", pa.int64())])
+    if not head.num_rows:
+        found = q.sparkSession.createDataFrame([], schema)
+    elif head.num_rows <= broadcast_queries:
+        c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension([len(v) for v in head["vec"]], dim))
+        shared = q.sparkSession.sparkContext.broadcast((_ids(head["key"]), _matrix(head["vec"]), _ids(head["grp"]) if has_group else None))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, unit, own = shared.value
+            total = np.zeros(len(unit), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += counts(unit, own, _matrix(batch.column(1)), _ids(batch.column(2)) if has_group else None)
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"query_key": list(keys[met]), "n": total[met]}, schema=arrow)
+
+        found = c.mapInArrow(scan, schema)
+    else:
+        span = q.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension(list(span), dim))
+        if centres is None:
+            centres = train_centres(c, "vec", n_cells)
+        indexed = assign_cells(c, "key", "vec", centres)
+        index = build_cell_index(indexed, centres, block_rows)
+        left, right = _dealt(q, indexed, index, min_similarity, None, math.ceil(q.count() / query_block_rows))
+
+        def block(lq: pa.Table, rc: pa.Table) -> pa.Table:
+            if not lq.num_rows or not rc.num_rows:
+                return arrow.empty_table()
+            own, other = (_ids(lq.column("grp")), _ids(rc.column("grp"))) if has_group else (None, None)
+            n = counts(_matrix(lq.column("vec")), own, _matrix(rc.column("vec")), other)
+            met = np.flatnonzero(n)
+            return pa.Table.from_pydict({"query_key": list(_ids(lq.column("key"))[met]), "n": n[met]}, schema=arrow)
+
+        found = left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(block, schema)
+    return found.groupBy(F.col("query_key").alias(query_id)).agg(F.sum("n").alias("above"))
+
+
 def similarity_join_ivf(
     queries: DataFrame,
     indexed: DataFrame,

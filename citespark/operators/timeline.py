@@ -9,6 +9,8 @@ one summary row per bucket, which is what a per-key window then runs over.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,26 @@ def number_bucket(order: str, size: int = ORDER_BUCKET) -> Column:
     return F.floor(F.col(order) / size)
 
 
+def ranked_buckets(df: DataFrame, order: str, out: str = "_bucket", size: int = ORDER_BUCKET, most: int = 4096) -> DataFrame:
+    """``df`` with buckets of about ``size`` rows by ascending ``order``, however its values are spread.
+
+    Borders are quantiles of the column: at most ``most`` numbers, whatever the
+    table holds. Rows without a value are in the first bucket, as they are first in order.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    value = F.col(order).cast("double")
+    n = min(most, -(-df.filter(value.isNotNull()).count() // size))
+    if n < 2:
+        return df.withColumn(out, F.lit(0))
+    wide = df.withColumn("_value", value)
+    borders = sorted(set(wide.approxQuantile("_value", [k / n for k in range(1, n)], 1 / (4 * n))))
+    cut = Bucketizer(splits=[-math.inf, *borders, math.inf], inputCol="_value", outputCol="_place", handleInvalid="keep")
+    placed = cut.transform(wide)
+    bucket = F.when(F.col("_value").isNull(), -1).otherwise(F.col("_place").cast("int"))
+    return placed.withColumn(out, bucket).drop("_value", "_place")
+
+
 def time_bucket(ts: str, width_micros: int = BUCKET_MICROS) -> Column:
     return F.floor(micros(ts) / width_micros)
 
@@ -101,10 +123,13 @@ def next_row(
 
 
 def running_number(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, out: str
 ) -> DataFrame:
-    """``row_number`` per key, counted per bucket plus the counts of earlier buckets."""
-    df = df.withColumn("_bucket", bucket)
+    """``row_number`` per key, counted per bucket plus the counts of earlier buckets.
+
+    Without a ``bucket`` rows are dealt by their rank in the first column of the order.
+    """
+    df = ranked_buckets(df, order[0]) if bucket is None else df.withColumn("_bucket", bucket)
     before = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")

@@ -1,11 +1,13 @@
 """Request streams: debounce, rate limit, suggestions.
 
-Event times come from the messages. Rows later than the watermark are dropped;
-that rule is ours, the batch forms know no late data.
+Event times come from the messages. The rate limit answers every message, late ones
+too; where bursts are formed, rows later than the watermark are dropped. That rule is
+ours, the batch forms know no late data.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,44 +92,66 @@ def debounce_stream(changes: DataFrame, wait_ms: int = WAIT_MS, delay: str = "10
     )
 
 
+def judge(accepted: list[int], now: int, width: int, limit: int) -> bool:
+    """Whether one more message at ``now`` leaves at most ``limit`` accepted ones in every window; if so it joins them.
+
+    ``accepted`` ascends. For a message that is newer than all of them this is the
+    plain rule; an older one must not push a later window over the limit either.
+    """
+    place = bisect_right(accepted, now)
+    later = [t for t in accepted[place:] if t - now < width]
+    for end in (now, *later):
+        held = bisect_right(accepted, end) - bisect_right(accepted, end - width)
+        if held >= limit:
+            return False
+    accepted.insert(place, now)
+    return True
+
+
 def rate_limit_stream(
     messages: DataFrame,
     limit: int = RATE_LIMIT,
     window_seconds: float = RATE_WINDOW_SECONDS,
     delay: str = "10 seconds",
+    idle_ms: int | None = None,
 ) -> DataFrame:
-    """Messages with an ``accepted`` flag; state is at most ``limit`` times per user."""
+    """Every message with an ``accepted`` flag and whether it came ``late`` (behind a newer one of its user).
+
+    No message is dropped. Late ones are judged by the windows that they fall
+    into; one that is older than a window and ``delay`` behind the newest cannot be
+    judged any more and is refused. State per user: the accepted times of that
+    span, at most ``limit`` for each window of it. With ``idle_ms`` it goes after so
+    much processing time without a message; such a stream looks for idle users all
+    the time, so it is for continuous triggers and does not end by itself.
+    """
     width = int(window_seconds * 1_000_000)
+    span = width + int(pd.Timedelta(delay).value // 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
+        accepted, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        flags = []
+        flags, late = [], []
         for ts in rows["ts"]:
             now = _micros(ts)
-            accepted = [t for t in accepted if now - t < width]
-            flags.append(len(accepted) < limit)
-            if flags[-1]:
-                accepted.append(now)
-        state.update((accepted,))
-        due = ((accepted[-1] if accepted else _micros(rows["ts"].iloc[-1])) + width) // 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(accepted=flags)
+            late.append(newest is not None and now < newest)
+            newest = now if newest is None else max(newest, now)
+            flags.append(now > newest - span and judge(accepted, now, width, limit))
+            accepted = accepted[bisect_right(accepted, newest - span - width) :]
+        state.update((accepted, newest))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield rows.assign(accepted=flags, late=late)
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in messages.schema]
-    return (
-        messages.withWatermark("ts", delay)
-        .groupBy("user_id")
-        .applyInPandasWithState(
-            step,
-            ", ".join([*fields, "accepted boolean"]),
-            "accepted array<bigint>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    return messages.groupBy("user_id").applyInPandasWithState(
+        step,
+        ", ".join([*fields, "accepted boolean", "late boolean"]),
+        "accepted array<bigint>, newest bigint",
+        "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

@@ -278,8 +278,9 @@ def cosine_of_pairs(t):
   count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS rejected FROM embeddings""",
 )
 def vector_dimension_check(t):
-    fit = F.coalesce(F.size("embedding") == 64, F.lit(False))
-    return t.embeddings.agg(F.count_if(fit).alias("accepted"), F.count_if(~fit).alias("rejected"))
+    fit, rejects = vectors.split_by_dimension(t.embeddings.select("embedding"), "embedding", 64)
+    both = fit.select(F.lit(True).alias("fits")).unionByName(rejects.select(F.col("reason").isNull().alias("fits")))
+    return both.agg(F.count_if("fits").alias("accepted"), F.count_if(~F.col("fits")).alias("rejected"))
 
 
 @query(
@@ -302,18 +303,25 @@ def year_range_filter(t):
     return sg.searchable_papers(t.papers, 2000, 2010).select("paper_id", "year")
 
 
-@query(
-    "similarity_threshold",
-    f"""{_ALL_PAIRS} SELECT query_id, count(*) AS above FROM pairs
-WHERE similarity > {MIN_SIM} AND query_id <> chunk_id GROUP BY query_id""",
-)
-def similarity_threshold(t):
-    """Rows above the threshold per request; no row limit applies."""
-    n = t.embeddings.count()
+_ABOVE = f"""{_ALL_PAIRS} SELECT query_id, count(*) AS above FROM pairs
+WHERE similarity > {MIN_SIM} AND query_id <> chunk_id GROUP BY query_id"""
+
+
+def _above(t, **physical):
     left = t.embeddings.selectExpr("vec_id AS query_id", "vec_id AS own", "embedding")
     right = t.embeddings.selectExpr("vec_id AS chunk_id", "vec_id AS own", "embedding")
-    found = similarity.similarity_join(left, right, k=n, min_similarity=MIN_SIM, exclude="own")
-    return similarity.within_threshold(found, MIN_SIM).groupBy("query_id").agg(F.count("*").alias("above"))
+    return similarity.count_above(left, right, min_similarity=MIN_SIM, exclude="own", **physical)
+
+
+@query("similarity_threshold", _ABOVE)
+def similarity_threshold(t):
+    """Rows above the threshold per request, counted where the products are formed; no row limit applies."""
+    return _above(t)
+
+
+@query("similarity_threshold_blocks", _ABOVE)
+def similarity_threshold_blocks(t):
+    return _above(t, broadcast_queries=0, n_cells=8, block_rows=500, query_block_rows=700)
 
 
 # every document is scored for the request formed by the next document

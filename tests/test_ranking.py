@@ -1,11 +1,13 @@
 """Scores, ranking rules, and similarity joins against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citespark.functions import scoring, vectors
-from citespark.operators import ranking
+from citespark.operators import ranking, timeline
 from citespark.operators import similarity as sim
 
 
@@ -109,6 +111,29 @@ def test_similarity_join_string_keys_and_self(spark):
         assert sorted((r.paper_id, r.neighbour_id, r["rank"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("physical", [{}, {"broadcast_queries": 3, "n_cells": 5, "block_rows": 30, "query_block_rows": 10}])
+@pytest.mark.parametrize("threshold", [0.3, -1.0])
+def test_count_above_is_exact(skewed, physical, threshold):
+    queries, chunks, qdf, cdf = skewed
+    want = Counter(q for q, _, _ in brute(queries, chunks, len(chunks), threshold))
+    got = {r.query_id: r.above for r in sim.count_above(qdf, cdf, min_similarity=threshold, **physical).collect()}
+    assert got == dict(want)
+    assert sim.count_above(qdf.limit(0), cdf, min_similarity=threshold).collect() == []
+
+
+def test_running_number_of_sparse_order(spark):
+    """Borders follow the rows, so values far apart do not make a bucket each, and a hot key is cut."""
+    rows = [("hot", i * i * 1000) for i in range(700)] + [("hot", None), ("cold", 5), ("cold", -3)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    buckets = timeline.ranked_buckets(df, "v", size=100).groupBy("_bucket").count().collect()
+    assert 7 <= len(buckets) <= 9 and max(r["count"] for r in buckets) < 200
+    plain = {(r.k, r.v): i for k in ("hot", "cold") for i, r in enumerate(sorted((r for r in df.collect() if r.k == k), key=lambda r: (r.v is not None, r.v or 0)), 1)}
+    for size in (50, 100_000):
+        place = timeline.ranked_buckets(df, "v", "place", size)
+        got = timeline.running_number(place, ["k"], ["v"], F.col("place"), "n")
+        assert {(r.k, r.v): r.n for r in got.collect()} == plain
+
+
 def test_no_queries(skewed):
     _, _, qdf, cdf = skewed
     assert sim.similarity_join(qdf.limit(0), cdf, k=3, min_similarity=0.1).collect() == []

@@ -1,6 +1,7 @@
 """Streams give the rows of their batch forms."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,6 +91,30 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert sorted((r.event_id, r.accepted) for r in got) == want
 
 
+def test_late_messages_get_a_verdict(spark, tmp_path):
+    """Any order of arrival: each message is answered once, and no window holds more than the limit."""
+    rows = [(i, "u", at(i * 400), "suggest", LONG) for i in range(200)] + [(500, "u", at(-10_000_000), "suggest", LONG)]
+    parts = [rows[100:150], rows[:60], rows[150:200], rows[60:100], rows[200:]]
+    got = run_stream(spark, tmp_path, parts, MESSAGE, lambda s: sr.rate_limit_stream(s, limit=20, window_seconds=20.0, delay="60 seconds"), "late")
+    assert sorted(r.event_id for r in got) == sorted(r[0] for r in rows)
+    times = sorted(r.ts for r in got if r.accepted)
+    assert all((times[i + 20] - times[i]).total_seconds() >= 20.0 for i in range(len(times) - 20))
+    assert {r.event_id for r in got if r.late} >= set(range(60)) | {500} and not next(r for r in got if r.event_id == 500).accepted
+    assert any(r.accepted for r in got if r.late)
+
+
+def test_judge_is_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        accepted, limit, width = [], rng.randrange(1, 5), rng.randrange(1, 30)
+        for _ in range(40):
+            now = rng.randrange(100)
+            both = sorted([*accepted, now])
+            fits = all(sum(end - width < t <= end for t in both) <= limit for end in both)
+            assert sr.judge(accepted, now, width, limit) == fits
+            assert accepted == (both if fits else accepted)
+
+
 def test_log_stream_equals_batch(spark, tmp_path):
     rows = [(at(i * 60_000 * 7), "ERROR" if i % 3 else "INFO", f"c{i % 2}") for i in range(60)]
     flush = [(at(10**9), "INFO", "z")]
