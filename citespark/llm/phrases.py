@@ -51,9 +51,10 @@ SALTS = 64
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + STOPS + BLANKS, bytes(range(97, 123)) + b"\n" * len(STOPS) + b" ")
 _CUT = re.compile(rb"[ \n]")
-#: Hashes of the words, 0 after the last. Rows of one word name it; the row without a hash counts all words of its group.
-COUNTS = "h1 long, h2 long, h3 long, grp string, word binary, n long"
-KEYS = ["h1", "h2", "h3", "grp", "word"]
+#: Hashes of the words, 0 after the last. Rows of one word name group and word, with a line end between them;
+#: the row without a hash counts all words of its group.
+COUNTS = "h1 long, h2 long, h3 long, name binary, n long"
+KEYS = ["h1", "h2", "h3", "name"]
 _ARROW = arrow_schema(COUNTS)
 
 
@@ -152,8 +153,9 @@ class Chunk:
             once = np.bincount(ids[fresh], minlength=n)
             once[0] = 0
             found = np.flatnonzero(once)
-            yield from self.rows(hashes, [found], once[found], group, pa.array(words, pa.binary()).take(pa.array(found)))
-            yield pa.RecordBatch.from_pylist([{"h1": 0, "h2": 0, "h3": 0, "grp": group, "word": b"", "n": int(once.sum())}], schema=_ARROW)
+            prefix = group.encode() + b"\n"
+            yield from self.rows(hashes, [found], once[found], [prefix + words[i] for i in found.tolist()])
+            yield pa.RecordBatch.from_pylist([{"h1": 0, "h2": 0, "h3": 0, "name": prefix, "n": int(once.sum())}], schema=_ARROW)
         if self.passes is None:
             yield from self.rows(hashes, *self.distinct([left, right], n))
             return
@@ -201,16 +203,13 @@ class Chunk:
         return [codes, *reversed(out)], counts
 
     @staticmethod
-    def rows(
-        hashes: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, group: str | None = None, names: pa.Array | None = None,
-    ) -> Iterator[pa.RecordBatch]:
+    def rows(hashes: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, names: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
         step = 1 << 16
         for low in range(0, len(counts), step):
             k = len(counts[low : low + step])
             arrays = [pa.array(hashes[c[low : low + step]].view(np.int64)) for c in columns]
             arrays += [pa.array(np.zeros(k, np.int64))] * (MOST_WORDS - len(columns))
-            arrays += [pa.nulls(k, pa.string()) if group is None else pa.repeat(pa.scalar(group, pa.string()), k)]
-            arrays += [pa.nulls(k, pa.binary()) if names is None else names[low : low + step]]
+            arrays += [pa.nulls(k, pa.binary()) if names is None else pa.array(names[low : low + step], pa.binary())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts[low : low + step], pa.int64())], schema=_ARROW)
 
 
@@ -281,17 +280,20 @@ def doubles(counts: DataFrame) -> DataFrame:
 
 def named(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """(grp, phrase, size, n) from counts by hashes; all words of a frequent phrase are frequent."""
-    words = checkpoint(counts.filter("h1 != 0 AND h2 = 0").select("h1", "grp", F.col("word").cast("string").alias("word"), "n"))
+    # a word holds no line end, so the last one in a name stands between group and word
+    name = F.col("name").cast("string")
+    parts = {"grp": F.regexp_replace(name, r"\n[^\n]*\z", ""), "word": F.substring_index(name, "\n", -1)}
+    words = checkpoint(counts.filter("h1 != 0 AND h2 = 0").withColumns(parts).select("h1", "grp", "word", "n"))
     word = lambda k: words.select(F.col("h1").alias(f"h{k}"), F.col("word").alias(f"w{k}"))
     longer = checkpoint(counts.filter("h2 != 0").select("h1", "h2", "h3", "n"))
     longer = longer.join(words.select("h1", "grp", F.col("word").alias("w1")), "h1").join(word(2), "h2").join(word(3), "h3", "left")
     size = F.when(F.col("h3") == 0, 2).otherwise(3)
-    parts = [
-        totals.select("grp", F.lit("").alias("phrase"), F.lit(0).alias("size"), "n"),
+    tables = [
+        totals.select(parts["grp"].alias("grp"), F.lit("").alias("phrase"), F.lit(0).alias("size"), "n"),
         words.select("grp", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n"),
         longer.select("grp", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), size.alias("size"), "n"),
     ]
-    return checkpoint(reduce(DataFrame.unionByName, parts))
+    return checkpoint(reduce(DataFrame.unionByName, tables))
 
 
 def frequent_phrases(

@@ -39,7 +39,7 @@ REVISIT_BYTES = 100
 #: Bytes of payloads in one archive, on average.
 ARCHIVE_BYTES = 64 << 20
 #: Captures in a sorted run, and captures that one task merges.
-RUN_ROWS, MERGE_ROWS = 50_000, 500_000
+RUN_ROWS, MERGE_ROWS = 50_000, 200_000
 #: A table of repeated payloads of at most so many rows, which are counted, is sent to the tasks.
 BROADCAST_ROWS = 100_000
 ORDER = ["url_key", "captured", "page_id", "archive", "offset"]
