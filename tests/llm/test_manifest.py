@@ -257,6 +257,11 @@ def got_phrases(docs, **options):
     return sorted(tuple(r) for r in phrases.collocations(docs, **options).collect())
 
 
+def test_group_names_with_line_ends(spark):
+    rows = [("a\nb", "one two three"), ("a", "one two"), ("\n", "one two")] * 12
+    assert got_phrases(frame(spark, rows)) == plain_phrases(rows)
+
+
 @pytest.mark.parametrize("sample", [0.1, 1.0])
 def test_phrases_are_brute_force(spark, sample):
     rows = random_texts(1, 250)
@@ -290,11 +295,11 @@ def test_chunks_cut_texts(monkeypatch):
         chunk, total = phrases.Chunk([(everything, everything)], 1), Counter()
         for batch in [*chunk.add("g", text), *chunk.add("h", b"a b a b a"), *chunk.counts()]:
             for row in batch.to_pylist():
-                total[row["h1"], row["h2"], row["h3"], row["grp"], row["word"]] += row["n"]
+                total[row["h1"], row["h2"], row["h3"], row["name"]] += row["n"]
         return total
 
     want = counts()
-    assert want[0, 0, 0, "h", b""] == 5 and len(want) > 500
+    assert want[0, 0, 0, b"h\n"] == 5 and len(want) > 500
     for size in (1, 7, 60, 1000):
         monkeypatch.setattr(phrases, "CHUNK", size)
         assert +counts() == +want
@@ -315,7 +320,7 @@ def test_equal_hashes_start_again(spark, monkeypatch):
     monkeypatch.setattr(phrases, "xxhash", Weak)
     chunk = phrases.Chunk(None, 42)
     list(chunk.add("en", b"one two"))
-    first = [row["h1"] for batch in chunk.counts() for row in batch.to_pylist() if row["word"]]
+    first = [row["h1"] for batch in chunk.counts() for row in batch.to_pylist() if row["name"] and row["h1"]]
     assert first == [5, 5]
     assert got_phrases(frame(spark, rows)) == plain_phrases(rows)
 
