@@ -185,26 +185,29 @@ def chunk_text(t):
 
 @query(
     "section_headings",
-    """SELECT doc_id, length(line) < 100 AND regexp_matches(lower(line),
-  'introduction|abstract|method|result|discussion|conclusion|reference|background|related work') AS heading
-FROM (SELECT doc_id, split_part(text, chr(10), 2) AS line FROM documents)""",
+    """SELECT doc_id, len(lines) AS lines, len(list_filter(lines, lambda line: length(line) < 100 AND regexp_matches(lower(line),
+  'introduction|abstract|method|result|discussion|conclusion|reference|background|related work'))) AS headings
+FROM (SELECT doc_id, string_split(concat(text, chr(10), 'Related Work in ', lang), chr(10)) AS lines FROM documents)""",
 )
 def section_headings(t):
+    """Headings among all lines of a text, and one more that is added to each."""
     from citespark.functions.chunking import is_section_heading
 
-    return t.documents.select("doc_id", is_section_heading(F.expr("split_part(text, chr(10), 2)")).alias("heading"))
+    lines = F.split(F.expr("concat(text, chr(10), 'Related Work in ', lang)"), "\n")
+    found = F.filter(lines, is_section_heading)
+    return t.documents.select("doc_id", F.size(lines).alias("lines"), F.size(found).alias("headings"))
 
 
 @query(
     "carry_section",
     """SELECT paper_id, chunk_index, last_value(section_title IGNORE NULLS) OVER (
   PARTITION BY paper_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title
-FROM (SELECT conv_id AS paper_id, turn AS chunk_index, CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS section_title
+FROM (SELECT conv_id AS paper_id, turn AS chunk_index, CASE WHEN role = 'user' THEN text END AS section_title
       FROM conversations)""",
 )
 def carry_section(t):
     rows = t.conversations.selectExpr(
-        "conv_id AS paper_id", "turn AS chunk_index", "CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS section_title"
+        "conv_id AS paper_id", "turn AS chunk_index", "CASE WHEN role = 'user' THEN text END AS section_title"
     )
     return co.carry_section(rows).select("paper_id", "chunk_index", "section_title")
 
@@ -468,13 +471,13 @@ def escape_latex(t):
 
 @query(
     "split_names",
-    f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(
-  concat(' ', source, '; ', lang, ',, ', substr(text, 1, 30), ' ;'), '[,;]'), lambda s: {q.strip('s')}), lambda s: s <> ''), '|') AS names
+    f"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(
+  concat(' ', source, '; ', lang, ',, ', text, ' ;'), '[,;]'), lambda s: {q.strip('s')}), lambda s: s <> ''), '|')) AS names
 FROM documents""",
 )
 def split_names(t):
-    value = F.expr("concat(' ', source, '; ', lang, ',, ', substr(text, 1, 30), ' ;')")
-    return t.documents.select("doc_id", F.array_join(tx.split_names(value), "|").alias("names"))
+    value = F.expr("concat(' ', source, '; ', lang, ',, ', text, ' ;')")
+    return t.documents.select("doc_id", F.md5(F.array_join(tx.split_names(value), "|")).alias("names"))
 
 
 @query("text_keys", "SELECT doc_id, md5(text) AS md5_key, sha256(text) AS sha_key FROM documents")
