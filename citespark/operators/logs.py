@@ -114,6 +114,6 @@ def export_logs(logs: DataFrame, path: str, **filters) -> None:
     filter_logs(logs, **filters).write.mode("overwrite").json(path)
 
 
-def log_json(logs: DataFrame) -> DataFrame:
-    """One JSON text per log row."""
-    return logs.select("log_id", F.to_json(F.struct("level", "category", "message")).alias("line"))
+def log_json(logs: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One JSON text per log row, of the level, category and message or of the ``fields`` named; NULL fields are left out."""
+    return logs.select("log_id", F.to_json(F.struct(*(fields or ["level", "category", "message"]))).alias("line"))

@@ -484,6 +484,31 @@ def export_logs(t):
     return lg.log_json(lg.filter_logs(t.logs, level="WARNING"))
 
 
+_QUOTED = "concat('\"', replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), '\"')"
+
+
+def _json_sql(**fields: str) -> str:
+    """A JSON object in SQL; NULL fields are left out."""
+    parts = ", ".join(f"""'"{name}":' || {value}""" for name, value in fields.items())
+    return f"concat('{{', concat_ws(',', {parts}), '}}')"
+
+
+@query(
+    "export_logs_full",
+    f"""SELECT log_id, {_json_sql(
+        log_id="CAST(log_id AS VARCHAR)", level=_QUOTED.format("level"), category=_QUOTED.format("category"), message=_QUOTED.format("message"),
+        details=_QUOTED.format("details"), entity_type=_QUOTED.format("entity_type"), entity_id=_QUOTED.format("entity_id"),
+        user_id="CAST(user_id AS VARCHAR)", created_at=_QUOTED.format("strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g')"),
+    )} AS line FROM logs""",
+    "logs",
+)
+def export_logs_full(t):
+    """Every log row with all its fields, as the export writes it."""
+    stamped = t.logs.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    fields = ["log_id", "level", "category", "message", "details", "entity_type", "entity_id", "user_id", "created_at"]
+    return lg.log_json(lg.filter_logs(stamped), fields)
+
+
 @query(
     "log_outcomes",
     f"""SELECT CAST(paper_id AS VARCHAR) AS entity_id, CASE WHEN {_ERR} THEN 'ERROR' ELSE 'INFO' END AS level,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citespark.operators import maintenance as mt
@@ -683,6 +684,20 @@ def changed_requests(t):
     return tl.changed(kept, "user_id", ["ts", "event_id"], "event_type", tl.time_bucket("ts")).select("event_id")
 
 
+@query(
+    "changed_texts",
+    """SELECT conv_id, turn FROM (SELECT conv_id, turn, text, lag(text) OVER w AS prev, row_number() OVER w AS n FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE n = 1 OR prev IS DISTINCT FROM text""".replace("said", "(SELECT conv_id, turn, CASE WHEN turn % 4 IN (1, 2) THEN NULL ELSE text END AS text FROM conversations) AS said"),
+)
+def changed_texts(t):
+    """Turns whose whole text differs from the one before; two turns of every four have none and equal each other."""
+    said = t.conversations.select("conv_id", "turn", F.when(~(F.col("turn") % 4).isin(1, 2), F.col("text")).alias("text"))
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    found = tl.changed(said, "conv_id", ["turn"], "text", tl.number_bucket("turn", 3)).select("conv_id", "turn")
+    opening = said.withColumn("n", first).filter("n = 1").select("conv_id", "turn")
+    return found.unionByName(opening).distinct()
+
+
 @query(
     "neighbour_turns",
     """SELECT conv_id, turn, lag(text) OVER w AS prev_text, lead(text) OVER w AS next_text FROM conversations
