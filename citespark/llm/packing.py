@@ -2,7 +2,7 @@
 
 Documents become token pieces of at most ``capacity``. Partitions of bounded size
 pack their pieces by best-fit decreasing. Dual-feasible functions give a lower
-bound on the number of sequences, for each partition and for the whole table.
+bound on the number of sequences of the whole table; partitions have none of their own.
 While the whole table is above its bound, the sequences with a gap are opened
 again: their pieces are dealt to new partitions, so partitions exchange
 documents, and packed once more. A round whose count does not fall is discarded.
