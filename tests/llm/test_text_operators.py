@@ -230,3 +230,47 @@ def test_vector_sql_agrees(spark, sf_dir):
     expected = con.sql(ORACLE["op5_vector_dups"]).fetchall()
     got = [tuple(r) for r in QUERIES["op5_vector_dups"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(expected)
+
+
+STORY = "".join(f"<p>{'word ' * 40}</p>" for _ in range(6))
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        '<div class="content nav-open">%s</div>', '<div class="login-required">%s</div>', '<div class="post share-enabled">%s</div>',
+        '<main><div class="article-body widget">%s</div></main>', '<div class="related-work">%s</div>', '<div class="header-text">%s</div>',
+        '<div class="comments-open">%s</div>', '<article><section class="social-history">%s</section></article>',
+        '<article><div role="main" class="notice-board">%s</div></article>', "<article><fieldset>%s</fieldset></article>",
+        '<div class="wrapper light-header">%s</div>', '<div class="modal-open">%s</div>', "<article><math><mi>word</mi></math>%s</article>",
+    ],
+)
+def test_names_do_not_take_an_article(shape):
+    aside = '<div class="ad">Buy this</div><div class="comment-list">%s</div><div class="cookie-notice">%s</div>' % ("talk " * 400, "crumbs " * 60)
+    text = html_text.Page(f"<body><nav><a href=x>Menu</a></nav>{aside}{shape % STORY}{aside}<footer>Foot</footer></body>").text({"p": 0.02})
+    assert text.count("word") == 240 + ("<math>" in shape)
+    for other in ("Buy", "talk", "crumbs", "Menu", "Foot"):
+        assert other not in text
+
+
+def test_names_learn_their_costs():
+    hint = '<article><p>word</p><div class="related-work"><p>four words in here</p></div></article>'
+    page = html_text.Page(hint)
+    assert page.inside_tags[".related"] == 1
+    assert page.text({"p": 0.02}) == "word"
+    assert page.text({"p": 0.02, "div": 0.02, ".related": 0.02}) == "word\nfour words in here"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<nav>" * 100_000, "<nav><p>x</p>" * 20_000, '<div class="related-work">' * 20_000, '<a "' * 25_000, "<title " * 20_000,
+        "<title>" + "</title " * 20_000 + ">", "<!--" * 25_000, "<a 'x>" * 20_001, '<div class="related-work">' * 10_000 + "<p>w</p>" + "</div>" * 10_000,
+    ],
+)
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    begun = time.process_time()
+    html_text.Page(html).text({})
+    assert time.process_time() - begun < 5
