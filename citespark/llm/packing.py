@@ -2,10 +2,14 @@
 
 Documents become token pieces of at most ``capacity``. Partitions of bounded size
 pack their pieces by best-fit decreasing. Dual-feasible functions give a lower
-bound on the number of sequences of the whole table; partitions have none of their own.
-While the whole table is above its bound, the sequences with a gap are opened
-again: their pieces are dealt to new partitions, so partitions exchange
-documents, and packed once more. A round whose count does not fall is discarded.
+bound on the number of sequences of each partition, computed in the task that
+packs it, and of the whole table. A partition that needs no more than its bound is
+certified: no packing of its pieces alone is better, and it offers only its
+emptiest sequence to others. Partitions above their bound offer every sequence with
+a gap. While the whole table is above its bound, what is offered is dealt to new
+partitions, so partitions exchange documents, and packed once more. A round whose
+count does not fall is discarded; after it every sequence with a gap is offered,
+certified or not, as long as that gains.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from citespark.llm.tokens import once_per_worker, text_encoder
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 2000
-ROUNDS = 6
+ROUNDS = 8
 LONG_PIECE = 256
 #: Sequences with at least this share of room left are opened for the exchange.
 OPEN_SHARE = 0.005
@@ -108,10 +112,14 @@ def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
         grid = (k + 1) * w
         parts = np.where(grid % c == 0, w * k, (grid // c) * c)  # u_k(w) * k * c
         best = max(best, -(-int((parts * n).sum()) // (k * c)))
-    for t in np.unique(np.minimum(w, c - w))[:: max(1, len(w) // 64)]:
-        parts = np.where(w > c - t, c, np.where(w < t, 0, w))
-        best = max(best, -(-int((parts * n).sum()) // c))
-    return best
+    # f_t for every threshold at once, from running sums over the sizes
+    order = np.argsort(w, kind="stable")
+    w, n = w[order], n[order]
+    pieces, tokens = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(w * n)])
+    t = np.unique(np.minimum(w, c - w))
+    low, high = np.searchsorted(w, t, "left"), np.searchsorted(w, c - t, "right")
+    sums = (pieces[-1] - pieces[high]) * c + np.maximum(tokens[high] - tokens[low], 0)
+    return max(best, -(-int(sums.max()) // c))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +147,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _packed(pieces: DataFrame, groups: int, first: int, capacity: int, seed: int) -> DataFrame:
-    """Pieces with sequence_id, offset and the room of their sequence; one task packs a group of bounded size."""
-    columns = PIECES + ", sequence_id long, offset long, gap long"
+    """Pieces with sequence_id, offset, the room of their sequence and whether their group offers it to others.
+
+    One task packs a group of bounded size and certifies it by its own lower bound.
+    """
+    columns = PIECES + ", sequence_id long, offset long, gap long, certified boolean, offered boolean"
+    least = max(1, int(capacity * OPEN_SHARE))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["grp"].iloc[0])
@@ -149,6 +161,12 @@ def _packed(pieces: DataFrame, groups: int, first: int, capacity: int, seed: int
         filled = np.bincount(where, weights=pdf["length"].to_numpy()).astype(np.int64)
         pdf["sequence_id"] = where + (np.int64(first + number) << 32)
         pdf["offset"], pdf["gap"] = offset, capacity - filled[where]
+        certified = len(filled) <= lower_bound(*np.unique(pdf["length"].to_numpy(), return_counts=True), capacity)
+        gaps = capacity - filled
+        offered = gaps >= least
+        if certified:
+            offered &= np.arange(len(gaps)) == gaps.argmax()
+        pdf["certified"], pdf["offered"] = certified, offered[where]
         return pdf.drop(columns="grp")
 
     dealt = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed))
@@ -182,24 +200,27 @@ def best_fit_packing(
     result = checkpoint(_packed(pieces, groups, 0, capacity, 0))
     first = groups
     sequences = result.filter("offset = 0").count()
+    opened, wide = F.col("offered"), False
     for seed in range(1, rounds):
         if sequences <= bound:
             break
-        opened = F.col("gap") >= max(1, int(capacity * OPEN_SHARE))
-        pool = result.filter(opened).drop("sequence_id", "offset", "gap")
         before, rows = result.filter(opened).agg(F.count(F.when(F.col("offset") == 0, 1)), F.count("*")).first()
-        if before < 2:
-            break
-        # rows of a pool are few: smaller groups would leave a gap each
-        groups = used(rows)
-        again = checkpoint(_packed(pool, groups, first, capacity, seed))
-        first += groups
-        after = again.filter("offset = 0").count()
-        if after >= before:
+        if before >= 2:
+            # rows of a pool are few: smaller groups would leave a gap each
+            groups = used(rows)
+            pool = result.filter(opened).drop("sequence_id", "offset", "gap", "certified", "offered")
+            again = checkpoint(_packed(pool, groups, first, capacity, seed))
+            first += groups
+            after = again.filter("offset = 0").count()
+            if after < before:
+                sequences -= before - after
+                result = result.filter(~opened).unionByName(again)
+                continue
+        if wide:
             break
-        sequences -= before - after
-        result = result.filter(~opened).unionByName(again)
-    return result.drop("gap")
+        # what certificates leave closed may still gain across partitions
+        wide, opened = True, F.col("gap") >= max(1, int(capacity * OPEN_SHARE))
+    return result.drop("gap", "certified", "offered")
 
 
 def pack_documents(docs: DataFrame, tokenizer, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:

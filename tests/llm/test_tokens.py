@@ -164,3 +164,35 @@ def test_bounds_never_exceed_the_optimum():
             assert sum(s for _, s in own) <= capacity
             assert [o for o, _ in sorted(own)] == [sum(s for _, s in sorted(own)[:k]) for k in range(len(own))]
     assert reached > 120
+
+
+def test_partitions_are_certified_by_their_own_bound(spark):
+    """A certified partition offers one sequence at most, another all that have a gap; flags follow the bound."""
+    rng = random.Random(4)
+    sizes = [rng.choice([51, 50, 49, 34, 33, 20]) for _ in range(900)] + [rng.randint(1, 100) for _ in range(900)]
+    pieces = spark.createDataFrame([(i, 0, 0, s, i) for i, s in enumerate(sizes)], packing.PIECES)
+    rows = packing._packed(pieces, 6, 0, 100, 0).toPandas()
+    rows["grp"] = rows["sequence_id"] // 2**32
+    for _, group in rows.groupby("grp"):
+        lengths, counts = np.unique(group["length"].to_numpy(), return_counts=True)
+        used = group["sequence_id"].nunique()
+        certified = used <= packing.lower_bound(lengths, counts, 100)
+        assert (group["certified"] == certified).all()
+        offered = group[group["offered"]]
+        assert (offered["gap"] > 0).all()
+        gaps = group[group["gap"] > 0]["sequence_id"].nunique()
+        assert offered["sequence_id"].nunique() == (min(1, gaps) if certified else gaps)
+    whole = packing.best_fit_packing(pieces, 100, 300).toPandas()
+    assert check_packing(whole, 100) <= rows["sequence_id"].nunique() and len(whole) == len(sizes)
+
+
+def test_every_threshold_counts():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        capacity = int(rng.integers(5, 200))
+        lengths, counts = np.unique(rng.integers(1, capacity + 1, rng.integers(1, 60)), return_counts=True)
+        best = 0
+        for t in range(capacity // 2 + 1):
+            parts = np.where(lengths > capacity - t, capacity, np.where(lengths < t, 0, lengths))
+            best = max(best, -(-int((parts * counts).sum()) // capacity))
+        assert packing.lower_bound(lengths, counts, capacity) >= best
