@@ -7,8 +7,10 @@ are nearest to it (multiprobe); what it finds is ranked by exact inner products.
 
 The inner product is searched as an angle: stored vectors fall into bands of
 length (each at most twice as long as the shortest of its band), a band is hashed
-by direction and every query visits every band. Bands of few vectors are compared
-as a whole. Queries that found too few vectors search on in more cells, at last in
+by direction and every query visits every band. With several hash functions a table
+the probes are the combinations of axes with the largest summed coordinates. Bands
+are compared as a whole only up to ``whole_rows`` vectors, an argument that is 0
+by default. Queries that found too few vectors search on in more cells, at last in
 all. Cells hold blocks of bounded size; a task multiplies one block of
 vectors with one block of queries and returns the best of each query, so hot
 cells are split over tasks and no pair is ever a row of its own.
@@ -28,12 +30,17 @@ from citespark.llm.common import checkpoint, compact, map_rows, usable_vector
 
 TABLES = 8
 #: Cells a query visits in each table and for each hash function.
-PROBES = 18
+PROBES = 24
 #: Rows a cell should hold on average; more rows get more hash functions for each table.
 CELL_ROWS = 4096
 BLOCK_ROWS = 2048
+#: Groups in which equal vectors of many partitions meet before they meet in one.
+SALTS = 256
 #: Vectors hashed in one task.
 PART_ROWS = 4096
+#: Sums of coordinates ranked at once, and visits of one batch of queries.
+PROBE_VALUES = 4_000_000
+VISIT_ROWS = 200_000
 SEED = 17
 #: The table of vectors that are compared as a whole.
 WHOLE = -1
@@ -73,16 +80,22 @@ def cells_of(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def probes_of(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
-    """(rows, tables, probes ** hashes): for each hash function the nearest signed axes, combined over the functions."""
+    """(rows, tables, at most probes ** hashes): cells of the largest sum of signed coordinates over the hash functions."""
     width = 2 * x.shape[1]
+    most, rows = probes ** signs.shape[1], max(1, PROBE_VALUES // (width * probes ** signs.shape[1]))
+    if len(x) > rows:
+        return np.concatenate([probes_of(x[low : low + rows], signs, probes) for low in range(0, len(x), rows)])
     found = []
     for functions in signs:
-        cells = np.zeros((len(x), 1), np.int64)
+        cells, sums = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
         for s in functions:
             y = rotate(x, s)
             signed = np.stack([y, -y], axis=2).reshape(len(x), width)
-            best = np.argsort(-signed, axis=1, kind="stable")[:, : min(probes, width)]
+            best = np.argsort(-signed, axis=1, kind="stable")[:, : min(most, width)]
             cells = (cells[:, :, None] * width + best[:, None, :]).reshape(len(x), -1)
+            sums = (sums[:, :, None] + np.take_along_axis(signed, best, 1)[:, None, :]).reshape(len(x), -1)
+            order = np.argsort(-sums, axis=1, kind="stable")[:, :most]
+            cells, sums = np.take_along_axis(cells, order, 1), np.take_along_axis(sums, order, 1)
         found.append(cells)
     return np.stack(found, axis=1)
 
@@ -113,6 +126,7 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def nearest_neighbours(
     table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
     tables: int = TABLES, probes: int = PROBES, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+    whole_rows: int = 0,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``table`` nearest to it, but for its own id.
 
@@ -144,10 +158,13 @@ def nearest_neighbours(
         return work
 
     packed = map_rows(usable(table), "v binary, ids array<long>, size double, dim int", pack, rows=4096)
-    points = packed.groupBy("v").agg(
+    least = [
         F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"),
         F.max("size").alias("size"), F.max("dim").alias("dim"),
-    )
+    ]
+    # a vector that many rows share meets first in groups of partitions
+    salted = packed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    points = salted.groupBy("v", "salt").agg(*least).groupBy("v").agg(*least)
     points = checkpoint(points.withColumn("point", F.monotonically_increasing_id()))
     shape = points.agg(F.count("*"), F.max("dim"), F.max("size"), F.sum(F.size("ids"))).first()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -159,7 +176,7 @@ def nearest_neighbours(
     width = 1 << math.ceil(math.log2(dim))
     # hash functions of the bands that are hashed; doubles have some 2,100 bands at most
     counts = {row["band"]: row["n"] for row in points.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    hashes = {b: max(1, math.ceil(math.log(n / cell_rows) / math.log(2 * width))) for b, n in sorted(counts.items()) if n > cell_rows}
+    hashes = {b: max(1, math.ceil(math.log(n / cell_rows) / math.log(2 * width))) for b, n in sorted(counts.items()) if n > whole_rows}
     first_table = {b: at * tables for at, b in enumerate(hashes)}
     signs = {h: rotations(width, tables, h) for h in set(hashes.values())}
     whole = len(hashes) < len(counts)
@@ -269,6 +286,10 @@ def nearest_neighbours(
         # a query's blocks are as many as the cells it visits, times the blocks of hot ones
         return found.groupBy("query").applyInPandas(merge, "query long, ids array<long>, scores array<double>")
 
+    def batch(width_of_search: int) -> int:
+        visits = tables * sum(min(width_of_search, 2 * width) ** h for h in hashes.values())
+        return min(256, max(1, VISIT_ROWS // max(1, visits)))
+
     answers, asking, cells = None, wanted, probes
     while True:
         if hashes and cells >= width and answers is not None:
@@ -279,7 +300,7 @@ def nearest_neighbours(
             done = True
         else:
             places = stored
-            visits = map_rows(asking.select("query", "v"), "t int, cell long, query long, v binary", visit(cells), rows=256)
+            visits = map_rows(asking.select("query", "v"), "t int, cell long, query long, v binary", visit(cells), rows=batch(cells))
             done = not hashes
         got = checkpoint(asking.select("query", "v").join(search(places, checkpoint(visits)), "query", "left"))
         enough = F.coalesce(F.size("ids"), F.lit(0)) >= need

@@ -75,6 +75,38 @@ def test_recall_with_uneven_lengths(spark, kind, n, options):
         assert np.mean([len(found[q] & {i for i, _ in expected[q]}) for q in expected]) / 20 >= 0.95
 
 
+def found_by(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
+def test_hashing_decides_rows_of_small_tables(spark):
+    rng = np.random.default_rng(21)
+    v = rng.standard_normal((2000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = frame(spark, v, list(range(2000)))
+    asked = table.filter("vec_id % 20 = 0")
+    expected = {q: [i for i, _ in hits] for q, hits in brute(v, list(range(2000)), range(0, 2000, 20), 20).items()}
+    share = lambda got: np.mean([len(set(got[q]) & set(expected[q])) for q in expected]) / 20
+    assert 0.95 <= share(found_by(ann.nearest_neighbours(table, asked, k=20).collect()))
+    assert share(found_by(ann.nearest_neighbours(table, asked, k=20, probes=2).collect())) < 0.9
+    assert found_by(ann.nearest_neighbours(table, asked, k=20, whole_rows=2000).collect()) == expected
+
+
+def test_probes_are_the_best_combinations():
+    x = ann.directions(np.random.default_rng(3).standard_normal((5, 8)), 8)
+    signs = ann.rotations(8, 2, 2)
+    got = ann.probes_of(x, signs, 3)
+    assert got.shape == (5, 2, 9) and (got[:, :, 0] == ann.cells_of(x, signs)).all()
+    for t in range(2):
+        first, second = (np.stack([y := ann.rotate(x, s), -y], axis=2).reshape(5, 16) for s in signs[t])
+        sums = (first[:, :, None] + second[:, None, :]).reshape(5, 256)
+        for r in range(5):
+            assert set(got[r, t]) == set(np.argsort(-sums[r], kind="stable")[:9])
+
+
 def test_fewer_candidates_than_asked_for(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((6, 8))
