@@ -20,10 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import labelled_sample, map_rows, text_udf
+from citespark.llm.common import labelled_sample, map_rows, mixed, text_udf
 from citespark.llm.toxicity import isotonic
 
 SAMPLE_DOCS = 4_000
+#: Lines the fit holds at most; their features are about 350 bytes each.
+SAMPLE_LINES = 400_000
 OWN = 14
 WIDTH = 3 * OWN + 1
 #: Characters scored at once; longer documents are one part of their own.
@@ -208,17 +210,43 @@ def fit_chain(x: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = 120
     return weights, move
 
 
+def lines_each(counts: np.ndarray, bound: int) -> int:
+    """The largest number of lines a document may keep so that all together keep at most ``bound``; at least one."""
+    sizes = np.sort(np.asarray(counts, np.int64))
+    below = np.cumsum(sizes) - sizes
+    left = len(sizes) - np.arange(len(sizes))
+    if not len(sizes) or below[-1] + sizes[-1] <= bound:
+        return int(sizes[-1]) if len(sizes) else 1
+    at = np.flatnonzero(below + sizes * left > bound)[0]  # from here on documents are cut
+    return max(1, int((bound - below[at]) // left[at]))
+
+
+def run_of_lines(text: str, most: int, key: int) -> str:
+    """The text, or a run of ``most`` lines from a place that depends on ``key`` where it has more."""
+    if text.count("\n") < most:
+        return text
+    lines = text.split("\n")
+    at = int(mixed(np.array([key], np.int64), 3)[0] % np.uint64(len(lines) - most + 1))
+    return "\n".join(lines[at : at + most])
+
+
 def fit_quality(
     docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS,
+    sample_lines: int = SAMPLE_LINES,
 ) -> QualityModel:
     """Learns from at most ``sample_docs`` labelled documents among those that ``keep`` allows.
 
-    Only line features travel to the fit, not texts. Without labels of both kinds every score is 1.
+    Only line features travel to the fit, not texts, and those of at most ``sample_lines`` lines (but one of every
+    document): where there are more, the longest documents give one run of consecutive lines each, all of one length.
+    Without labels of both kinds every score is 1.
     """
     sample = labelled_sample(docs, labels, "quality", keep, sample_docs, doc_id, text)
+    sizes = sample.select((F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n")).toPandas()
+    most = lines_each(sizes["n"].to_numpy(np.int64), sample_lines)
 
     def make():
         def work(ids: list, texts: list, ys: list) -> list:
+            texts = [run_of_lines(t, most, i) for i, t in zip(ids, texts)]
             x, lengths, counts = line_features(texts) if texts else (np.zeros((0, OWN)), np.zeros(0), np.zeros(0, int))
             ends = np.cumsum(counts)
             parts = [x[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends, counts)]

@@ -184,6 +184,30 @@ def test_toxicity_held_out(spark):
     assert found > 0.9 and clean > 0.99
 
 
+def test_lines_of_the_fit_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(1, 60, rng.integers(1, 20))
+        bound = int(rng.integers(len(sizes), 800))
+        most = quality.lines_each(sizes, bound)
+        kept = np.minimum(sizes, most).sum()
+        assert kept <= bound or most == 1
+        assert kept == sizes.sum() or np.minimum(sizes, most + 1).sum() > bound
+    assert quality.run_of_lines("a\nb\nc", 3, 5) == "a\nb\nc"
+    runs = {quality.run_of_lines("a\nb\nc\nd", 2, key) for key in range(40)}
+    assert runs == {"a\nb", "b\nc", "c\nd"}
+    seen = []
+    fit = quality.fit_chain
+    monkeypatch.setattr(quality, "fit_chain", lambda x, counts, y, **more: seen.append(counts) or fit(x, counts, y, **more))
+    rows = [(i, "\n".join(["Whole sentences stand here." if i % 2 else "| x | 12"] * (400 if i < 4 else 5)), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels, F.lit(True), sample_lines=300)
+    assert seen[0].sum() == 300 and sorted(set(seen[0].tolist())) == [5, 30]
+    good, bad = model.score([rows[5][1], rows[4][1]])
+    assert good > 0.7 and bad < 0.3
+
+
 def test_quality_held_out(spark):
     good, bad = held_out(spark, quality, quality.fit_quality, quality.quality_score, "quality", 5, 0, 0.3)
     assert good > 0.98 and bad > 0.95
