@@ -217,6 +217,20 @@ def apply_sync(papers: DataFrame, plan: DataFrame, source: str = "zotero") -> Da
     return snapshot.unionByName(fresh, allowMissingColumns=True)
 
 
+def changed_papers(papers: DataFrame, plan: DataFrame, source: str = "zotero") -> DataFrame:
+    """The rows of :func:`apply_sync` that the plan changes or inserts, and no others."""
+    touched = plan.filter("action <> 'skip'").select("paper_id").distinct()
+    return apply_sync(papers.join(touched, "paper_id", "left_semi"), plan, source)
+
+
+def changed_state(plan: DataFrame, user_id) -> DataFrame:
+    """The rows that the plan adds to the state or replaces there: one per item, of its highest version."""
+    changed = plan.filter("action <> 'skip'").groupBy("item_key").agg(
+        F.max_by(F.struct("version", "paper_id"), F.struct("version", "seq")).alias("s")
+    )
+    return changed.select(F.lit(user_id).alias("user_id"), "item_key", "s.version", "s.paper_id")
+
+
 def apply_sync_state(sync_state: DataFrame, plan: DataFrame, user_id) -> DataFrame:
     """New state: versions of updated items, rows for linked and inserted ones."""
     changed = plan.filter("action <> 'skip'").select(

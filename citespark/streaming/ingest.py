@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from citespark.functions.text import char_count
 from citespark.operators import chunks as ck
+from citespark.operators import sync
 from citespark.plans.library_sync import run_sync
 from citespark.sources import files as fs
+from citespark.sources import library_items as li
 from citespark.sources.library_items import ITEM_SCHEMA
 from citespark.streaming import tables as tb
 
 RETRY_MINUTES = 30
+#: Batches of a sync stream whose changes are merged into the tables at once.
+COMPACT_AFTER = 8
 PAPER_SCHEMA = (
     "paper_id string, title string, file_hash string, file_path string, extension string, content binary, first_seen int"
 )
@@ -118,23 +122,46 @@ def ingest_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def sync_batch(raw: DataFrame, root: str, batch_id: int, user_id: str, force_full: bool = False) -> None:
-    """Applies one dump of items to the last snapshot and advances the mark.
+def synced_papers(spark: SparkSession, root: str) -> tb.KeyedTable:
+    """The papers that a sync stream maintains."""
+    return tb.KeyedTable(spark, f"{root}/papers", SNAPSHOT_SCHEMA, ("paper_id",))
 
-    The mark stops below the first failed item, so that the next run sees it again.
+
+def synced_state(spark: SparkSession, root: str) -> tb.KeyedTable:
+    """Version and paper of each item of a user."""
+    return tb.KeyedTable(spark, f"{root}/state", STATE_SCHEMA, ("user_id", "item_key"))
+
+
+def sync_batch(
+    raw: DataFrame, root: str, batch_id: int, user_id: str, force_full: bool = False, compact_after: int = COMPACT_AFTER
+) -> None:
+    """Applies one dump of items to the tables and advances the mark.
+
+    Only changed papers and items are written. The plan looks at the state of the
+    dump's items and at papers with its DOIs, and is written once. The mark stops below the first
+    failed item, so that the next run sees it again.
     """
     spark = raw.sparkSession
-    papers = tb.read_latest(spark, f"{root}/papers", batch_id, SNAPSHOT_SCHEMA)
-    state = tb.read_latest(spark, f"{root}/state", batch_id, STATE_SCHEMA)
+    papers, state = synced_papers(spark, root), synced_state(spark, root)
+    for table in (papers, state):
+        table.compact(batch_id, compact_after)
     marks = tb.read_latest(spark, f"{root}/mark", batch_id, "mark bigint").collect()  # one row
     mark = marks[0]["mark"] if marks else None
     numbered = raw.withColumn("seq", F.struct(F.col("version"), F.col("key")))
-    run = run_sync(numbered, papers, state, user_id, mark=mark, force_full=force_full)
-    tb.write_batch(run.papers.select(*papers.columns), f"{root}/papers", batch_id)
-    tb.write_batch(run.state.select(*state.columns), f"{root}/state", batch_id)
-    tb.write_batch(run.counts, f"{root}/counts", batch_id)
+    items = li.map_items(li.split_items(numbered)[0])
+    mine = items.select(F.lit(user_id).alias("user_id"), "item_key").filter("item_key IS NOT NULL").distinct()
+    known = state.read(batch_id, state.buckets_of(mine)).join(mine, ["user_id", "item_key"], "left_semi")
+    dois = items.select("doi").filter("doi IS NOT NULL").distinct()
+    owners = papers.read(batch_id).join(dois, "doi", "left_semi")
+    run = run_sync(numbered, owners, known, user_id, mark=mark, force_full=force_full)
+    tb.write_batch(run.plan, f"{root}/plan", batch_id)
+    plan = spark.read.schema(run.plan.schema).parquet(f"{root}/plan/batch={batch_id}")
+    touched = papers.buckets_of(plan.filter("action <> 'skip'"))
+    papers.write(sync.changed_papers(papers.read(batch_id, touched), plan), batch_id)
+    state.write(sync.changed_state(plan, user_id), batch_id)
+    tb.write_batch(sync.sync_counts(plan), f"{root}/counts", batch_id)
     tb.write_batch(run.rejects.drop("seq"), f"{root}/rejects", batch_id)
-    tb.write_batch(run.mark, f"{root}/mark", batch_id)
+    tb.write_batch(sync.high_water(plan, run.rejects, mark), f"{root}/mark", batch_id)
 
 
 def sync_stream(

@@ -12,6 +12,7 @@ from citespark.operators import timeline as tl
 from citespark.sources import feeds
 from citespark.sources import files as fi
 from citespark.sources import library_items as li
+from citespark.streaming import tables as tb
 from suite.documents import _ASSIGNED, assigned
 from suite.registry import query
 
@@ -385,14 +386,12 @@ snapshot AS (SELECT h.paper_id, {', '.join(_new_value(c) for c in _FIELDS)}, coa
   UNION ALL SELECT paper_id, {', '.join(_FIELDS)}, item_key, 'zotero', 0 FROM gaps WHERE ins)"""
 
 
-@query(
-    "apply_sync",
-    f"""WITH {_SNAPSHOT} SELECT paper_id, title, coalesce(array_to_string(authors, '|'), '') AS authors, coalesce(abstract, '-') AS abstract,
+_SNAPSHOT_ROWS = f"""WITH {_SNAPSHOT} SELECT paper_id, title, coalesce(array_to_string(authors, '|'), '') AS authors, coalesce(abstract, '-') AS abstract,
   coalesce(year, 0) AS year, coalesce(journal, '-') AS journal, coalesce(doi, '-') AS doi, coalesce(source_url, '-') AS source_url,
-  coalesce(item_key, '-') AS item_key, coalesce(source, '-') AS source, citation_count FROM snapshot""",
-)
-def apply_sync(t):
-    out = sy.apply_sync(_held(t), plan(t))
+  coalesce(item_key, '-') AS item_key, coalesce(source, '-') AS source, citation_count FROM snapshot"""
+
+
+def _snapshot_rows(out):
     dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
     return out.select(
         "paper_id", "title", F.coalesce(F.array_join("authors", "|"), F.lit("")).alias("authors"), dash("abstract"),
@@ -401,6 +400,40 @@ def apply_sync(t):
     )
 
 
+@query("apply_sync", _SNAPSHOT_ROWS)
+def apply_sync(t):
+    return _snapshot_rows(sy.apply_sync(_held(t), plan(t)))
+
+
+@query("apply_sync_deltas", _SNAPSHOT_ROWS)
+def apply_sync_deltas(t):
+    """The same rows from a table by key: papers as its base, what the plan changes as one batch, merged when read."""
+    held = _held(t)
+    table = tb.KeyedTable(t.spark, tb.work_folder(t.spark), held.schema, ("paper_id",))
+    table.seed(held)
+    rows = plan(t)
+    table.write(sy.changed_papers(table.read(0, table.buckets_of(rows.filter("action <> 'skip'"))), rows), 0)
+    return _snapshot_rows(table.read())
+
+
+@query(
+    "latest_by_deltas",
+    """SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderdate, o_orderkey) AS o_orderdate, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus
+FROM orders GROUP BY o_custkey""",
+)
+def latest_by_deltas(t):
+    """Orders arrive in four batches by key; each writes its customers' last orders, after two the buckets are merged."""
+    orders = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    table = tb.KeyedTable(t.spark, tb.work_folder(t.spark), orders.schema, ("o_custkey",), buckets=16)
+    top = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    for n in range(4):
+        table.compact(n, 2)
+        part = orders.filter(F.floor(F.col("o_orderkey") * 4 / (top + 1)) == n)
+        last = part.groupBy("o_custkey").agg(F.max_by(F.struct(*part.columns), "o_orderkey").alias("row"))
+        table.write(last.select("row.*"), n)
+    return table.read()
+
+
 @query(
     "apply_sync_state",
     f"""WITH {_PLAN} SELECT 1 AS user_id, item_key, version, paper_id FROM plan WHERE action <> 'skip'

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citespark.operators import timeline as tl
 from citespark.operators.embedding import embedding_with, hashed_embedder
+from citespark.plans.library_sync import run_sync
 from citespark.plans.requests import editor_requests
 from citespark.streaming import ingest as si
 from citespark.streaming import progress
@@ -217,7 +218,58 @@ def test_sync_stream_keeps_failed_items(spark, tmp_path):
     counts = {r.action: r["items"] for r in spark.read.parquet(f"{root}/counts/batch=1").collect()}
     assert counts == {"insert": 1, "skip": 1}
     assert spark.read.parquet(f"{root}/mark/batch=1").collect()[0].mark == 4
-    assert spark.read.parquet(f"{root}/papers/batch=1").count() == 3
+    assert si.synced_papers(spark, root).read().count() == 3
+    assert {(r.item_key, r.version) for r in si.synced_state(spark, root).read().collect()} == {("A", 1), ("B", 2), ("C", 3), ("D", 4)}
+
+
+def test_sync_batches_equal_snapshots(spark, tmp_path):
+    """Changes written per batch give the rows of whole snapshots; repeated batches and compaction change nothing."""
+    root, rng = str(tmp_path / "root"), random.Random(3)
+    papers = spark.createDataFrame([], si.SNAPSHOT_SCHEMA)
+    state = spark.createDataFrame([], si.STATE_SCHEMA)
+    rows = lambda df: sorted(map(str, df.collect()))
+    mark, version = None, 0
+    for n in range(4):
+        lines = []
+        for k in rng.sample(range(12), 6):
+            version += 1
+            lines.append(item(f"K{k}", version, f"t{version}", rng.choice(["", f"10.1/{k % 4}"])))
+        (tmp_path / f"{n}.json").write_text("\n".join(lines))
+        raw = spark.read.schema(si.ITEM_SCHEMA).json(str(tmp_path / f"{n}.json"))
+        for _ in range(2 if n == 2 else 1):
+            si.sync_batch(raw, root, n, "u1", compact_after=2)
+        run = run_sync(raw.withColumn("seq", F.struct("version", "key")), papers, state, "u1", mark=mark)
+        mark = run.mark.collect()[0].mark
+        new_papers, new_state = run.papers.select(*papers.columns).collect(), run.state.select(*state.columns).collect()
+        papers = spark.createDataFrame(new_papers, si.SNAPSHOT_SCHEMA)
+        state = spark.createDataFrame(new_state, si.STATE_SCHEMA)
+        assert rows(si.synced_papers(spark, root).read()) == rows(papers)
+        assert rows(si.synced_state(spark, root).read()) == rows(state)
+        written = spark.read.parquet(f"{root}/papers/delta={n}").count()
+        assert written <= 6
+    assert (tmp_path / "root" / "papers" / "base=1").exists() and papers.count() > 6
+
+
+def test_keyed_table(spark, tmp_path):
+    table = tb.KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ("k",), buckets=8)
+    rows = lambda df: dict(map(tuple, df.collect()))
+    assert rows(table.read()) == {}
+    expected = {k: "old" for k in range(200)}
+    table.seed(spark.createDataFrame(list(expected.items()), "k long, v string"))
+    history = [dict(expected)]
+    for n in range(5):
+        change = {k: f"batch {n}" for k in (n, n + 1, 300 + n)} if n != 3 else {}
+        assert table.compact(n, 3) == (n == 3)
+        table.write(spark.createDataFrame(list(change.items()), "k long, v string"), n)
+        expected.update(change)
+        history.append(dict(expected))
+        assert rows(table.read()) == expected
+    assert [rows(table.read(n)) for n in range(6)] == history
+    touched = {int(p.name.split("=")[1]) for p in (tmp_path / "t" / "base=2").glob("bucket=*")}
+    assert 0 < len(touched) < 8  # compaction wrote no other bucket
+    one = spark.createDataFrame([(2,)], "k long")
+    some = rows(table.read(buckets=table.buckets_of(one)))
+    assert some[2] == expected[2] and len(some) < len(expected) / 2
 
 
 def test_progress(spark):
