@@ -17,6 +17,8 @@ from citespark.operators import maintenance
 from citespark.operators.metadata import resolve_metadata
 from citespark.sources import files as fs
 
+NO_TEXT = "Failed to extract text from file"
+
 
 @dataclass
 class Ingested:
@@ -57,6 +59,27 @@ def guessed_metadata(papers: DataFrame, max_year: int) -> DataFrame:
     )
 
 
+def with_paper_fields(papers: DataFrame) -> DataFrame:
+    """The table with all fields of a paper; missing ones are NULL."""
+    for name, kind in (("authors", "array<string>"), ("abstract", "string"), ("year", "int"),
+                       ("journal", "string"), ("doi", "string"), ("arxiv_id", "string")):
+        if name not in papers.columns:
+            papers = papers.withColumn(name, F.lit(None).cast(kind))
+    return papers
+
+
+def paper_records(
+    readable: DataFrame, chunks: DataFrame, arxiv: DataFrame, works: DataFrame,
+    embed: Callable[[DataFrame, str], DataFrame], max_year: int,
+) -> DataFrame:
+    """Papers with a ``full_text``, their resolved metadata and their own vector."""
+    resolved = resolve_metadata(
+        readable, found_identifiers(readable), arxiv, works, guessed_metadata(readable, max_year)
+    )
+    first = ck.paper_embedding_text(resolved, chunks.select("paper_id", "chunk_index", "content"))
+    return embed(first, "embedding_text").drop("embedding_text")
+
+
 def process_papers(
     papers: DataFrame,
     arxiv: DataFrame,
@@ -68,12 +91,8 @@ def process_papers(
     """(paper rows, chunk rows) of papers with a ``full_text``; empty text is an error row."""
     has_text = F.coalesce(F.col("full_text"), F.lit("")) != ""
     readable = papers.filter(has_text)
-    resolved = resolve_metadata(
-        readable, found_identifiers(readable), arxiv, works, guessed_metadata(readable, max_year)
-    )
     chunks = embed(ck.chunk_papers(readable), "content")
-    first = ck.paper_embedding_text(resolved, chunks.select("paper_id", "chunk_index", "content"))
-    vectors = embed(first, "embedding_text").drop("embedding_text")
+    vectors = paper_records(readable, chunks, arxiv, works, embed, max_year)
     stamp = F.expr(f"TIMESTAMP_NTZ '{as_of}'")
     done = vectors.withColumns(
         {"is_processed": F.lit(True), "processing_error": F.lit(None).cast("string"), "updated_at": stamp}
@@ -81,7 +100,7 @@ def process_papers(
     failed = papers.filter(~has_text).withColumns(
         {
             "is_processed": F.lit(False),
-            "processing_error": F.lit("Failed to extract text from file"),
+            "processing_error": F.lit(NO_TEXT),
             "updated_at": stamp,
         }
     )
@@ -100,11 +119,7 @@ def ingest(
 ) -> Ingested:
     """New paper and chunk snapshots after taking in a folder of files."""
     rows, refused, duplicates = accept_files(files, papers)
-    text = decode(rows).drop("content", "extension", "processing_error")
-    for name, kind in (("authors", "array<string>"), ("abstract", "string"), ("year", "int"),
-                       ("journal", "string"), ("doi", "string"), ("arxiv_id", "string")):
-        if name not in text.columns:
-            text = text.withColumn(name, F.lit(None).cast(kind))
+    text = with_paper_fields(decode(rows).drop("content", "extension", "processing_error"))
     done, fresh = process_papers(text, arxiv, works, embed, as_of)
     all_chunks = ck.replace_chunks(chunks, fresh, done) if chunks is not None else fresh
     all_papers = papers.unionByName(done, allowMissingColumns=True)

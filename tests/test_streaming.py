@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from citespark.operators import timeline as tl
 from citespark.operators.embedding import embedding_with, hashed_embedder
+from citespark.plans.ingest import ingest
 from citespark.plans.library_sync import run_sync
 from citespark.plans.requests import editor_requests
+from citespark.sources.files import decode_text
 from citespark.streaming import ingest as si
 from citespark.streaming import progress
 from citespark.streaming import requests as sr
@@ -194,6 +196,60 @@ def test_ingest_stream(spark, tmp_path):
     assert [r.reason for r in refused] == ["file type not allowed"]
 
 
+def test_ingest_stream_equals_batch(spark, tmp_path):
+    """Metadata, chunks and vectors of files in shuffled batches are those of one batch; lookups decide where they match."""
+    names = [f"p{n}" for n in range(6)]
+    random.Random(5).shuffle(names)
+    src, root = tmp_path / "in", str(tmp_path / "root")
+    src.mkdir()
+    for n, name in enumerate(names):
+        (src / f"{name}.txt").write_text(
+            f"A Study of Item {name} in Large Graphs\nAda Byron, Carl Gauss\nAbstract\nWe study {name} here at some length.\n"
+            + (f"doi: 10.1234/{name}\n" if n % 2 else "") + "word " * (300 * n)
+        )
+    embed = embedding_with(hashed_embedder(8))
+    works = spark.createDataFrame([(f"10.1234/{names[1]}", "Known title", 1999)], "doi string, title string, year int")
+    si.ingest_stream(
+        spark, str(src), root, str(tmp_path / "cp"), embed, files_per_batch=2, now="2024-01-01 00:00:00", works=works, compact_after=1
+    ).awaitTermination()
+    empty = spark.createDataFrame([], si.PAPER_SCHEMA).drop("content", "extension", "first_seen")
+    files = spark.read.format("binaryFile").load(str(src))
+    whole = ingest(files, empty, None, spark.createDataFrame([], "arxiv_id string"), works, embed, "2024-01-01 00:00:00")
+    rows = lambda df, *columns: sorted(map(str, df.select(*columns).collect()))
+    columns = ["paper_id", "title", "authors", "abstract", "year", "journal", "doi", "arxiv_id", "metadata_source", "embedding"]
+    got = si.ingested_papers(spark, root).read()
+    assert rows(got, *columns) == rows(whole.papers, *columns) and got.count() == 6
+    assert [r.year for r in got.filter("title = 'Known title'").collect()] == [1999]
+    assert rows(si.current_chunks(spark, root), "paper_id", "chunk_index", "content", "embedding") == rows(
+        whole.chunks, "paper_id", "chunk_index", "content", "embedding"
+    )
+
+
+def test_errors_are_retried_by_the_clock(spark, tmp_path):
+    src, root, calls = tmp_path / "in", str(tmp_path / "root"), []
+    src.mkdir()
+    (src / "a.txt").write_text("one two three")
+
+    def decode(files):
+        calls.append(1)
+        out = decode_text(files)
+        return out.withColumns({"full_text": F.lit(None).cast("string"), "processing_error": F.lit("busy")}) if len(calls) == 1 else out
+
+    q = si.ingest_stream(
+        spark, str(src), root, str(tmp_path / "cp"), embedding_with(hashed_embedder(8)), every="1 second", decode=decode, retry_minutes=0.001
+    )
+    try:
+        for _ in range(180):
+            tried = tb.read_before(spark, f"{root}/outcomes", None, si.OUTCOME_SCHEMA).orderBy("batch").collect()
+            if len(tried) == 2:
+                break
+            q.awaitTermination(0.5)
+    finally:
+        q.stop()
+    assert [r.error for r in tried] == ["busy", None]  # no second file came
+    assert [r.title for r in si.ingested_papers(spark, root).read().collect()] and len(calls) == 2
+
+
 def item(key, version, title, doi=""):
     return json.dumps(
         {"key": key, "version": version, "library_id": "users/1",
