@@ -29,6 +29,20 @@ def chunks_of(tokens: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
 
 
+def exact_starts(tokens: Column, step: int) -> Column:
+    """Where every ``step``-th token starts in the single-spaced text: each token is measured once, then steps are summed."""
+    widths = F.transform(
+        chunks_of(tokens, step, 0),
+        lambda part: F.aggregate(part, F.lit(0), lambda n, w: n + F.length(w) + 1),
+    )
+    return F.aggregate(
+        widths,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
+        lambda s: s["starts"],
+    )
+
+
 def is_section_heading(content: Column) -> Column:
     """A short chunk that holds one of the section words."""
     return (F.length(content) < SECTION_MAX_CHARS) & F.lower(content).rlike("|".join(SECTION_WORDS))
@@ -44,18 +58,17 @@ def chunk_records(
     A heading seen in a short chunk is carried to the chunks after it.
     """
 
-    def start_of(tokens: Column, chunk: Column, i: Column) -> Column:
-        if exact_offsets:
-            before = F.array_join(F.slice(tokens, 1, i * (size - overlap)), " ")
-            return F.when(i == 0, 0).otherwise(F.length(before) + 1)
+    def start_of(chunk: Column, i: Column, exact: Column | None) -> Column:
+        if exact is not None:
+            return F.get(exact, i)
         return F.when(i == 0, 0).otherwise(F.call_function("instr", text, F.get(chunk, 0)) - 1)
 
-    def record(tokens: Column, chunk: Column, i: Column) -> Column:
+    def record(chunk: Column, i: Column, exact: Column | None) -> Column:
         return F.struct(
             i.alias("chunk_index"),
             F.array_join(chunk, " ").alias("content"),
             F.size(chunk).alias("word_count"),
-            start_of(tokens, chunk, i).cast("int").alias("start_char"),
+            start_of(chunk, i, exact).cast("int").alias("start_char"),
         )
 
     def finish(records: Column, headings: Column) -> Column:
@@ -87,10 +100,13 @@ def chunk_records(
             ),
         )
 
-    def with_records(tokens: Column) -> Column:
-        records = F.transform(
-            chunks_of(tokens, size, overlap), lambda c, i: record(tokens, c, i)
-        )
+    def finished(tokens: Column, exact: Column | None) -> Column:
+        records = F.transform(chunks_of(tokens, size, overlap), lambda c, i: record(c, i, exact))
         return bind(records, lambda r: bind(headings_of(r), lambda h: finish(r, h)))
 
+    def with_records(tokens: Column) -> Column:
+        if not exact_offsets:
+            return finished(tokens, None)
+        return bind(exact_starts(tokens, size - overlap), lambda e: finished(tokens, e))
+
     return bind(words(text), with_records)

@@ -183,6 +183,20 @@ def chunk_text(t):
     )
 
 
+@query(
+    "chunk_text_exact",
+    f"""WITH {_CHUNK_SQL.replace('AS content,', 'AS content, array_to_string(ws[1 : s], chr(32)) AS ahead,')}, placed AS (
+  SELECT *, CASE WHEN chunk_index = 0 THEN 0 ELSE length(ahead) + 1 END AS start_char FROM chunks)
+SELECT paper_id, chunk_index, md5(content) AS content, word_count, start_char, start_char + length(content) AS end_char FROM placed""",
+    "papers",
+)
+def chunk_text_exact(t):
+    """Offsets are places in the single-spaced text, not first occurrences of a word."""
+    return co.chunk_papers(t.papers, exact_offsets=True).select(
+        "paper_id", "chunk_index", F.md5("content").alias("content"), "word_count", "start_char", "end_char"
+    )
+
+
 @query(
     "section_headings",
     """SELECT doc_id, len(lines) AS lines, len(list_filter(lines, lambda line: length(line) < 100 AND regexp_matches(lower(line),
