@@ -34,6 +34,10 @@ HIGHLIGHT_PATTERNS = [
 ]
 
 
+#: ``\\b`` of the editor, where only ASCII letters, digits and _ make words.
+ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
 def _first_match(text: Column, patterns: list[str]) -> Column:
     """First group of the first pattern that matches; later ones run only if needed."""
     tries = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]
@@ -112,8 +116,9 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches of one pattern with exact offsets.
 
     The pieces between matches come from splitting at the same pattern, so a
-    match starts after all earlier pieces and matches.
+    match starts after all earlier pieces and matches. Word edges are those of the editor.
     """
+    pattern = pattern.replace(r"\b", ASCII_EDGE)
     full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     gaps = F.split(text, pattern, -1)

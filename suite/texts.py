@@ -123,9 +123,28 @@ def request_length_gate(t):
     return t.conversations.filter(tx.long_enough(F.col("text"))).select("conv_id", "turn")
 
 
-@query("extract_context")
+@query(
+    "extract_context",
+    f"""WITH RECURSIVE clean AS (SELECT rid, conv_id, turn, original, {_PREPROCESS} AS text
+  FROM (SELECT row_number() OVER () AS rid, conv_id, turn, text, text AS original FROM conversations)),
+{_sentence_sql('clean', 'rid, conv_id, turn, original')[5:]},
+sized AS (SELECT *, list_filter(sents, lambda s: length(s) >= 10) AS s, length(original) // 2 AS cur FROM found),
+fold AS (SELECT rid, 0::BIGINT AS seen, 0::BIGINT AS stop, -1::BIGINT AS hit FROM sized
+  UNION ALL SELECT rid, seen + 1, CASE WHEN place > 0 THEN stop + place - 1 + length(one) ELSE stop END,
+    CASE WHEN hit < 0 AND place > 0 AND cur <= stop + place - 1 + length(one) THEN seen ELSE hit END
+  FROM (SELECT f.*, z.cur, z.s[f.seen + 1] AS one, instr(substr(z.original, f.stop + 1), z.s[f.seen + 1]) AS place
+    FROM fold f JOIN sized z ON z.rid = f.rid WHERE f.seen < len(z.s))),
+chosen AS (SELECT rid, CASE WHEN max(hit) >= 0 THEN max(hit) ELSE greatest(max(seen) - 1, 0) END AS i FROM fold GROUP BY rid),
+parts AS (SELECT rid, cur, regexp_split_to_array(original, '\\n{q.WS}*\\n') AS ps FROM sized),
+flat AS (SELECT rid, cur, unnest(ps) AS p, unnest(range(len(ps))) AS i, len(ps) AS n FROM parts),
+ends AS (SELECT *, sum(length(p)) OVER (PARTITION BY rid ORDER BY i) + 2 * i AS stop FROM flat),
+hits AS (SELECT rid, n, min(CASE WHEN cur <= stop THEN i END) AS hit FROM ends GROUP BY rid, n)
+SELECT z.conv_id, z.turn, coalesce(z.s[c.i + 1], '') AS current_sentence, CASE WHEN c.i > 0 THEN z.s[c.i] END AS previous_sentence,
+  z.s[c.i + 2] AS next_sentence, {q.strip('e.p')} AS paragraph, CAST(NULL AS VARCHAR) AS section, CAST(z.cur AS INT) AS position
+FROM sized z JOIN chosen c ON c.rid = z.rid JOIN hits h ON h.rid = z.rid JOIN ends e ON e.rid = z.rid AND e.i = coalesce(h.hit, h.n - 1)""",
+)
 def extract_context(t):
-    """Cursor context of every turn, with the cursor in the middle (no SQL twin: a fold)."""
+    """Cursor context of every turn, with the cursor in the middle."""
     cursor = (F.length("text") / 2).cast("int")
     return t.conversations.select("conv_id", "turn", tx.extract_context(F.col("text"), cursor).alias("c")).select(
         "conv_id", "turn", "c.*"
@@ -328,9 +347,22 @@ def merge_identifiers(t):
     return rows.select("doc_id", merged.alias("i")).select("doc_id", "i.arxiv_id", "i.doi")
 
 
-@query("find_all_identifiers")
+def _matches_sql(kind, pattern):
+    """Matches of one pattern: a match starts after the pieces between earlier matches and those matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS type, vals[i] AS value, hits[i] AS full_match,
+    CAST(list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda h: length(h))), 0) AS INT) AS position
+  FROM (SELECT doc_id, regexp_extract_all(x, '{p}') AS hits, regexp_extract_all(x, '{p}', 1) AS vals,
+    regexp_split_to_array(x, '{p}') AS gaps, unnest(range(1, len(regexp_extract_all(x, '{p}')) + 1)) AS i FROM texts)"""
+
+
+@query(
+    "find_all_identifiers",
+    f"WITH texts AS (SELECT doc_id, {_ID_TEXT} AS x FROM documents)\n"
+    + "\nUNION ALL ".join(_matches_sql(kind, p) for kind, p in ids.HIGHLIGHT_PATTERNS),
+)
 def find_all_identifiers(t):
-    """Every match with its offset (no SQL twin: offsets of matches)."""
+    """Every match of every pattern with its offset in the whole text."""
     return ids.find_all_identifiers(t.documents.select("doc_id", F.expr(_ID_TEXT).alias("x")), "doc_id", "x")
 
 

@@ -26,5 +26,5 @@ def test_entry(spark):
 
 def test_few_queries_without_sql():
     assert set(QUERIES) - set(ORACLE) == {
-        "similarity_join_ivf", "similarity_join_lsh", "extract_context", "find_all_identifiers", "heuristic_metadata",
+        "similarity_join_ivf", "similarity_join_lsh", "heuristic_metadata",
     }
