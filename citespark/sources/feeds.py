@@ -83,32 +83,45 @@ def map_works_record(works: DataFrame, json: str) -> DataFrame:
 def _bib_field(text: Column, name: str) -> Column:
     """Value of a field, whole: to the brace that closes it, to the quote outside of braces, or to the next comma.
 
-    The end is found in one walk over the characters that counts open braces.
+    The end is found in one walk over the marks that can end a value and the
+    runs between them; it counts open braces. What a step needs of the value is
+    in its state, as anything else in a walk is worked out anew at every step.
     Braces inside a value only protect its spelling and are left out.
     """
     opening = rf"(?i)(?:^|[,{{\s]){name}\s*=\s*"
     start = F.regexp_instr(text, F.lit(opening)) + F.length(F.regexp_extract(text, opening, 0))
-    rest = F.when(F.regexp_like(text, F.lit(opening)), F.substr(text, start))
-    quote = F.substring(rest, 1, 1)
-    quoted = quote.isin("{", '"', "'")
-
-    def walk(state: Column, c: Column) -> Column:
-        depth = state["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        first = state["at"] == 0
-        ended = F.when(quote == "{", depth == 0).when(quoted, ~first & (c == quote) & (depth == 0)).otherwise(
-            ((c == ",") & (depth == 0)) | (depth < 0) | (c == "\n")
-        )
-        at = state["at"] + 1
-        return F.struct(
-            depth.cast("int").alias("depth"), at.alias("at"),
-            F.when((state["end"] == 0) & ended, at).otherwise(state["end"]).alias("end"),
+    # an array of one or no value: its elements are worked out once, whatever reads them
+    found = F.when(F.regexp_like(text, F.lit(opening)), F.array(F.substr(text, start)))
+    return F.get(F.transform(found, _bib_value), 0)
+
+
+def _bib_value(rest: Column) -> Column:
+    """The value at the start of ``rest``."""
+    first = F.substring(rest, 1, 1)
+    marks = F.when(first == "{", r"[{}]|[^{}]+").when(first == '"', r'[{}"]|[^{}"]+').when(
+        first == "'", r"[{}']|[^{}']+"
+    ).otherwise(r"[{},\n]|[^{},\n]+")
+    runs = F.regexp_extract_all(rest, marks, F.lit(0))
+
+    def walk(state: Column, run: Column) -> Column:
+        depth = state["depth"] + F.when(run == "{", 1).when(run == "}", -1).otherwise(0)
+        quote = state["quote"]
+        ended = F.when(quote == "{", depth == 0).when(
+            quote != "", (state["at"] > 0) & (run == quote) & (depth == 0)
+        ).otherwise(((run == ",") & (depth == 0)) | (depth < 0) | (run == "\n"))
+        step = F.struct(
+            quote.alias("quote"), depth.cast("int").alias("depth"), (state["at"] + F.length(run)).alias("at"),
+            # a mark is one character: the value ends with it
+            F.when(ended, state["at"] + 1).otherwise(F.lit(0)).alias("end"),
         )
+        return F.when(state["end"] > 0, state).otherwise(step)
 
     nothing = F.lit(0).cast("int")
-    state = F.struct(nothing.alias("depth"), nothing.alias("at"), nothing.alias("end"))
+    quote = F.when(first.isin("{", '"', "'"), first).otherwise("")
+    state = F.struct(quote.alias("quote"), nothing.alias("depth"), nothing.alias("at"), nothing.alias("end"))
     # without an end the value runs to the end of the entry
-    end = F.aggregate(F.split(rest, ""), state, walk, lambda s: F.when(s["end"] == 0, s["at"] + 1).otherwise(s["end"]))
-    skip = F.when(quoted, 1).otherwise(0)
+    end = F.aggregate(runs, state, walk, lambda s: F.when(s["end"] == 0, s["at"] + 1).otherwise(s["end"]))
+    skip = F.when(first.isin("{", '"', "'"), 1).otherwise(0)
     value = F.substr(rest, F.lit(1) + skip, end - 1 - skip)
     return F.nullif(strip(F.translate(value, "{}", "")), F.lit(""))
 

@@ -510,7 +510,9 @@ def parse_bibtex(t):
     """Entries written by the exporter are read back, with apostrophes, commas and protected words."""
     from citespark.functions.citations import bibtex_of
 
-    papers = t.bib_papers.withColumn("abstract", F.expr("concat('It\\'s about {', title, '}, \"so\" to say')"))
+    # a small file of many rows is one task, unless they are dealt out
+    dealt = t.bib_papers.repartition(t.spark.sparkContext.defaultParallelism)
+    papers = dealt.withColumn("abstract", F.expr("concat('It\\'s about {', title, '}, \"so\" to say')"))
     made = papers.select(
         "paper_id", F.replace(bibtex_of(), F.lit("howpublished ="), F.lit("journal =")).alias("entry")
     )
