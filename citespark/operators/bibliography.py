@@ -59,7 +59,7 @@ def assign_positions(
     order: str,
     legacy_positions: bool = False,
 ) -> DataFrame:
-    """Positions of new rows: highest position of the document + 1, 2, ... in request order.
+    """Positions of new rows: highest position of the document + 1, 2, ... in request order, ties by paper.
 
     A ``position`` column of the requests wins where it is not NULL.
     ``legacy_positions`` treats a highest position of 0 as none at all, which
@@ -69,7 +69,7 @@ def assign_positions(
     if legacy_positions:
         highest = F.when(highest == 0, -1).otherwise(highest)
     wanted = F.col("position") if "position" in requests.columns else F.lit(None).cast("int")
-    numbered = timeline.running_number(requests, ["document_id"], [order], None, "_nth")
+    numbered = timeline.running_number(requests, ["document_id"], [order, "paper_id"], None, "_nth")
     return (
         numbered.join(max_positions(assignments), "document_id", "left")
         .withColumn("position", F.coalesce(wanted, (highest + F.col("_nth")).cast("int")))

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from citespark.operators import bibliography as bb
 from citespark.sources import feeds
 
 
@@ -17,3 +18,11 @@ def test_long_bibtex_values_cost_by_their_length(spark):
     ).first()
     assert (row["shortest"], row["longest"], row["n"]) == (len(word * 400) - 800 - 1, len("plain " * 2000) - 1, 200)
     assert time.perf_counter() - start < 30
+
+
+def test_requests_of_equal_order_are_numbered_by_paper(spark):
+    rows = [(1, 200005 - 100000 * i, 200005 + 100000 * (i > 1)) for i in range(4)]
+    requests = spark.createDataFrame(rows, "document_id long, paper_id long, seq long").coalesce(1)
+    none = spark.createDataFrame([], "document_id long, paper_id long, position int")
+    got = bb.assign_positions(requests, none, "seq").collect()
+    assert [r["position"] for r in sorted(got, key=lambda r: (r["seq"], r["paper_id"]))] == [0, 1, 2, 3]
