@@ -5,14 +5,18 @@ Three physical forms share one result contract (query, chunk, similarity, rank):
 * few queries (their number is checked against a bound): the query matrix goes
   to every task, chunk partitions are scanned where they lie, and each task
   hands on at most k rows per query. The chunk table is never shuffled.
-* many queries: chunks are grouped into cells, hot cells are split into blocks
-  of bounded size, and a query meets only blocks it can reach: by the triangle
-  inequality on angles no block outside ``angle(q, centre) - radius`` can hold
-  a pair above the threshold, so the result stays exact.
-* approximate: the same block join, but each query meets its nearest cells.
-
-Pairs live only inside a task as a bounded matrix product; what leaves a task
-are local winners, from which a window picks the global ones.
+* many queries: queries are dealt into parts of bounded size, neighbours
+  together, and chunks are grouped into cells. A task holds one part of queries
+  and reads the chunks cell by cell. A query meets only cells it can reach: by
+  the triangle inequality on angles no cell outside ``angle(q, centre) -
+  radius`` can hold a pair above the threshold, so the result stays exact. A
+  chunk is copied once per part that meets its cell; the number of parts, and
+  with it the copies of a chunk, stays the same until a part is full.
+* approximate: the same join, but each query meets its nearest cells.
+
+Pairs live only inside a task as a bounded matrix product in single precision.
+Those that its error leaves a chance are worked out in double precision; what
+leaves a task are winners alone.
 """
 
 from __future__ import annotations
@@ -33,7 +37,12 @@ from citespark.functions.vectors import require_dimension
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 65536
 QUERY_BLOCK_ROWS = 16384
+# queries and chunks of one product, and pairs worked out in double precision at a time
 MATRIX_ROWS = 512
+TILE_ROWS = 2048
+EXACT_PAIRS = 65536
+# parts into which queries are dealt; a chunk is copied to each at most once
+QUERY_PARTS = 48
 # Equal vectors must tie whatever block they sit in; sums differ in the last bits.
 SIMILARITY_DIGITS = 12
 ANGLE_SLACK = 1e-6
@@ -50,37 +59,147 @@ def _matrix(column: pa.Array) -> np.ndarray:
         return rows / length
 
 
-def _local_top_k(
-    queries: np.ndarray,
-    query_groups: np.ndarray | None,
-    chunks: np.ndarray,
-    chunk_ids: np.ndarray,
-    chunk_groups: np.ndarray | None,
-    k: int,
-    floor: np.ndarray,
-) -> pd.DataFrame:
-    """Best k chunks per query row above ``floor``, ties by chunk id."""
-    parts = []
-    for lo in range(0, len(queries), MATRIX_ROWS):
-        hi = min(lo + MATRIX_ROWS, len(queries))
-        sims = np.round(queries[lo:hi] @ chunks.T, SIMILARITY_DIGITS)
-        keep = sims >= floor[lo:hi, None]
-        if query_groups is not None:
-            keep &= query_groups[lo:hi, None] != chunk_groups[None, :]
-        sims = np.where(keep, sims, -np.inf)
-        if sims.shape[1] > k:
-            kth = np.partition(sims, -k, axis=1)[:, -k]
-            keep &= sims >= kth[:, None]
-        rows, cols = np.nonzero(keep)
-        parts.append(
-            pd.DataFrame({"q": rows + lo, "chunk": chunk_ids[cols], "similarity": sims[rows, cols]})
-        )
-    return _cut(pd.concat(parts, ignore_index=True), k)
+class _Block:
+    """Unit rows of queries that meet chunks; a pair counts from the floor of its query on.
+
+    ``related`` compares what the two rows of a pair hold as their group.
+    """
+
+    def __init__(self, unit: np.ndarray, own: np.ndarray | None, related: Callable | None, floor: float, tile: int) -> None:
+        usable = np.isfinite(unit).all(axis=1)
+        self.unit = np.where(usable[:, None], unit, 0.0)
+        self.small = self.unit.astype(np.float32)
+        self.own, self.related = own, related
+        self.floor = np.where(usable, floor, np.inf)
+        self.tile = max(1, min(tile, TILE_ROWS))
+        # twice the most by which a product of unit rows in single precision can be off
+        self.slack = (unit.shape[1] + 8) * 2.0**-23
+
+    def meet(self, rows: np.ndarray | None, held: np.ndarray, keys: np.ndarray, other: np.ndarray | None) -> None:
+        """All pairs of the queries with these numbers (None: all queries) and these chunks."""
+        usable = np.isfinite(held).all(axis=1)
+        if not usable.all():
+            held, keys, other = held[usable], keys[usable], None if other is None else other[usable]
+        small = held.astype(np.float32)
+        asked = self.small if rows is None else self.small[rows]
+        numbers = np.arange(len(asked)) if rows is None else rows
+        for at in range(0, len(held), self.tile):
+            cut = slice(at, at + self.tile)
+            part = np.ascontiguousarray(small[cut].T)
+            for lo in range(0, len(asked), MATRIX_ROWS):
+                near = asked[lo : lo + MATRIX_ROWS] @ part
+                self.take(near, numbers[lo : lo + MATRIX_ROWS], held[cut], keys[cut], None if other is None else other[cut])
+            self.settle()
+
+    def low(self, numbers: np.ndarray) -> np.ndarray:
+        return (self.floor[numbers] - self.slack).astype(np.float32)[:, None]
+
+    def exact(self, q: np.ndarray, held: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.empty(len(q))
+        for lo in range(0, len(q), EXACT_PAIRS):
+            cut = slice(lo, lo + EXACT_PAIRS)
+            out[cut] = np.einsum("ij,ij->i", self.unit[q[cut]], held[c[cut]])
+        return np.round(out, SIMILARITY_DIGITS)
+
+    def settle(self) -> None:
+        pass
+
+
+class _TopK(_Block):
+    """The best ``k`` chunks of each query, ties by chunk id."""
+
+    def __init__(self, unit, own, related, floor: float, tile: int, k: int) -> None:
+        super().__init__(unit, own, related, floor, tile)
+        self.k, self.best, self.found, self.pending = k, None, [], 0
+
+    def take(self, near, numbers, held, keys, other) -> None:
+        q, c = np.divmod(np.flatnonzero(near >= self.low(numbers)), near.shape[1])
+        if self.related is not None:
+            keep = self.related(self.own[numbers[q]], other[c])
+            q, c = q[keep], c[keep]
+        many = len(q) > 4 * self.k * len(numbers)
+        if many:
+            ranked = np.full(near.shape, -np.inf, np.float32)
+            ranked[q, c] = near[q, c]
+            kth = np.partition(ranked, -self.k, axis=1)[:, -self.k] - 2 * self.slack
+            keep = near[q, c] >= kth[q]
+            q, c = q[keep], c[keep]
+        query = numbers[q]
+        sims = self.exact(query, held, c)
+        keep = sims >= self.floor[query]
+        found = (query[keep], sims[keep], keys[c[keep]])
+        if many:
+            found = _best(*found, self.k)
+        if len(found[0]):
+            self.found.append(found)
+            self.pending += len(found[0])
+
+    def settle(self, last: bool = False) -> None:
+        """Cuts what was found to k rows a query, whose worst is the floor from then on."""
+        known = 0 if self.best is None else len(self.best[0])
+        if not self.found or (not last and 2 * self.pending < known):
+            return
+        parts = self.found if self.best is None else [self.best, *self.found]
+        self.best = _best(*(np.concatenate(column) for column in zip(*parts)), self.k)
+        self.found, self.pending = [], 0
+        q, sims, _ = self.best
+        full = np.bincount(q, minlength=len(self.floor)) >= self.k
+        ends = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
+        ends = ends[full[q[ends]]]
+        self.floor[q[ends]] = np.maximum(self.floor[q[ends]], sims[ends])
+
+    def rows(self, keys: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        self.settle(last=True)
+        if self.best is not None:
+            q, sims, chunk = self.best
+            yield pa.RecordBatch.from_pydict(
+                {"query_key": list(keys[q]), "chunk_key": list(chunk), "similarity": sims}, schema=schema
+            )
+
+
+class _Counts(_Block):
+    """How many chunks reach the floor of each query."""
+
+    def __init__(self, unit, own, related, floor: float, tile: int) -> None:
+        super().__init__(unit, own, related, floor, tile)
+        self.total = np.zeros(len(unit), np.int64)
+
+    def take(self, near, numbers, held, keys, other) -> None:
+        floor = self.floor[numbers]
+        sure = near >= (floor + self.slack).astype(np.float32)[:, None]
+        doubt = (near >= self.low(numbers)) & ~sure
+        if self.related is not None:
+            counted = self.related(self.own[numbers][:, None], other[None, :])
+            sure &= counted
+            doubt &= counted
+        self.total[numbers] += np.count_nonzero(sure, axis=1)
+        q, c = np.divmod(np.flatnonzero(doubt), near.shape[1])
+        passed = self.exact(numbers[q], held, c) >= floor[q]
+        self.total[numbers] += np.bincount(q[passed], minlength=len(numbers))
+
+    def rows(self, keys: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        met = np.flatnonzero(self.total)
+        yield pa.RecordBatch.from_pydict({"query_key": list(keys[met]), "n": self.total[met]}, schema=schema)
+
+
+def _best(q: np.ndarray, sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k rows of each query by similarity, ties by chunk id."""
+    tie = pd.factorize(keys, sort=True)[0] if keys.dtype == object else keys
+    order = np.lexsort((tie, -sims, q))
+    q = q[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])[: len(q)]
+    nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    keep = nth < k
+    return q[keep], sims[order][keep], keys[order][keep]
+
 
+def _differ(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return own != other
 
-def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = found.sort_values(["q", "similarity", "chunk"], ascending=[True, False, True])
-    return ordered.groupby("q", sort=False).head(k)
+
+def _share(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Rows of bucket numbers that are equal in one place at least."""
+    return (own == other).any(axis=1)
 
 
 def _strictly_above(threshold: float) -> float:
@@ -92,6 +211,17 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_pandas().to_numpy()
 
 
+def _groups(column: pa.Array, related: Callable | None) -> np.ndarray | None:
+    """What ``related`` compares: a value a row, or a row of bucket numbers."""
+    if related is None:
+        return None
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return _ids(column)
+
+
 def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int | None) -> DataFrame:
     """Key, vector and exclusion group of the rows that can take part.
 
@@ -130,50 +260,28 @@ def _result_schema(q: DataFrame, c: DataFrame) -> T.StructType:
     )
 
 
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    kinds = {T.StringType: pa.string(), T.DoubleType: pa.float64()}
+    return pa.schema([(f.name, kinds.get(type(f.dataType), pa.int64())) for f in schema])
+
+
 def _scan_chunks(
-    chunks: DataFrame, schema: T.StructType, head: pa.Table, k: int, threshold: float, has_group: bool
+    chunks: DataFrame, schema: T.StructType, head: pa.Table, make: Callable, has_group: bool
 ) -> DataFrame:
     """Every task scores its own chunk partition against all (few) queries."""
-    keys, unit = _ids(head["key"]), _matrix(head["vec"])
-    groups = _ids(head["grp"]) if has_group else None
-    shared = chunks.sparkSession.sparkContext.broadcast((keys, unit, groups))
-    arrow = pa.schema(
-        [
-            ("query_key", pa.string() if isinstance(schema[0].dataType, T.StringType) else pa.int64()),
-            ("chunk_key", pa.string() if isinstance(schema[1].dataType, T.StringType) else pa.int64()),
-            ("similarity", pa.float64()),
-        ]
+    related = _differ if has_group else None
+    shared = chunks.sparkSession.sparkContext.broadcast(
+        (_ids(head["key"]), _matrix(head["vec"]), _groups(head["grp"], related))
     )
+    arrow = _arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, unit, groups = shared.value
-        floor = np.full(len(unit), _strictly_above(threshold))
-        best = pd.DataFrame({"q": [], "chunk": [], "similarity": []})
+        keys, unit, own = shared.value
+        block = make(unit, own, related)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = _local_top_k(
-                unit,
-                groups,
-                _matrix(batch.column(1)),
-                _ids(batch.column(0)),
-                _ids(batch.column(2)) if groups is not None else None,
-                k,
-                floor,
-            )
-            if found.empty:
-                continue
-            best = found if best.empty else _cut(pd.concat([best, found], ignore_index=True), k)
-            full = best.groupby("q")["similarity"].agg(["size", "min"])
-            full = full[full["size"] >= k]
-            floor[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
-        if not best.empty:
-            out = {
-                "query_key": list(keys[best["q"].to_numpy(dtype=int)]),
-                "chunk_key": best["chunk"].tolist(),
-                "similarity": best["similarity"].to_numpy(dtype=float),
-            }
-            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            if batch.num_rows:
+                block.meet(None, _matrix(batch.column(1)), _ids(batch.column(0)), _groups(batch.column(2), related))
+        yield from block.rows(keys, arrow)
 
     return chunks.mapInArrow(scan, schema)
 
@@ -274,76 +382,112 @@ def _reachable(index: CellIndex, threshold: float, n_probe: int | None) -> Calla
     return cells
 
 
-_BLOCK = ["cell", "part", "qpart"]
-
-
-def _dealt(
-    q: DataFrame, indexed: DataFrame, index: CellIndex, threshold: float, n_probe: int | None, query_blocks: int
-) -> tuple[DataFrame, DataFrame]:
-    """Queries and chunks with the blocks (``_BLOCK``) in which they meet."""
+def _placed(q: DataFrame, index: CellIndex, threshold: float, n_probe: int | None) -> DataFrame:
+    """Queries with the cells they have to meet and the cell they lie in (``home``)."""
     # plain arrays: a broadcast value of our own class would need this package on the workers
     shared = q.sparkSession.sparkContext.broadcast((index.centres, index.radius, index.blocks))
 
-    @F.pandas_udf("array<int>")
-    def targets(vec: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<home:int,cells:array<int>>")
+    def place(vec: pd.Series) -> pd.DataFrame:
         rows = np.stack(vec.to_list()).astype(np.float64)
         with np.errstate(invalid="ignore", divide="ignore"):
             rows = np.nan_to_num(rows / np.linalg.norm(rows, axis=1, keepdims=True))
-        return pd.Series(_reachable(CellIndex(*shared.value), threshold, n_probe)(rows))
-
-    # a lookup of at most n_cells entries: cell -> number of blocks
-    n_blocks = F.array(*[F.lit(int(b)) for b in index.blocks])
-    salt = F.abs(F.xxhash64("key"))
-    left = (
-        q.withColumn("cell", F.explode(targets("vec")))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.get(n_blocks, F.col("cell")) - 1)))
-        .withColumn("qpart", F.pmod(salt, F.lit(query_blocks)).cast("int"))
-    )
-    right = indexed.withColumn(
-        "part", F.pmod(salt, F.get(n_blocks, F.col("cell"))).cast("int")
-    ).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    return left, right
+        index = CellIndex(*shared.value)
+        home = (rows @ index.centres.T).argmax(axis=1).astype("int32")
+        return pd.DataFrame({"home": home, "cells": _reachable(index, threshold, n_probe)(rows)})
+
+    placed = q.withColumn("_place", place(F.col("vec")))
+    return placed.select("key", "vec", "grp", F.col("_place.home").alias("home"), F.col("_place.cells").alias("cells"))
+
+
+def _part_rows(n: int, query_block_rows: int) -> int:
+    """Queries of one part: as many as leave ``QUERY_PARTS`` parts, but no small fraction of a block and no more than fit a task."""
+    return min(max(math.ceil(n / QUERY_PARTS), min(query_block_rows, MATRIX_ROWS)), QUERY_BLOCK_ROWS)
 
 
 def _block_join(
-    q: DataFrame,
-    indexed: DataFrame,
+    placed: DataFrame,
+    chunks: DataFrame,
     schema: T.StructType,
-    index: CellIndex,
-    k: int,
-    threshold: float,
-    n_probe: int | None,
-    query_blocks: int,
-    has_group: bool,
+    make: Callable,
+    related: Callable | None,
+    query_block_rows: int,
 ) -> DataFrame:
-    """Equi-join of query blocks and chunk blocks; each pair is one bounded task group."""
-    left, right = _dealt(q, indexed, index, threshold, n_probe, query_blocks)
-    names = [f.name for f in schema]
-
-    def score(lq: pa.Table, rc: pa.Table) -> pa.Table:
-        if not lq.num_rows or not rc.num_rows:
-            return pa.Table.from_pydict({n: [] for n in names}).cast(out_schema)
-        keys = _ids(lq.column("key"))
-        found = _local_top_k(
-            _matrix(lq.column("vec")),
-            _ids(lq.column("grp")) if has_group else None,
-            _matrix(rc.column("vec")),
-            _ids(rc.column("key")),
-            _ids(rc.column("grp")) if has_group else None,
-            k,
-            np.full(len(keys), _strictly_above(threshold)),
-        )
-        data = [keys[found["q"].to_numpy(dtype=int)], found["chunk"].to_numpy(), found["similarity"]]
-        return pa.Table.from_pydict(dict(zip(names, map(list, data), strict=True)), schema=out_schema)
+    """Every part of queries (:func:`_placed`) meets the chunks (key, vec, grp, cell) of the cells that it needs.
 
-    out_schema = pa.schema(
-        [
-            (f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64())
-            for f in schema[:2]
-        ]
-        + [("similarity", pa.float64())]
+    A task holds the queries of one part and the winners of each; chunks pass it in batches.
+    """
+    sizes = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}
+    homes = sorted(sizes)
+    starts = np.cumsum([0, *[sizes[h] for h in homes]]).tolist()
+    rows = _part_rows(starts[-1], query_block_rows)
+    n_parts = max(1, math.ceil(starts[-1] / rows))
+    # queries lie in the order of their homes, by a hash of the key within one; each stretch of that order is a part
+    span = [F.array(*[F.lit(int(v)) for v in values]) for values in ([0, *starts], [1, *[sizes[h] for h in homes], 1])]
+    at = F.array_position(F.array(*[F.lit(int(h)) for h in homes]), F.col("home")).cast("int") if homes else F.lit(0)
+    place = F.get(span[0], at) + F.pmod(F.xxhash64("key"), F.get(span[1], at))
+    parted = placed.withColumn("qpart", F.floor(place / rows).cast("int"))
+    needed = parted.select("qpart", F.explode("cells").alias("cell")).distinct()
+    none = F.lit(None)
+    left = parted.select(
+        "qpart", F.lit(0).alias("side"), F.lit(-1).alias("cell"), F.col("key").alias("query_key"),
+        none.cast(_type_of(chunks, "key")).alias("chunk_key"), "vec", "grp", "cells",
+    )
+    right = chunks.join(F.broadcast(needed), "cell").select(
+        "qpart", F.lit(1).alias("side"), "cell", none.cast(_type_of(placed, "key")).alias("query_key"),
+        F.col("key").alias("chunk_key"), "vec", "grp", none.cast("array<int>").alias("cells"),
     )
-    return left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(score, schema)
+    both = left.unionByName(right).repartition(n_parts, "qpart").sortWithinPartitions("qpart", "side", "cell")
+    arrow = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, block, keys, meets = None, [], None, None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = [batch.column(name).to_numpy() for name in ("qpart", "side", "cell")]
+            changes = np.flatnonzero(np.logical_or.reduce([np.diff(m) != 0 for m in marks])) + 1
+            for lo, hi in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+                if marks[0][lo] != part:
+                    if block is not None:
+                        yield from block.rows(keys, arrow)
+                    part, waiting, block = marks[0][lo], [], None
+                piece = batch.slice(lo, hi - lo)
+                if marks[1][lo] == 0:
+                    waiting.append(piece)
+                    continue
+                if block is None:
+                    asked = pa.Table.from_batches(waiting)
+                    waiting, keys, meets = [], _ids(asked["query_key"]), _met_by(asked["cells"])
+                    block = make(_matrix(asked["vec"]), _groups(asked["grp"], related), related)
+                numbers = meets[int(marks[2][lo])]
+                block.meet(
+                    None if len(numbers) == len(keys) else numbers,
+                    _matrix(piece.column("vec")), _ids(piece.column("chunk_key")), _groups(piece.column("grp"), related),
+                )
+        if block is not None:
+            yield from block.rows(keys, arrow)
+
+    return both.mapInArrow(run, schema)
+
+
+def _type_of(df: DataFrame, column: str) -> T.DataType:
+    return df.schema[column].dataType
+
+
+def _met_by(cells: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Numbers of the queries that meet each cell."""
+    lists = cells.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    query = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.argsort(flat, kind="stable")
+    values, first = np.unique(flat[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(query[order], first[1:]), strict=True))
+
+
+def _top_k_maker(k: int, min_similarity: float, tile: int = BLOCK_ROWS) -> Callable:
+    floor = _strictly_above(min_similarity)
+    return lambda unit, own, related: _TopK(unit, own, related, floor, tile, k)
 
 
 def similarity_join(
@@ -372,15 +516,14 @@ def similarity_join(
     """
     q = _vectors(queries, query_id, vector, exclude, None)
     head = q.limit(broadcast_queries + 1).toArrow()
+    make = _top_k_maker(k, min_similarity, block_rows)
     if not head.num_rows:
         c = _vectors(chunks, chunk_id, vector, exclude, None)
         found = q.sparkSession.createDataFrame([], _result_schema(q, c))
     elif head.num_rows <= broadcast_queries:
         size = _common_dimension([len(v) for v in head["vec"]], dim)
         c = _vectors(chunks, chunk_id, vector, exclude, size)
-        found = _scan_chunks(
-            c, _result_schema(q, c), head, k, min_similarity, exclude is not None
-        )
+        found = _scan_chunks(c, _result_schema(q, c), head, make, exclude is not None)
     else:
         span = q.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
         c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension(list(span), dim))
@@ -388,10 +531,9 @@ def similarity_join(
             centres = train_centres(c, "vec", n_cells)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
-        parts = math.ceil(q.count() / query_block_rows)
         found = _block_join(
-            q, indexed, _result_schema(q, c), index, k, min_similarity, None, parts,
-            exclude is not None,
+            _placed(q, index, min_similarity, None), indexed, _result_schema(q, c), make,
+            None if exclude is None else _differ, query_block_rows,
         )
     return top_k(
         found.withColumnsRenamed({"query_key": query_id, "chunk_key": chunk_id}), query_id, chunk_id, k
@@ -421,37 +563,17 @@ def count_above(
     """
     q = _vectors(queries, query_id, vector, exclude, None)
     head = q.limit(broadcast_queries + 1).toArrow()
-    has_group = exclude is not None
     floor = _strictly_above(min_similarity)
+    schema = T.StructType([T.StructField("query_key", _type_of(q, "key")), T.StructField("n", T.LongType())])
+
+    def make(unit: np.ndarray, own: np.ndarray | None, related: Callable | None) -> _Counts:
+        return _Counts(unit, own, related, floor, block_rows)
 
-    def counts(asked: np.ndarray, own: np.ndarray | None, held: np.ndarray, other: np.ndarray | None) -> np.ndarray:
-        out = np.zeros(len(asked), np.int64)
-        for lo in range(0, len(asked), MATRIX_ROWS):
-            keep = np.round(asked[lo : lo + MATRIX_ROWS] @ held.T, SIMILARITY_DIGITS) >= floor
-            if own is not None:
-                keep &= own[lo : lo + MATRIX_ROWS, None] != other[None, :]
-            out[lo : lo + MATRIX_ROWS] = keep.sum(axis=1)
-        return out
-
-    key_type = q.schema["key"].dataType
-    schema = T.StructType([T.StructField("query_key", key_type), T.StructField("n", T.LongType())])
-    arrow = pa.schema([("query_key", pa.string() if isinstance(key_type, T.StringType) else pa.int64()), ("n", pa.int64())])
     if not head.num_rows:
         found = q.sparkSession.createDataFrame([], schema)
     elif head.num_rows <= broadcast_queries:
         c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension([len(v) for v in head["vec"]], dim))
-        shared = q.sparkSession.sparkContext.broadcast((_ids(head["key"]), _matrix(head["vec"]), _ids(head["grp"]) if has_group else None))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, unit, own = shared.value
-            total = np.zeros(len(unit), np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    total += counts(unit, own, _matrix(batch.column(1)), _ids(batch.column(2)) if has_group else None)
-            met = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"query_key": list(keys[met]), "n": total[met]}, schema=arrow)
-
-        found = c.mapInArrow(scan, schema)
+        found = _scan_chunks(c, schema, head, make, exclude is not None)
     else:
         span = q.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
         c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension(list(span), dim))
@@ -459,17 +581,10 @@ def count_above(
             centres = train_centres(c, "vec", n_cells)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
-        left, right = _dealt(q, indexed, index, min_similarity, None, math.ceil(q.count() / query_block_rows))
-
-        def block(lq: pa.Table, rc: pa.Table) -> pa.Table:
-            if not lq.num_rows or not rc.num_rows:
-                return arrow.empty_table()
-            own, other = (_ids(lq.column("grp")), _ids(rc.column("grp"))) if has_group else (None, None)
-            n = counts(_matrix(lq.column("vec")), own, _matrix(rc.column("vec")), other)
-            met = np.flatnonzero(n)
-            return pa.Table.from_pydict({"query_key": list(_ids(lq.column("key"))[met]), "n": n[met]}, schema=arrow)
-
-        found = left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(block, schema)
+        found = _block_join(
+            _placed(q, index, min_similarity, None), indexed, schema, make,
+            None if exclude is None else _differ, query_block_rows,
+        )
     return found.groupBy(F.col("query_key").alias(query_id)).agg(F.sum("n").alias("above"))
 
 
@@ -498,9 +613,9 @@ def similarity_join_ivf(
         F.lit(None).cast("string").alias("grp"),
         "cell",
     )
-    parts = max(1, math.ceil(q.count() / query_block_rows))
     found = _block_join(
-        q, c, _result_schema(q, c), index, k, min_similarity, n_probe, parts, False
+        _placed(q, index, min_similarity, n_probe), c, _result_schema(q, c),
+        _top_k_maker(k, min_similarity), None, query_block_rows,
     )
     return top_k(
         found.withColumnsRenamed({"query_key": query_id, "chunk_key": chunk_id}), query_id, chunk_id, k

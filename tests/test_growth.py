@@ -2,9 +2,11 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from citespark.operators import bibliography as bb
+from citespark.operators import similarity as sim
 from citespark.sources import feeds
 
 
@@ -26,3 +28,36 @@ def test_requests_of_equal_order_are_numbered_by_paper(spark):
     none = spark.createDataFrame([], "document_id long, paper_id long, position int")
     got = bb.assign_positions(requests, none, "seq").collect()
     assert [r["position"] for r in sorted(got, key=lambda r: (r["seq"], r["paper_id"]))] == [0, 1, 2, 3]
+
+
+def test_small_blocks_do_not_multiply_the_rows(spark):
+    """2 queries and 2 chunks a block: parts of queries grow with the table, their number does not."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(900, 8)).tolist())]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    chunks = queries.withColumnRenamed("query_id", "chunk_id")
+    options = {"min_similarity": 0.3, "broadcast_queries": 0, "n_cells": 4, "block_rows": 2, "query_block_rows": 2}
+    start = time.perf_counter()
+    got = sim.similarity_join(queries, chunks, k=5, **options)
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = np.argsort(-np.round(unit @ unit.T, 12), axis=1, kind="stable")[:, :5]
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [
+        (q, n + 1, c) for q in range(900) for n, c in enumerate(want[q].tolist())
+    ]
+    above = {r.query_id: r.above for r in sim.count_above(queries, chunks, **options).collect()}
+    assert above == dict(enumerate((unit @ unit.T > 0.3).sum(axis=1).tolist()))
+    assert time.perf_counter() - start < 45
+
+
+def test_pairs_next_to_the_threshold_are_decided_in_double(spark):
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    edge = np.arccos(0.6)
+    near = [edge - 1e-9, edge + 1e-9, edge - 1e-7, edge + 1e-7]
+    queries = spark.createDataFrame([(0, turn(0.0)), (1, turn(0.0))], "query_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(i, turn(a)) for i, a in enumerate(near)], "chunk_id long, embedding array<double>")
+    for physical in ({}, {"broadcast_queries": 1, "n_cells": 2}):
+        got = sim.similarity_join(queries, chunks, k=4, min_similarity=0.6, **physical)
+        assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [(0, 1, 2), (0, 2, 0), (1, 1, 2), (1, 2, 0)]
+        above = sim.count_above(queries, chunks, min_similarity=0.6, **physical)
+        assert sorted((r.query_id, r.above) for r in above.collect()) == [(0, 2), (1, 2)]
