@@ -634,35 +634,50 @@ def similarity_join_lsh(
     bucket_length: float = 0.5,
     tables: int = 8,
     seed: int = 7,
+    query_block_rows: int = QUERY_BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate top-k with random-projection buckets on unit vectors."""
+    """Approximate top-k with random-projection buckets on unit vectors.
+
+    A pair counts if it shares a bucket in one of the ``tables``. Buckets are not
+    groups of tasks, as a bucket may hold most of the rows: a product is formed
+    once however many buckets two rows share, and only pairs that may be among
+    the best are asked for a common bucket.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     from citespark.functions.vectors import norm
 
-    def unit(df: DataFrame, key: str, name: str) -> DataFrame:
+    def unit(df: DataFrame, key: str) -> DataFrame:
         v = F.col(vector).cast("array<double>")
         return (
-            df.select(F.col(key).alias(name), v.alias("v"))
+            df.select(F.col(key).alias("key"), v.alias("v"))
             .withColumn("n", norm(F.col("v")))
             .filter("n > 0")
-            .select(name, array_to_vector(F.transform("v", lambda x: x / F.col("n"))).alias("features"))
+            .select("key", F.transform("v", lambda x: x / F.col("n")).alias("vec"))
+            .withColumn("features", array_to_vector("vec"))
         )
 
-    a, b = unit(queries, query_id, "query_key"), unit(chunks, chunk_id, "chunk_key")
+    a, b = unit(queries, query_id), unit(chunks, chunk_id)
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length,
         numHashTables=tables, seed=seed,
     ).fit(b)
-    # on unit vectors: distance^2 = 2 - 2 cosine
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * min_similarity))
-    pairs = model.approxSimilarityJoin(a, b, reach, "distance").select(
-        F.col("datasetA.query_key").alias(query_id),
-        F.col("datasetB.chunk_key").alias(chunk_id),
-        F.round(1.0 - F.col("distance") * F.col("distance") / 2.0, SIMILARITY_DIGITS).alias("similarity"),
+
+    def hashed(df: DataFrame) -> DataFrame:
+        # a table's hash is a vector of one number
+        buckets = F.array(*[vector_to_array(F.get("hashes", F.lit(i)))[0].cast("long") for i in range(tables)])
+        return model.transform(df).select("key", "vec", buckets.alias("grp"))
+
+    one = F.lit(0).cast("int")
+    a = hashed(a).withColumns({"home": one, "cells": F.array(one)})
+    b = hashed(b).withColumn("cell", one)
+    found = _block_join(
+        a, b, _result_schema(a, b), _top_k_maker(k, min_similarity), _share, query_block_rows
+    )
+    return top_k(
+        found.withColumnsRenamed({"query_key": query_id, "chunk_key": chunk_id}), query_id, chunk_id, k
     )
-    return top_k(pairs.filter(F.col("similarity") > min_similarity), query_id, chunk_id, k)
 
 
 def paper_neighbours(

@@ -61,3 +61,25 @@ def test_pairs_next_to_the_threshold_are_decided_in_double(spark):
         assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [(0, 1, 2), (0, 2, 0), (1, 1, 2), (1, 2, 0)]
         above = sim.count_above(queries, chunks, min_similarity=0.6, **physical)
         assert sorted((r.query_id, r.above) for r in above.collect()) == [(0, 2), (1, 2)]
+
+
+def test_one_bucket_with_all_rows_stays_in_bounds(spark):
+    """All rows share one bucket of every table; its pairs are products in a task, not rows of a join."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate((rng.normal(size=(4000, 16)) + 0.5).tolist())]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    chunks = queries.withColumnRenamed("query_id", "chunk_id")
+    start = time.perf_counter()
+    near = sim.similarity_join_lsh(queries, chunks, k=5, min_similarity=0.2, bucket_length=100.0)
+    exact = sim.similarity_join(queries, chunks, k=5, min_similarity=0.2)
+    assert sim.recall(exact, near, ["query_id", "chunk_id"]).first()["recall"] == 1.0
+    assert time.perf_counter() - start < 40
+
+
+def test_rows_without_a_common_bucket_do_not_meet(spark):
+    rows = [(i, [1.0, 0.05 * i]) for i in range(12)]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    chunks = queries.withColumnRenamed("query_id", "chunk_id")
+    near = sim.similarity_join_lsh(queries, chunks, k=12, min_similarity=0.5, bucket_length=0.01, tables=1)
+    pairs = {(r.query_id, r.chunk_id) for r in near.collect()}
+    assert {(i, i) for i in range(12)} <= pairs and len(pairs) < 144
