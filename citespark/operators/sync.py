@@ -53,10 +53,19 @@ def libraries_to_fetch(
     return chosen.unionByName(personal.join(any_choice, key, "left_anti"))
 
 
+def _selected_only(collections: DataFrame, selected: DataFrame, key: str) -> DataFrame:
+    """Collections that their user has selected: few of those that the libraries hold, so few are grouped.
+
+    The distinct pairs are hashed, so that the collections pass them without being sorted.
+    """
+    wanted = selected.select(key, "collection_key").distinct()
+    return collections.join(wanted.hint("shuffle_hash"), [key, "collection_key"], "left_semi")
+
+
 def locate_collections(selected: DataFrame, collections: DataFrame, key: str = "user_id") -> DataFrame:
     """Library of every selected collection: the named one, else the last of the user's own
     libraries (in ``library_order``) that holds the key; keys found nowhere stay without a library."""
-    last = collections.groupBy(key, "collection_key").agg(
+    last = _selected_only(collections, selected, key).groupBy(key, "collection_key").agg(
         F.max_by("library_id", "library_order").alias("_found")
     )
     return selected.join(last, [key, "collection_key"], "left").select(
@@ -67,7 +76,7 @@ def locate_collections(selected: DataFrame, collections: DataFrame, key: str = "
 def migrate_collections(selected: DataFrame, collections: DataFrame, key: str = "user_id") -> DataFrame:
     """All selected collections in the new format; for bare keys the first of the user's own
     libraries holding them counts, unknown bare keys are dropped."""
-    first = collections.groupBy(key, "collection_key").agg(
+    first = _selected_only(collections, selected, key).groupBy(key, "collection_key").agg(
         F.min_by("library_id", "library_order").alias("_found")
     )
     return (

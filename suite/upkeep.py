@@ -238,7 +238,8 @@ def _collections(t):
         "concat('groups/', CAST(s_nationkey % 6 AS STRING)) AS library_id", "s_nationkey % 6 AS library_order",
     ).distinct()
     users = t.customer.selectExpr("c_custkey AS user_id", "c_custkey % 3 AS kind")
-    return users.join(kinds, "kind").drop("kind")
+    # at most 30 keys x 6 libraries, whatever the number of suppliers; three kinds make three tasks of an exchange
+    return users.join(F.broadcast(kinds), "kind").drop("kind")
 
 
 @query("parse_selection", f"WITH {_SELECTIONS} SELECT * FROM sel")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citespark.operators import bibliography as bb
 from citespark.operators import similarity as sim
+from citespark.operators import sync as sy
 from citespark.sources import feeds
 
 
@@ -83,3 +84,16 @@ def test_rows_without_a_common_bucket_do_not_meet(spark):
     near = sim.similarity_join_lsh(queries, chunks, k=12, min_similarity=0.5, bucket_length=0.01, tables=1)
     pairs = {(r.query_id, r.chunk_id) for r in near.collect()}
     assert {(i, i) for i in range(12)} <= pairs and len(pairs) < 144
+
+
+def test_only_selected_collections_are_grouped(spark):
+    selected = spark.createDataFrame([(u, 0, "K", None) for u in range(20)], "user_id long, position int, collection_key string, library_id string")
+    collections = spark.range(20).selectExpr("id AS user_id", "explode(array('K', 'L', 'M')) AS collection_key").selectExpr(
+        "*", "explode(array(1, 2)) AS library_order", "concat('groups/', user_id) AS library_id"
+    )
+    for step in (sy.locate_collections, sy.migrate_collections):
+        out = step(selected, collections)
+        assert sorted((r.user_id, r.library_id) for r in out.collect()) == [(u, f"groups/{u}") for u in range(20)]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        grouped = plan[next(plan.index(f) for f in ("max_by", "min_by") if f in plan):]
+        assert "LeftSemi" in grouped
