@@ -117,11 +117,11 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
     The pieces between matches come from splitting at the same pattern, so a
     match starts after all earlier pieces and matches. Word edges are those of the editor.
+    A text is searched once, and split only if it has matches.
     """
-    pattern = pattern.replace(r"\b", ASCII_EDGE)
-    full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    gaps = F.split(text, pattern, -1)
+    # a match between word edges is its own value and starts with a digit, which is tried first
+    whole = pattern.startswith(r"\b")
+    edged = (r"(?=\d)" if whole else "") + pattern.replace(r"\b", ASCII_EDGE)
     start = F.struct(
         F.lit(0).cast("int").alias("offset"),
         F.array().cast("array<int>").alias("starts"),
@@ -134,22 +134,28 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
             F.concat(state["starts"], F.array(at)).alias("starts"),
         )
 
-    pairs = F.zip_with(
-        F.slice(gaps, 1, F.size(full)), full, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))
-    )
-    starts = F.aggregate(pairs, start, step, lambda s: s["starts"])
-    return F.transform(
-        F.arrays_zip(value.alias("v"), starts.alias("s"), full.alias("f")),
-        lambda m: F.struct(
-            F.lit(kind).alias("type"),
-            m["v"].alias("value"),
-            m["s"].alias("position"),
-            m["f"].alias("full_match"),
-        ),
-    )
+    def placed(full: Column) -> Column:
+        gaps = F.split(text, edged, -1)
+        pairs = F.zip_with(
+            F.slice(gaps, 1, F.size(full)), full, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))
+        )
+        starts = F.aggregate(pairs, start, step, lambda s: s["starts"])
+        return F.transform(
+            F.arrays_zip(starts.alias("s"), full.alias("f")),
+            lambda m: F.struct(
+                F.lit(kind).alias("type"),
+                (m["f"] if whole else F.regexp_extract(m["f"], pattern, 1)).alias("value"),
+                m["s"].alias("position"),
+                m["f"].alias("full_match"),
+            ),
+        )
+
+    # an array of one or no list of matches: its element is worked out once, whatever reads it
+    found = F.filter(F.array(F.regexp_extract_all(text, F.lit(edged), F.lit(0))), lambda f: F.size(f) > 0)
+    return F.flatten(F.transform(found, placed))
 
 
 def find_all_identifiers(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per match of every highlighting pattern; overlaps repeat."""
-    found = F.concat(*[_matches(F.col(text), kind, p) for kind, p in HIGHLIGHT_PATTERNS])
-    return df.select(key, F.inline(found))
+    found = F.transform(F.array(text), lambda t: F.concat(*[_matches(t, kind, p) for kind, p in HIGHLIGHT_PATTERNS]))
+    return df.select(key, F.inline(F.flatten(found)))
