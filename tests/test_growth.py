@@ -103,7 +103,7 @@ def test_only_selected_collections_are_grouped(spark):
 def test_texts_are_searched_once_per_pattern(spark):
     """All patterns together take little more than one search of the texts for each."""
     words = "the 10 papers of 2021, vol. 3, cite no identifier; "
-    texts = spark.range(0, 64, 1, 8).select("id", F.concat(F.repeat(F.lit(words), 3000), F.col("id").cast("string")).alias("x")).cache()
+    texts = spark.range(0, 64, 1, 8).select("id", F.concat(F.repeat(F.lit(words), 12000), F.col("id").cast("string")).alias("x")).cache()
     texts.count()
     once = [F.sum(F.size(F.regexp_extract_all("x", F.lit(p.replace(r"\b", ids.ASCII_EDGE)), F.lit(0)))) for _, p in ids.HIGHLIGHT_PATTERNS]
 
@@ -115,4 +115,4 @@ def test_texts_are_searched_once_per_pattern(spark):
     plain = min(seconds(texts.select(*once)) for _ in range(2))
     found = min(seconds(ids.find_all_identifiers(texts, "id", "x")) for _ in range(2))
     texts.unpersist()
-    assert found < 2 * plain + 1
+    assert found < 2 * plain, (found, plain)
