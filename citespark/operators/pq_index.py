@@ -30,8 +30,10 @@ from citespark.operators.similarity import SIMILARITY_DIGITS, top_k
 
 #: Rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Entries of a cell that one task compares with the queries of a block, and queries in a block.
-BLOCK_ROWS, QUERY_ROWS = 65_536, 1_024
+#: Entries that one task compares with a part of the queries; most queries of a part, and those with tables at a time.
+BLOCK_ROWS, PART_QUERIES, QUERY_ROWS = 1_000_000, 16_384, 1_024
+#: Parts of queries to aim at: an entry is copied to each.
+QUERY_PARTS = 48
 CODES = 256
 ENTRIES = "key long, cell int, codes binary, version long"
 
@@ -176,58 +178,63 @@ def search(
     """(query_id, chunk_id, similarity, rank): approximate top-k above a threshold, with exact similarities.
 
     The ``rerank`` best entries of each query by their codes are compared exactly.
-    Cells of many entries are dealt over blocks, queries of one cell over blocks of
-    their own; only codes are copied to them, never vectors.
+    A task holds a part of the queries and a block of the entries, cell by cell, so
+    that it hands on ``rerank`` entries of a query for all its cells together; only
+    codes are copied to the parts, never vectors. Parts grow with the queries, and
+    there are more than ``QUERY_PARTS`` of them only when a part is full.
     """
     spark: SparkSession = queries.sparkSession
     now = live(entries).select("key", "cell", "codes")
     sizes = {r["cell"]: r["count"] for r in now.groupBy("cell").count().collect()}
-    blocks = [math.ceil(sizes.get(cell, 0) / BLOCK_ROWS) for cell in range(len(model.centres))]
-    shared = spark.sparkContext.broadcast((model.centres, model.words, np.array(blocks) > 0))
-
-    @F.pandas_udf("array<int>")
-    def cells(vec: pd.Series) -> pd.Series:
-        centres, _, filled = shared.value
-        near = unit_rows(np.stack(vec.to_list()).astype(np.float64)) @ centres.T
-        ranked = np.argsort(-np.where(filled[None, :], near, -np.inf), axis=1, kind="stable")[:, : min(n_probe, int(filled.sum()))]
-        return pd.Series(list(ranked.astype("int32")))
-
+    filled = np.array([sizes.get(cell, 0) > 0 for cell in range(len(model.centres))])
+    blocks = max(1, math.ceil(sum(sizes.values()) / BLOCK_ROWS))
+    shared = spark.sparkContext.broadcast((model.centres, model.words, filled))
     q = _usable(queries, query_id, vector, model.dim)
-    n_blocks = F.array(*(F.lit(b) for b in blocks))
-    parts = max(1, math.ceil(q.count() * n_probe / max(1, sum(map(bool, blocks))) / QUERY_ROWS))
+    n = q.count()
+    parts = max(1, math.ceil(n / min(PART_QUERIES, max(QUERY_ROWS, math.ceil(n / QUERY_PARTS)))))
     salt = F.abs(F.xxhash64("key") % 1_000_003)
-    left = (
-        q.withColumn("cell", F.explode(cells("vec")))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.get(n_blocks, F.col("cell")) - 1)))
-        .withColumn("qpart", (salt % parts).cast("int"))
-    )
-    right = now.withColumn("part", (salt % F.get(n_blocks, F.col("cell"))).cast("int")).withColumn(
-        "qpart", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
+    left = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("qpart", (salt % parts).cast("int"))
+    right = now.withColumn("part", (salt % blocks).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("near", pa.float64())])
         if not asked.num_rows or not held.num_rows:
             return schema.empty_table()
-        centres, words, _ = shared.value
-        ids = held.column("key").to_numpy()
-        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        x = unit_rows(np.array(asked.column("vec").to_pylist(), np.float64))
-        base = x @ centres[asked.column("cell")[0].as_py()]
-        tables = np.einsum("qpd,pcd->qpc", x.reshape(len(x), len(words), -1), words)
+        centres, words, filled = shared.value
+        place = held.column("cell").to_numpy()
+        order = np.argsort(place, kind="stable")
+        ids = held.column("key").to_numpy()[order]
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        edges = np.searchsorted(place[order], np.arange(len(centres) + 1))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for query, start, table in zip(asked.column("key").to_numpy(), base, tables):
-            near = start + sum(table[part][codes[:, part]] for part in range(len(words)))
-            best = np.argpartition(-near, rerank - 1)[:rerank] if len(near) > rerank else np.arange(len(near))
-            out.append((np.full(len(best), query), ids[best], near[best]))
+        for lo in range(0, asked.num_rows, QUERY_ROWS):
+            some = asked.slice(lo, QUERY_ROWS)
+            x = unit_rows(np.array(some.column("vec").to_pylist(), np.float64))
+            base = x @ centres.T
+            cells = np.argsort(-np.where(filled[None, :], base, -np.inf), axis=1, kind="stable")[:, : min(n_probe, int(filled.sum()))]
+            tables = np.einsum("qpd,pcd->qpc", x.reshape(len(x), len(words), -1), words)
+            for query, start, table, met in zip(some.column("key").to_numpy(), base, tables, cells):
+                rows = np.concatenate([np.arange(edges[cell], edges[cell + 1]) for cell in met])
+                if not len(rows):
+                    continue
+                near = np.concatenate([np.full(edges[cell + 1] - edges[cell], start[cell]) for cell in met])
+                own = codes[rows]
+                for part in range(len(words)):
+                    near += table[part][own[:, part]]
+                best = np.argpartition(-near, rerank - 1)[:rerank] if len(near) > rerank else np.arange(len(near))
+                out.append((np.full(len(best), query), ids[rows[best]], near[best]))
+        if not out:
+            return schema.empty_table()
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
-    by = ["cell", "part", "qpart"]
+    by = ["part", "qpart"]
     near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, "query long, key long, near double")
     order = Window.partitionBy("query").orderBy(F.desc("near"), "key")
     kept = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rerank).select("query", "key")
-    exact = kept.join(_usable(vectors, chunk_id, vector, model.dim), "key")
-    exact = exact.join(q.select(F.col("key").alias("query"), F.col("vec").alias("asked")), "query")
+    # vectors travel as they are stored and are widened where they are compared
+    stored = vectors.filter(F.size(vector) > 0).select(F.col(chunk_id).cast("long").alias("key"), require_dimension(F.col(vector), model.dim).alias("vec"))
+    exact = kept.join(stored, "key").join(q.select(F.col("key").alias("query"), F.col("vec").alias("asked")), "query")
+    exact = exact.withColumn("vec", F.col("vec").cast("array<double>"))
     found = exact.withColumn("similarity", F.round(_cosine(F.col("vec"), F.col("asked")), SIMILARITY_DIGITS))
     found = found.filter(F.col("similarity") > min_similarity)
     found = found.select(F.col("query").alias(query_id), F.col("key").alias(chunk_id), "similarity")

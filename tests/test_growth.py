@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions import identifiers as ids
 from citespark.operators import bibliography as bb
+from citespark.operators import pq_index
 from citespark.operators import similarity as sim
 from citespark.operators import sync as sy
 from citespark.sources import feeds
@@ -116,3 +117,15 @@ def test_texts_are_searched_once_per_pattern(spark):
     found = min(seconds(ids.find_all_identifiers(texts, "id", "x")) for _ in range(2))
     texts.unpersist()
     assert found < 2 * plain, (found, plain)
+
+
+def test_all_cells_of_a_query_are_ranked_in_one_task(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(300, 16)).tolist())], "chunk_id long, embedding array<float>")
+    model = pq_index.train(vectors, n_cells=6)
+    queries = vectors.withColumnRenamed("chunk_id", "query_id")
+    found = pq_index.search(queries, pq_index.encode(vectors, model), vectors, model, k=1, n_probe=6, rerank=20)
+    assert sorted((r.query_id, r.chunk_id) for r in found.collect()) == [(i, i) for i in range(300)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # grouped by part and qpart, not by cell as well
+    assert "FlatMapCoGroupsInArrow 2, 2," in plan
