@@ -43,6 +43,8 @@ TILE_ROWS = 2048
 EXACT_PAIRS = 65536
 # parts into which queries are dealt; a chunk is copied to each at most once
 QUERY_PARTS = 48
+# vectors from which the centres of an exact join are fitted; every row is placed, and the result does not depend on them
+TRAIN_ROWS = 65536
 # Equal vectors must tie whatever block they sit in; sums differ in the last bits.
 SIMILARITY_DIGITS = 12
 ANGLE_SLACK = 1e-6
@@ -53,12 +55,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return _unit(flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0)))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         return rows / length
 
 
+def _packed(column: str, kind: str) -> Column:
+    """The numbers of a list as bytes: Spark measures a batch of lists anew at every row, which costs more than the row."""
+
+    @F.pandas_udf("binary")
+    def pack(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: np.asarray(v, kind).tobytes(), na_action="ignore")
+
+    return pack(F.col(column))
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    """Numbers in which the vectors of a column are packed without loss."""
+    return "<f4" if isinstance(_type_of(df, column).elementType, T.FloatType) else "<f8"
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Rows of numbers of a column from ``_packed`` whose lists have one common length."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 class _Block:
     """Unit rows of queries that meet chunks; a pair counts from the floor of its query on.
 
@@ -211,15 +236,11 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_pandas().to_numpy()
 
 
-def _groups(column: pa.Array, related: Callable | None) -> np.ndarray | None:
-    """What ``related`` compares: a value a row, or a row of bucket numbers."""
+def _groups(column: pa.Array, related: Callable | None, listed: bool = False) -> np.ndarray | None:
+    """What ``related`` compares: a value a row, or a row of (packed) bucket numbers."""
     if related is None:
         return None
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if pa.types.is_list(column.type):
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    return _ids(column)
+    return _unpacked(column, "<i8") if listed else _ids(column)
 
 
 def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int | None) -> DataFrame:
@@ -299,6 +320,26 @@ class CellIndex:
         return len(self.centres)
 
 
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors of the rows that have a direction."""
+    for batch in batches:
+        column = batch.column(0)
+        if len(column):
+            _common_dimension(column.value_lengths().unique().to_pylist(), None)
+            unit = _matrix(column)
+            unit = unit[np.isfinite(unit).all(axis=1)]
+            offsets = np.arange(len(unit) + 1, dtype=np.int32) * unit.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, unit.ravel())], ["v"])
+
+
+def _fitted_centres(chunks: DataFrame, n_cells: int) -> np.ndarray:
+    """Centres from at most about ``TRAIN_ROWS`` of the chunks (key, vec), chosen by a hash of their keys."""
+    share = TRAIN_ROWS / max(1, chunks.count())
+    if share < 1:
+        chunks = chunks.filter(F.pmod(F.xxhash64("key"), F.lit(2**20)) < math.ceil(share * 2**20))
+    return train_centres(chunks, "vec", n_cells)
+
+
 def train_centres(
     vectors: DataFrame,
     vector: str,
@@ -314,12 +355,8 @@ def train_centres(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from citespark.functions.vectors import norm
-
-    raw = vectors.filter(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v"))
-    unit = raw.withColumn("n", norm(F.col("v"))).filter("n > 0").select(
-        array_to_vector(F.transform("v", lambda x: x / F.col("n"))).alias("features")
-    )
+    raw = vectors.filter(F.size(vector) > 0).select(F.col(vector).alias("v"))
+    unit = raw.mapInArrow(_unit_rows, "v array<double>").select(array_to_vector("v").alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(unit)
     centres = np.array(model.clusterCenters(), dtype=np.float64)
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
@@ -429,15 +466,21 @@ def _block_join(
     parted = placed.withColumn("qpart", F.floor(place / rows).cast("int"))
     needed = parted.select("qpart", F.explode("cells").alias("cell")).distinct()
     none = F.lit(None)
+    kinds = _kind(placed, "vec"), _kind(chunks, "vec")
+    listed = isinstance(_type_of(placed, "grp"), T.ArrayType)
+    group = _packed("grp", "<i8").alias("grp") if listed else F.col("grp")
     left = parted.select(
         "qpart", F.lit(0).alias("side"), F.lit(-1).alias("cell"), F.col("key").alias("query_key"),
-        none.cast(_type_of(chunks, "key")).alias("chunk_key"), "vec", "grp", "cells",
+        none.cast(_type_of(chunks, "key")).alias("chunk_key"), _packed("vec", kinds[0]).alias("vec"), group,
+        _packed("cells", "<i4").alias("cells"),
     )
-    right = chunks.join(F.broadcast(needed), "cell").select(
+    # packed before they are copied to the parts
+    packed = chunks.select("key", "cell", _packed("vec", kinds[1]).alias("vec"), group)
+    right = packed.join(F.broadcast(needed), "cell").select(
         "qpart", F.lit(1).alias("side"), "cell", none.cast(_type_of(placed, "key")).alias("query_key"),
-        F.col("key").alias("chunk_key"), "vec", "grp", none.cast("array<int>").alias("cells"),
+        F.col("key").alias("chunk_key"), "vec", "grp", none.cast("binary").alias("cells"),
     )
-    both = left.unionByName(right).repartition(n_parts, "qpart").sortWithinPartitions("qpart", "side", "cell")
+    both = left.unionByName(right).repartitionById(n_parts, "qpart").sortWithinPartitions("qpart", "side", "cell")
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,11 +502,12 @@ def _block_join(
                 if block is None:
                     asked = pa.Table.from_batches(waiting)
                     waiting, keys, meets = [], _ids(asked["query_key"]), _met_by(asked["cells"])
-                    block = make(_matrix(asked["vec"]), _groups(asked["grp"], related), related)
+                    block = make(_unit(_unpacked(asked["vec"], kinds[0]).astype(np.float64)), _groups(asked["grp"], related, listed), related)
                 numbers = meets[int(marks[2][lo])]
                 block.meet(
                     None if len(numbers) == len(keys) else numbers,
-                    _matrix(piece.column("vec")), _ids(piece.column("chunk_key")), _groups(piece.column("grp"), related),
+                    _unit(_unpacked(piece.column("vec"), kinds[1]).astype(np.float64)), _ids(piece.column("chunk_key")),
+                    _groups(piece.column("grp"), related, listed),
                 )
         if block is not None:
             yield from block.rows(keys, arrow)
@@ -477,9 +521,9 @@ def _type_of(df: DataFrame, column: str) -> T.DataType:
 
 def _met_by(cells: pa.ChunkedArray) -> dict[int, np.ndarray]:
     """Numbers of the queries that meet each cell."""
-    lists = cells.combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    query = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    lists = [np.frombuffer(packed, "<i4") for packed in cells.to_pylist()]
+    flat = np.concatenate(lists)
+    query = np.repeat(np.arange(len(lists)), [len(met) for met in lists])
     order = np.argsort(flat, kind="stable")
     values, first = np.unique(flat[order], return_index=True)
     return dict(zip(values.tolist(), np.split(query[order], first[1:]), strict=True))
@@ -528,7 +572,7 @@ def similarity_join(
         span = q.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
         c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension(list(span), dim))
         if centres is None:
-            centres = train_centres(c, "vec", n_cells)
+            centres = _fitted_centres(c, n_cells)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
         found = _block_join(
@@ -578,7 +622,7 @@ def count_above(
         span = q.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
         c = _vectors(chunks, chunk_id, vector, exclude, _common_dimension(list(span), dim))
         if centres is None:
-            centres = train_centres(c, "vec", n_cells)
+            centres = _fitted_centres(c, n_cells)
         indexed = assign_cells(c, "key", "vec", centres)
         index = build_cell_index(indexed, centres, block_rows)
         found = _block_join(
@@ -646,17 +690,14 @@ def similarity_join_lsh(
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from citespark.functions.text import bind
     from citespark.functions.vectors import norm
 
     def unit(df: DataFrame, key: str) -> DataFrame:
         v = F.col(vector).cast("array<double>")
-        return (
-            df.select(F.col(key).alias("key"), v.alias("v"))
-            .withColumn("n", norm(F.col("v")))
-            .filter("n > 0")
-            .select("key", F.transform("v", lambda x: x / F.col("n")).alias("vec"))
-            .withColumn("features", array_to_vector("vec"))
-        )
+        vec = bind(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
+        rows = df.select(F.col(key).alias("key"), F.inline_outer(F.array(F.struct(vec.alias("vec"))))).filter("vec IS NOT NULL")
+        return rows.withColumn("features", array_to_vector("vec"))
 
     a, b = unit(queries, query_id), unit(chunks, chunk_id)
     model = BucketedRandomProjectionLSH(

@@ -129,3 +129,48 @@ def test_all_cells_of_a_query_are_ranked_in_one_task(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # grouped by part and qpart, not by cell as well
     assert "FlatMapCoGroupsInArrow 2, 2," in plan
+
+
+def test_centres_cost_by_their_rows(spark):
+    """The length of a vector is worked out once, not at each of its numbers."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(8000, 64)).tolist())] + [(8000, [0.0] * 64)]
+    vectors = spark.createDataFrame(rows, "key long, vec array<float>").coalesce(1)
+    start = time.perf_counter()
+    centres = sim.train_centres(vectors, "vec", 4, max_iter=2)
+    assert centres.shape == (4, 64) and np.allclose(np.linalg.norm(centres, axis=1), 1)
+    assert time.perf_counter() - start < 14
+
+
+def test_centres_of_an_exact_join_are_fitted_on_a_bounded_number_of_rows(spark, monkeypatch):
+    seen = []
+    fit = sim.train_centres
+    monkeypatch.setattr(sim, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(sim, "train_centres", lambda df, *rest: seen.append(df.count()) or fit(df, *rest))
+    rng = np.random.default_rng(10)
+    unit = rng.normal(size=(600, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(unit.tolist())], "query_id long, embedding array<double>")
+    got = sim.similarity_join(
+        queries, queries.withColumnRenamed("query_id", "chunk_id"), k=3, min_similarity=0.2, broadcast_queries=10, n_cells=4
+    )
+    want = np.argsort(-np.round(unit @ unit.T, 12), axis=1, kind="stable")[:, :3]
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [
+        (q, n + 1, c) for q in range(600) for n, c in enumerate(want[q].tolist())
+    ]
+    assert 40 < seen[0] < 200
+
+
+def test_parts_of_queries_lie_in_tasks_of_their_own(spark):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(960, 8)).tolist())], "key long, vec array<double>")
+    rows = rows.withColumn("grp", F.lit(None).cast("string"))
+    centres = sim.train_centres(rows, "vec", 2)
+    indexed = sim.assign_cells(rows, "key", "vec", centres)
+    index = sim.build_cell_index(indexed, centres)
+    found = sim._block_join(
+        sim._placed(rows, index, 0.2, None), indexed, sim._result_schema(rows, rows), sim._top_k_maker(1, 0.2), None, 20
+    )
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("query_key").alias("n")).collect()
+    # parts are stretches of a hash order, so a few differ in size
+    assert len(tasks) == sim.QUERY_PARTS and sum(t.n for t in tasks) == 960
