@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from citespark.functions import scoring
 from citespark.functions.citations import display_text
-from citespark.functions.text import bind
 
 SNIPPET_CHARS = 200
 WORD_COLUMNS = ["previous_words", "paragraph_words", "title_words", "abstract_words"]
@@ -39,7 +38,8 @@ def score_candidates(candidates: DataFrame, as_of_year: int) -> DataFrame:
         )
 
     kept = [c for c in candidates.columns if c not in WORD_COLUMNS]
-    scored = candidates.withColumn("_s", bind(context, scores)).select(*kept, "_s.*")
+    # as rows of a generator the scores are worked out once; as columns a filter on them would repeat them
+    scored = candidates.select(*kept, F.inline_outer(F.transform(F.array(context), scores)))
     return scored.withColumn("band", scoring.confidence_band(F.col("relevance")))
 
 

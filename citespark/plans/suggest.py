@@ -54,7 +54,8 @@ def candidate_chunks(
     best = similarity_join(
         requests, vectors, k=limit, min_similarity=min_similarity, **physical
     )
-    facts = papers.select(
+    # words are split for papers that have chunks only
+    facts = papers.join(chunks.select("paper_id").distinct(), "paper_id", "left_semi").select(
         "paper_id",
         "year",
         "citation_count",

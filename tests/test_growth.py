@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from citespark.functions import identifiers as ids
 from citespark.operators import bibliography as bb
-from citespark.operators import pq_index
+from citespark.operators import pq_index, ranking
 from citespark.operators import similarity as sim
 from citespark.operators import sync as sy
+from citespark.plans import suggest
 from citespark.sources import feeds
 
 
@@ -174,3 +175,27 @@ def test_parts_of_queries_lie_in_tasks_of_their_own(spark):
     tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("query_key").alias("n")).collect()
     # parts are stretches of a hash order, so a few differ in size
     assert len(tasks) == sim.QUERY_PARTS and sum(t.n for t in tasks) == 960
+
+
+def test_scores_are_worked_out_once(spark):
+    row = (1, 2, 3, 0.9, 2020, 50, ["a"], ["b"], ["a"], ["b"])
+    schema = "query_id long, paper_id long, chunk_id long, similarity double, year int, citation_count int, " + ", ".join(
+        f"{c} array<string>" for c in ranking.WORD_COLUMNS
+    )
+    ranked = ranking.rank_candidates(spark.createDataFrame([row], schema), as_of_year=2025, min_relevance=0.4)
+    assert [(r.position, r.context_score) for r in ranked.collect()] == [(1, 0.62)]
+    # one for titles and one for abstracts; the filter on the score had two more
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 2
+
+
+def test_words_are_split_for_papers_with_chunks(spark):
+    papers = spark.range(40).selectExpr(
+        "id AS paper_id", "concat('t', id) AS title", "'x y' AS abstract", "2020 AS year", "50 AS citation_count",
+        "true AS is_processed",
+    )
+    chunks = spark.range(6).selectExpr("id AS chunk_id", "id % 2 AS paper_id", "array(1D, 0.1D * id) AS embedding")
+    requests = chunks.selectExpr("chunk_id AS query_id", "embedding", "'t1' AS previous_sentence", "'x' AS paragraph")
+    found = suggest.candidate_chunks(requests, chunks, papers, min_similarity=0.2)
+    assert found.count() == 36
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
