@@ -1,7 +1,7 @@
 """Editor documents (JSON trees): node table, plain text, LaTeX, Markdown.
 
-A tree is unfolded level by level inside its row (``aggregate`` over VARIANT
-arrays), so rendering is a narrow job without shuffles. Each node yields a text
+A tree is unfolded inside its row (VARIANT arrays; one cast reads all of a
+node), so rendering is a narrow job without shuffles. Each node yields a text
 before and a text after its children; sorting these pieces by path and joining
 them gives the document. Rules that need a look at neighbours ("drop empty
 paragraphs", "blank between non-empty parts") are marks in private-use
@@ -30,6 +30,15 @@ _OWN = [chr(0xE000 + i) for i in range(9)]
 _AWAY = [chr(0xE010 + i) for i in range(9)]
 _LAST = 2**31 - 1
 
+# what is read of a node, all at once; a node that is no object is NULL, as are fields of another kind.
+# Numbers are read as they are stored: a cast of its own for each value costs more than the rest of the node.
+_FIELDS = ("type:string,text:string,format:bigint,tag:string,listType:string,citationKey:string,citation_key:string,key:string,"
+           "paperId:string,paper_id:string,title:string,authors:array<string>,year:bigint")
+_NODE = f"struct<{_FIELDS},children:array<variant>>"
+_PLACED = f"struct<path:array<int>,mode:string,node:{_NODE}>"
+# levels that are nested transforms; deeper ones take a slower way to the same nodes
+FIRST_LEVELS = 4
+
 
 def _hide(text: Column) -> Column:
     """A text without mark characters, to be turned back by ``_show``."""
@@ -46,16 +55,6 @@ def _show(text: Column) -> Column:
     return F.when(text.contains(_HIDE), out).otherwise(text)
 
 
-def _children(node: Column) -> Column:
-    return F.coalesce(
-        F.try_variant_get(node, "$.children", "array<variant>"), F.array().cast("array<variant>")
-    )
-
-
-def _get(node: Column, name: str, kind: str = "string") -> Column:
-    return F.try_variant_get(node, f"$.{name}", kind)
-
-
 def depth(content: Column) -> Column:
     """How deep braces are nested in a JSON text, found in one pass; braces inside its strings do not count."""
     bare = F.regexp_replace(F.regexp_replace(content, r"\\.", ""), '"[^"]*"', "")
@@ -69,18 +68,19 @@ def depth(content: Column) -> Column:
     return F.aggregate(braces, start, step, lambda s: s["most"])
 
 
-def unfold(content: Column, root_mode: str, child_mode: Callable) -> Column:
-    """All nodes below the root as an array of typed records, level by level.
+def _placed(content: Column, root_mode: str, child_mode: Callable) -> Column:
+    """All nodes below the root as they were read, with path and mode, parents before their children.
 
     Every node carries a mode its parent chose: ``child_mode(mode, type, has_text, node)``.
-    A node stands in braces of its own, so the depth of braces bounds the levels of a
-    document. Finished levels are kept as they are and joined once at the end, so the
-    work grows with the nodes and not with their square. The JSON parser takes texts
-    of up to 1,000 nested brackets, that is about 490 levels of nodes.
+    The first levels are nested transforms. What lies below them is unfolded level by level,
+    each subtree by itself: ``aggregate`` copies its state at every step, so the state holds
+    the nodes of one such subtree only. A node stands in braces of its own, so the depth of
+    braces bounds the levels. The JSON parser takes texts of up to 1,000 nested brackets,
+    that is about 490 levels of nodes.
     """
     top = F.coalesce(
-        F.try_variant_get(F.try_parse_json(content), "$.root.children", "array<variant>"),
-        F.array().cast("array<variant>"),
+        F.try_variant_get(F.try_parse_json(content), "$.root.children", f"array<{_NODE}>"),
+        F.array().cast(f"array<{_NODE}>"),
     )
     front = F.transform(
         top,
@@ -88,51 +88,64 @@ def unfold(content: Column, root_mode: str, child_mode: Callable) -> Column:
             F.array(i).alias("path"), F.lit(root_mode).alias("mode"), c.alias("node")
         ),
     )
-    state = F.struct(
-        F.array().cast("array<array<struct<path:array<int>,mode:string,node:variant>>>").alias("done"),
-        front.alias("front"),
-    )
 
     def below(n: Column) -> Column:
-        mode = child_mode(n["mode"], _get(n["node"], "type"), _get(n["node"], "text").isNotNull(), n["node"])
+        mode = child_mode(n["mode"], n["node"]["type"], n["node"]["text"].isNotNull(), n["node"])
         return F.transform(
-            _children(n["node"]),
+            n["node"]["children"],
             lambda c, k: F.struct(
-                F.concat(n["path"], F.array(k)).alias("path"), mode.alias("mode"), c.alias("node")
+                F.concat(n["path"], F.array(k)).alias("path"), mode.alias("mode"), F.try_variant_get(c, "$", _NODE).alias("node")
             ),
         )
 
+    def leaf(n: Column) -> Column:
+        return F.coalesce(F.size(n["node"]["children"]), F.lit(0)) == 0
+
     def step(s: Column, _: Column) -> Column:
-        grown = F.struct(
+        return F.struct(
             F.concat(s["done"], F.array(s["front"])).alias("done"),
-            F.flatten(F.transform(s["front"], below)).alias("front"),
+            F.flatten(F.transform(F.filter(s["front"], lambda n: ~leaf(n)), below)).alias("front"),
         )
-        return F.when(F.size(s["front"]) == 0, s).otherwise(grown)
 
-    levels = F.greatest(F.lit(1), F.coalesce(depth(content), F.lit(1)))
-    nodes = F.flatten(F.aggregate(F.sequence(F.lit(1), levels), state, step, lambda s: s["done"]))
+    def deep(n: Column) -> Column:
+        state = F.struct(F.array().cast(f"array<array<{_PLACED}>>").alias("done"), F.array(n).alias("front"))
+        # the node itself, its braces, and children of the innermost that have none
+        levels = F.lit(2) + depth(F.to_json(n["node"]["children"]))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), levels), state, step, lambda s: s["done"]))
+
+    def subtree(n: Column, levels: int) -> Column:
+        if levels == 0:
+            return F.when(leaf(n), F.array(n)).otherwise(deep(n))
+        under = F.flatten(F.transform(below(n), lambda c: subtree(c, levels - 1)))
+        return F.when(leaf(n), F.array(n)).otherwise(F.concat(F.array(n), under))
+
+    return F.flatten(F.transform(front, lambda n: subtree(n, FIRST_LEVELS - 1)))
+
+
+def _typed(n: Column) -> dict[str, Column]:
+    """The attributes of a placed node, with defaults."""
+    v = n["node"]
+    return {
+        "path": n["path"],
+        "mode": n["mode"],
+        "type": F.coalesce(v["type"], F.lit("")),
+        "text": v["text"],
+        "format": F.coalesce(v["format"].try_cast("int"), F.lit(0)),
+        "tag": F.coalesce(v["tag"], F.lit("h1")),
+        "list_type": F.coalesce(v["listType"], F.lit("bullet")),
+        "n_children": F.coalesce(F.size(v["children"]), F.lit(0)),
+        "citation_key": F.coalesce(*[F.nullif(v[k], F.lit("")) for k in ("citationKey", "citation_key", "key")]),
+        "paper_id": F.coalesce(*[F.nullif(v[k], F.lit("")) for k in ("paperId", "paper_id")]),
+        "title": F.coalesce(v["title"], F.lit("")),
+        "authors": F.coalesce(v["authors"], F.array().cast("array<string>")),
+        "year": v["year"].try_cast("int"),
+    }
 
-    def typed(n: Column) -> Column:
-        v = n["node"]
-        key = F.coalesce(*[F.nullif(_get(v, k), F.lit("")) for k in ("citationKey", "citation_key", "key")])
-        paper = F.coalesce(*[F.nullif(_get(v, k), F.lit("")) for k in ("paperId", "paper_id")])
-        return F.struct(
-            n["path"].alias("path"),
-            n["mode"].alias("mode"),
-            F.coalesce(_get(v, "type"), F.lit("")).alias("type"),
-            _get(v, "text").alias("text"),
-            F.coalesce(_get(v, "format", "int"), F.lit(0)).alias("format"),
-            F.coalesce(_get(v, "tag"), F.lit("h1")).alias("tag"),
-            F.coalesce(_get(v, "listType"), F.lit("bullet")).alias("list_type"),
-            F.size(_children(v)).alias("n_children"),
-            key.alias("citation_key"),
-            paper.alias("paper_id"),
-            F.coalesce(_get(v, "title"), F.lit("")).alias("title"),
-            F.coalesce(_get(v, "authors", "array<string>"), F.array().cast("array<string>")).alias("authors"),
-            _get(v, "year", "int").alias("year"),
-        )
 
-    return F.transform(nodes, typed)
+def unfold(content: Column, root_mode: str, child_mode: Callable) -> Column:
+    """All nodes below the root as an array of typed records, see ``_placed``."""
+    nodes = _placed(content, root_mode, child_mode)
+    return F.transform(nodes, lambda n: F.struct(*[c.alias(name) for name, c in _typed(n).items()]))
 
 
 def _keep_mode(mode: Column, kind: Column, has_text: Column, node: Column) -> Column:
@@ -155,7 +168,12 @@ def tree_citations(documents: DataFrame, key: str, content: str) -> DataFrame:
     )
 
 
-def _joined(nodes: Column, piece: Callable[[Column], tuple[Column, Column]], separator: str = "") -> Column:
+def _in_order(pieces: Column) -> Column:
+    """Texts of (path, text) pieces in document order as one."""
+    return F.array_join(F.sort_array(F.filter(pieces, lambda p: p["text"] != ""))["text"], "")
+
+
+def _joined(nodes: Column, piece: Callable[[Column], tuple[Column, Column]]) -> Column:
     """Texts before and after each node in document order."""
 
     def both(n: Column) -> Column:
@@ -165,21 +183,20 @@ def _joined(nodes: Column, piece: Callable[[Column], tuple[Column, Column]], sep
             F.struct(F.concat(n["path"], F.array(F.lit(_LAST))).alias("at"), after.alias("text")),
         )
 
-    pieces = F.array_sort(F.flatten(F.transform(nodes, both)))
-    return F.array_join(F.transform(pieces, lambda p: p["text"]), separator)
+    return _in_order(F.flatten(F.transform(nodes, both)))
 
 
 def tree_plain_text(content: Column) -> Column:
     """Text nodes in document order, joined by a blank."""
     nodes = unfold(content, "", _keep_mode)
     texts = F.filter(nodes, lambda n: (n["type"] == "text") & n["text"].isNotNull())
-    ordered = F.array_sort(F.transform(texts, lambda n: F.struct(n["path"].alias("p"), n["text"].alias("t"))))
-    return F.array_join(F.transform(ordered, lambda n: n["t"]), " ")
+    ordered = F.sort_array(F.transform(texts, lambda n: F.struct(n["path"].alias("p"), n["text"].alias("t"))))
+    return F.array_join(ordered["t"], " ")
 
 
-def _cite(n: Column) -> Column:
+def _cite(n: Column | dict[str, Column], shown: Callable[[Column], Column] = _hide) -> Column:
     return F.concat(
-        F.lit("\\cite{"), _hide(F.coalesce(n["citation_key"], n["paper_id"], F.lit("unknown"))), F.lit("}")
+        F.lit("\\cite{"), shown(F.coalesce(n["citation_key"], n["paper_id"], F.lit("unknown"))), F.lit("}")
     )
 
 
@@ -281,7 +298,7 @@ def _markdown_mode(mode: Column, kind: Column, has_text: Column, node: Column) -
     return (
         F.when((mode == "code") | (kind == "code"), "code")
         .when(kind.isin("text", "citation"), "drop")
-        .when((mode == "flow") & (kind == "list"), F.coalesce(_get(node, "listType"), F.lit("bullet")))
+        .when((mode == "flow") & (kind == "list"), F.coalesce(node["listType"], F.lit("bullet")))
         .otherwise("flow")
     )
 
@@ -337,16 +354,18 @@ def _text_mode(mode: Column, kind: Column, has_text: Column, node: Column) -> Co
 
 def render_text(content: Column, title: Column) -> Column:
     """Plain text with citations under an underlined title; one line per top node."""
-    nodes = F.filter(unfold(content, "flow", _text_mode), lambda n: n["mode"] != "drop")
+    nodes = F.filter(_placed(content, "flow", _text_mode), lambda n: n["mode"] != "drop")
 
-    def piece(n: Column) -> tuple[Column, Column]:
-        own = F.when(n["type"] == "citation", _cite(n)).when(n["type"] == "linebreak", "\n").otherwise(
-            F.when(n["n_children"] == 0, _hide(F.coalesce(n["text"], F.lit("")))).otherwise("")
+    def piece(placed: Column) -> Column:
+        n = _typed(placed)
+        own = F.when(n["type"] == "citation", _cite(n, lambda text: text)).when(n["type"] == "linebreak", "\n").otherwise(
+            F.when(n["n_children"] == 0, F.coalesce(n["text"], F.lit(""))).otherwise("")
         )
-        return own, F.when(F.size(n["path"]) == 1, _W).otherwise("")
+        starts_line = (F.size(n["path"]) == 1) & (F.get(n["path"], 0) > 0)
+        return F.struct(n["path"].alias("at"), F.when(starts_line, F.concat(F.lit("\n"), own)).otherwise(own).alias("text"))
 
-    body = _fix(_joined(nodes, piece), [(f"{_W}$", ""), (_W, "\n")])
-    return F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.length(title)), F.lit("\n\n"), _show(body))
+    body = _in_order(F.transform(nodes, piece))
+    return F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.length(title)), F.lit("\n\n"), body)
 
 
 def render_json(content: Column, title: Column, exported_at: str) -> Column:
@@ -367,10 +386,10 @@ def node_text(content: Column) -> Column:
     leaves = F.filter(
         nodes, lambda n: (n["mode"] != "drop") & (n["text"].isNotNull() | (n["n_children"] == 0))
     )
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(leaves, lambda n: F.struct(n["path"].alias("p"), F.coalesce(n["text"], F.lit("")).alias("t")))
     )
-    return F.array_join(F.transform(ordered, lambda n: n["t"]), " ")
+    return F.array_join(ordered["t"], " ")
 
 
 def export_documents(

@@ -156,3 +156,34 @@ def test_depth_has_no_limit(spark, levels):
     df = spark.createDataFrame([(1, json.dumps({"root": {"children": [node]}}))], "document_id int, content string")
     assert df.select(tree.tree_plain_text(F.col("content"))).first()[0] == "deep"
     assert tree.node_table(df, "document_id", "content").count() == levels + 1
+
+
+def test_levels_do_not_multiply_the_nodes(spark):
+    """One deep chain beside many paragraphs costs about as much as the paragraphs alone."""
+    seconds = []
+    for levels in (2, 480):
+        df = spark.createDataFrame([(1, "T", long_document(40_000, levels))], "document_id int, title string, content string").cache()
+        assert df.count() == 1
+        took = []
+        for _ in range(3):
+            start = time.time()
+            row = tree.export_documents(df, "txt").first()
+            took.append(time.time() - start)
+        seconds.append(min(took))
+        lines = row["content"].split("\n")
+        assert lines[:4] == ["T", "=", "", '{a} "b0" \\ {\\cite{k0}'] and len(lines) == 3 + 40_001 and lines[-1] == "deep"
+    assert seconds[1] < 2 * seconds[0] + 0.5
+
+
+@pytest.mark.parametrize("levels", range(8))
+def test_children_of_any_kind_at_any_level(spark, levels):
+    kids = ["s", 3, None, [1], {}, {"type": "text", "text": 1.5, "format": 4294967297}, {"type": "x", "children": "s"}, {"text": "y", "children": [7]}]
+    for _ in range(levels):
+        kids = [node("box", *kids)]
+    df = spark.createDataFrame([(1, "T", json.dumps({"root": {"children": kids}}))], "document_id int, title string, content string")
+    got = [(r["path"][levels:], r["type"], r["text"], r["format"], r["n_children"]) for r in tree.node_table(df, "document_id", "content").collect() if len(r["path"]) > levels]
+    assert sorted(got) == [
+        *[([i], "", None, 0, 0) for i in range(5)], ([5], "text", "1.5", 0, 0), ([6], "x", None, 0, 0), ([7], "", "y", 0, 1), ([7, 0], "", None, 0, 0)
+    ]
+    text = "\n\n\n\n\n1.5\n\n" if levels == 0 else "1.5"
+    assert tree.export_documents(df, "txt").first()["content"] == f"T\n=\n\n{text}"
