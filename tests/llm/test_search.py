@@ -130,3 +130,21 @@ def test_large_groups_are_split(spark):
     key = lambda rows: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows)
     small = ann.nearest_neighbours(table, queries, k=5, block_rows=32).collect()
     assert key(small) == key(ann.nearest_neighbours(table, queries, k=5).collect())
+
+
+def test_a_visit_is_no_row(spark, monkeypatch):
+    """A query visits 8 x 576 cells; no table that is written has more rows than there are vectors."""
+    rng = np.random.default_rng(33)
+    v = rng.standard_normal((1500, 16))
+    table = frame(spark, v, list(range(1500)))
+    written, write = [], ann.checkpoint
+
+    def counted(df):
+        df = write(df)
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(ann, "checkpoint", counted)
+    got = found_by(ann.nearest_neighbours(table, table.filter("vec_id % 20 = 0"), k=20, cell_rows=20).collect())
+    assert len(got) == 75 and {len(g) for g in got.values()} == {20}
+    assert max(written) <= 1500
