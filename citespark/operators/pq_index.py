@@ -3,9 +3,10 @@
 A vector is made a unit vector, assigned to its nearest cell centre, and what is
 left of it (the residual) is cut into parts, each replaced by the number of the
 nearest word of that part's codebook. An entry is its key, cell and one byte a
-part. A query meets the entries of its nearest cells; their similarity is read
-from one table of products per query (asymmetric: the query itself is not
-quantised), the best ones are fetched and ranked by exact cosine.
+part. A query meets the entries of its nearest cells (asymmetric: the query itself is
+not quantised). Single-precision products with the words that codes stand for rule
+most of them out; the similarity of the others is read from one table of products
+per query, and the best are fetched and ranked by exact cosine.
 
 The model (centres and codebooks) is fitted on a bounded sample; every row is
 indexed. Entries are tables: later rows are appended, a deletion is a row without
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citespark.functions.vectors import require_dimension
@@ -34,6 +35,12 @@ SAMPLE_ROWS = 20_000
 BLOCK_ROWS, PART_QUERIES, QUERY_ROWS = 1_000_000, 16_384, 1_024
 #: Parts of queries to aim at: an entry is copied to each.
 QUERY_PARTS = 48
+#: Entries of a cell whose products are formed at a time, and entries kept for some queries by their products alone.
+ENTRY_ROWS, WAITING_ROWS = 4096, 4_000_000
+#: Ranges of queries, and of keys, between which vectors are compared: so many, or more so that a range holds no more rows than this.
+RANGES, RANGE_ROWS = 7, 131_072
+#: Pairs of vectors compared at a time.
+PAIR_ROWS = 65_536
 CODES = 256
 ENTRIES = "key long, cell int, codes binary, version long"
 
@@ -206,46 +213,128 @@ def search(
         ids = held.column("key").to_numpy()[order]
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
         edges = np.searchsorted(place[order], np.arange(len(centres) + 1))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        place = place[order]
+        # products in single precision are below ``reach`` and as near to the sums of the tables as ``slack``
+        reach = 1.5 + np.sqrt((words * words).sum(axis=2).max(axis=1).sum())
+        slack = 4 * centres.shape[1] * float(np.finfo(np.float32).eps) * reach
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for lo in range(0, asked.num_rows, QUERY_ROWS):
             some = asked.slice(lo, QUERY_ROWS)
             x = unit_rows(np.array(some.column("vec").to_pylist(), np.float64))
             base = x @ centres.T
             cells = np.argsort(-np.where(filled[None, :], base, -np.inf), axis=1, kind="stable")[:, : min(n_probe, int(filled.sum()))]
             tables = np.einsum("qpd,pcd->qpc", x.reshape(len(x), len(words), -1), words)
-            for query, start, table, met in zip(some.column("key").to_numpy(), base, tables, cells):
-                rows = np.concatenate([np.arange(edges[cell], edges[cell + 1]) for cell in met])
-                if not len(rows):
-                    continue
-                near = np.concatenate([np.full(edges[cell + 1] - edges[cell], start[cell]) for cell in met])
-                own = codes[rows]
+            meets = np.zeros(base.shape, bool)
+            np.put_along_axis(meets, cells, True, axis=1)
+            short = x.astype(np.float32)
+            # of each query: the similarity of the last of its best, from below
+            floor = np.full(len(x), -np.inf)
+            kept: list[tuple[np.ndarray, ...]] = []
+            held_back, due = 0, 2 * rerank * len(x)
+
+            def raised(kept: list) -> list:
+                """The entries that can still be among the best, after the floors have been raised to the best so far."""
+                q, e, near = (np.concatenate(c) for c in zip(*kept))
+                # products are below ``reach``, so one sort puts them in order query by query
+                line = np.sort(2 * reach * q - near)
+                first = np.searchsorted(line, 2 * reach * np.arange(len(x) + 1) - reach)
+                full = np.flatnonzero(np.diff(first) >= rerank)
+                floor[full] = np.maximum(floor[full], 2 * reach * full - line[first[full] + rerank - 1] - slack)
+                still = near >= floor[q] - slack
+                return [(q[still], e[still], near[still])]
+
+            def ranked(kept: list) -> tuple:
+                """The best by the sums of the tables, equals by key."""
+                q, e, _ = (np.concatenate(c) for c in zip(*kept))
+                near = base[q, place[e]]
                 for part in range(len(words)):
-                    near += table[part][own[:, part]]
-                best = np.argpartition(-near, rerank - 1)[:rerank] if len(near) > rerank else np.arange(len(near))
-                out.append((np.full(len(best), query), ids[rows[best]], near[best]))
-        if not out:
-            return schema.empty_table()
+                    near += tables[q, part, codes[e, part]]
+                order = np.lexsort((ids[e], -near, q))
+                q, e, near = q[order], e[order], near[order]
+                last = np.arange(len(q)) - np.searchsorted(q, q) < rerank
+                return q[last], e[last], near[last]
+
+            for cell in np.flatnonzero(meets.any(axis=0)):
+                rows = np.flatnonzero(meets[:, cell])
+                mine = short[rows]
+                for at in range(edges[cell], edges[cell + 1], ENTRY_ROWS):
+                    own = codes[at : min(at + ENTRY_ROWS, edges[cell + 1])]
+                    stands_for = centres[cell] + words[np.arange(len(words)), own].reshape(len(own), -1)
+                    near = mine @ stands_for.astype(np.float32).T
+                    if len(own) > rerank and np.isneginf(floor[rows]).any():
+                        floor[rows] = np.maximum(floor[rows], np.partition(near, -rerank, axis=1)[:, -rerank] - slack)
+                    hit = np.flatnonzero(near >= (floor[rows] - slack).astype(np.float32)[:, None])
+                    q, e = np.divmod(hit, len(own))
+                    kept.append((rows[q], at + e, near.ravel()[hit].astype(np.float64)))
+                    held_back += len(hit)
+                    if held_back > due:
+                        kept = raised(kept)
+                        if len(kept[0][0]) > WAITING_ROWS:  # many are as near as equal
+                            kept = [ranked(kept)]
+                        held_back = 0
+            best = ranked(kept) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            out.append((some.column("key").to_numpy()[best[0]], ids[best[1]], best[2]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
     by = ["part", "qpart"]
     near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, "query long, key long, near double")
-    order = Window.partitionBy("query").orderBy(F.desc("near"), "key")
-    kept = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rerank).select("query", "key")
-    # vectors travel as they are stored and are widened where they are compared
-    stored = vectors.filter(F.size(vector) > 0).select(F.col(chunk_id).cast("long").alias("key"), require_dimension(F.col(vector), model.dim).alias("vec"))
-    exact = kept.join(stored, "key").join(q.select(F.col("key").alias("query"), F.col("vec").alias("asked")), "query")
-    exact = exact.withColumn("vec", F.col("vec").cast("array<double>"))
-    found = exact.withColumn("similarity", F.round(_cosine(F.col("vec"), F.col("asked")), SIMILARITY_DIGITS))
-    found = found.filter(F.col("similarity") > min_similarity)
-    found = found.select(F.col("query").alias(query_id), F.col("key").alias(chunk_id), "similarity")
+    if blocks > 1:
+        order = Window.partitionBy("query").orderBy(F.desc("near"), "key")
+        near = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rerank)
+    found = _compared(near.select("query", "key"), queries, vectors, model.dim, query_id, chunk_id, vector, max(n, sum(sizes.values())), k, min_similarity)
     return top_k(found, query_id, chunk_id, k)
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of one length; NULL where one has no direction."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(length > 0, dot(a, b) / length)
+def _compared(
+    pairs: DataFrame, queries: DataFrame, vectors: DataFrame, dim: int, query_id: str, chunk_id: str, vector: str, rows: int, k: int, min_similarity: float,
+) -> DataFrame:
+    """(query_id, chunk_id, similarity) of pairs above the threshold, by exact cosine; at most ``k`` a query leave a task.
+
+    Queries and keys fall into ranges, and a task has the pairs between two of
+    them: a vector travels once a range of the other side, not once a pair.
+    """
+    ranges = max(RANGES, math.ceil(rows / RANGE_ROWS))
+    number = lambda c: F.pmod(F.xxhash64(c, F.lit(ranges)), F.lit(ranges)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))
+
+    def sided(df: DataFrame, key: str, asked: bool) -> DataFrame:
+        # vectors travel as they are stored and are widened where they are compared
+        df = df.filter(F.size(vector) > 0).select(F.col(key).cast("long").alias("id"), require_dimension(F.col(vector), dim).alias("vec"), F.lit(asked).alias("asked"))
+        return df.withColumn("from", number("id") if asked else every).withColumn("to", every if asked else number("id"))
+
+    def compare(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([(query_id, pa.int64()), (chunk_id, pa.int64()), ("similarity", pa.float64())])
+        if not wanted.num_rows or not held.num_rows:
+            return schema.empty_table()
+        asked = held.column("asked").to_numpy().astype(bool)
+        own, x = held.column("id").to_numpy(), held.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        sides, there = [], np.ones(wanted.num_rows, bool)
+        for name, side in (("query", asked), ("key", ~asked)):
+            at = np.flatnonzero(side)
+            at = at[np.argsort(own[at], kind="stable")]
+            ids = wanted.column(name).to_numpy()
+            if not len(at):
+                return schema.empty_table()
+            place = at[np.minimum(np.searchsorted(own[at], ids), len(at) - 1)]
+            there &= own[place] == ids
+            sides.append(place)
+        q, c = (side[there] for side in sides)
+        near = np.zeros(len(q))
+        for lo in range(0, len(q), PAIR_ROWS):
+            a, b = (x[side[lo : lo + PAIR_ROWS]].astype(np.float64) for side in (q, c))
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                length = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+                near[lo : lo + PAIR_ROWS] = np.where(length > 0, np.round((a * b).sum(axis=1) / length, SIMILARITY_DIGITS), np.nan)
+        above = near > min_similarity
+        q, c, near = own[q[above]], own[c[above]], near[above]
+        order = np.lexsort((c, -near, q))
+        q, c, near = q[order], c[order], near[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pa.Table.from_arrays([pa.array(q[kept]), pa.array(c[kept]), pa.array(near[kept])], schema=schema)
+
+    left = pairs.withColumn("from", number("query")).withColumn("to", number("key"))
+    right = sided(queries, query_id, True).unionByName(sided(vectors, chunk_id, False))
+    return left.groupBy("from", "to").cogroup(right.groupBy("from", "to")).applyInArrow(compare, f"`{query_id}` long, `{chunk_id}` long, similarity double")
 
 
 def save_model(spark: SparkSession, model: PqModel, folder: str) -> None:

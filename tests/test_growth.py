@@ -199,3 +199,31 @@ def test_words_are_split_for_papers_with_chunks(spark):
     assert found.count() == 36
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2
+
+
+def test_vectors_travel_once_a_range_not_once_a_pair(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 16))
+    vectors = spark.createDataFrame(list(enumerate(x.tolist())), "chunk_id long, embedding array<double>")
+    model = pq_index.train(vectors, n_cells=6)
+    queries = vectors.withColumnRenamed("chunk_id", "query_id")
+    found = pq_index.search(queries, pq_index.encode(vectors, model), vectors, model, k=5, n_probe=6, rerank=400)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argsort(-np.round(unit @ unit.T, 12), axis=1, kind="stable")[:, :5]
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in found.collect()) == [(q, n + 1, c) for q in range(400) for n, c in enumerate(want[q].tolist())]
+
+
+def test_entries_that_are_equal_are_taken_by_key(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    one, others = rng.normal(size=16), rng.normal(size=(200, 16))
+    rows = list(enumerate([one.tolist()] * 6000 + others.tolist()))
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    model = pq_index.train(vectors, n_cells=4)
+    entries = pq_index.encode(vectors, model)
+    queries = vectors.filter("chunk_id % 1000 = 0").withColumnRenamed("chunk_id", "query_id")
+    for waiting in (None, 10):
+        if waiting:
+            monkeypatch.setattr(pq_index, "WAITING_ROWS", waiting, raising=False)
+        found = pq_index.search(queries, entries, vectors, model, k=5, n_probe=4, rerank=5).collect()
+        assert sorted((r.query_id, r["rank"], r.chunk_id) for r in found if r.query_id < 6000) == [(q, n + 1, n) for q in range(0, 6000, 1000) for n in range(5)]
